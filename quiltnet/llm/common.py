@@ -44,7 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for a file scan it is the size of the files, without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fan_out(df: DataFrame, mb: int = 4) -> int:
@@ -52,6 +52,8 @@ def fan_out(df: DataFrame, mb: int = 4) -> int:
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = estimated_bytes(df)
+    if size >= 1 << 60:  # not a file scan: unknown
+        return max(least, df.rdd.getNumPartitions())
     return max(least, min(size // (mb * MB), max(2000, size // (128 * MB))))
 
 

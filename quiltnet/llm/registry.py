@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules
+from . import decontaminate, mixing, quality_model, quality_rules, token_files, url_trust
 
 QUERIES = {
+    "op5_url_trust": url_trust.op5_url_trust,
+    "op6_token_files": token_files.op6_token_files,
+    "op7_quality": quality_model.op7_quality,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_rule_ledger": quality_rules.op9_rule_ledger,
     "op10_cube_mix": mixing.op10_cube_mix,
