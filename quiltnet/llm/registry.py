@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_model, quality_rules, token_files, url_trust
+from . import decontaminate, mixing, quality_model, quality_rules, suffix_dedup, token_files, url_trust
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_url_trust": url_trust.op5_url_trust,
     "op6_token_files": token_files.op6_token_files,
     "op7_quality": quality_model.op7_quality,
