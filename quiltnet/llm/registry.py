@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, mixing, quality_model, quality_rules, suffix_dedup, token_files, url_trust
+from . import decontaminate, lm_score, mixing, pii, quality_model, quality_rules, suffix_dedup, token_files, url_trust
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_pii_field": pii.op2_pii_field,
     "op3_lm_score": lm_score.op3_lm_score,
     "op5_url_trust": url_trust.op5_url_trust,
     "op6_token_files": token_files.op6_token_files,
