@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, mixing, pii, quality_model, quality_rules, suffix_dedup, token_files, url_trust
+from . import decontaminate, jaccard_join, lm_score, mixing, pii, quality_model, quality_rules, suffix_dedup, token_files, url_trust
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_pii_field": pii.op2_pii_field,
     "op3_lm_score": lm_score.op3_lm_score,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_url_trust": url_trust.op5_url_trust,
     "op6_token_files": token_files.op6_token_files,
     "op7_quality": quality_model.op7_quality,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_cube_mix": mixing.op10_cube_mix,
 }
 ORACLE = {
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_rule_ledger": quality_rules.OP9_SQL,
 }
