@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, blob, fan_out, id_out, read, shared_dir, texts_of
+from .common import FOLD, SPACES, batches, blob, fan_out, id_out, read, shared_dir, texts_of, utf8, word_bounds, word_hashes
 
 MAX_BITS = 16
 BLOCK = 512
 RUN_IDS = 1 << 19
 END_ID = 1
 #: Words kept with their ids per worker; beyond it the table starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -44,15 +44,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_TAIL = b".,;:!?*%#$&"
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
 class WordTokenizer:
     """Encodes texts word by word. The model's normaliser and pre-tokeniser never join text across
-    ASCII white space and drop the space itself, so the ids of a text are those of its words."""
+    ASCII white space and drop the space itself, so the ids of a text are those of its words; they
+    fold case, and cut marks from a plain letter or digit before them. A batch looks up each of
+    its distinct words once (by 64-bit hash within the batch, by its bytes in the table)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.vocab = self.model.get_vocab_size()
+        self.ends_word = np.zeros(self.vocab, bool)
+        self.ends_word[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -61,43 +70,101 @@ class WordTokenizer:
         self.first = np.zeros(1 << 16, np.int64)
         self.n_flat = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        k, n, add = len(self.place), self.n_flat, int(lengths.sum())
-        if k + len(ids) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(k + len(ids), np.int64)])
-        if n + add > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(n + add, np.uint32)])
-        self.first[k + 1 : k + len(ids) + 1] = n + np.cumsum(lengths)
-        self.flat[n : n + add] = np.fromiter(chain.from_iterable(ids), np.uint32, add)
-        self.n_flat = n + add
+    def _append(self, words: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
+        k, n = len(self.place), self.n_flat
+        if k + len(words) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(k + len(words), np.int64)])
+        if n + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(n + len(ids), np.uint32)])
+        self.first[k + 1 : k + len(words) + 1] = n + np.cumsum(lengths)
+        self.flat[n : n + len(ids)] = ids
+        self.n_flat = n + len(ids)
         self.place.update(zip(words, range(k, k + len(words))))
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each text followed by end_id, and how many each text has."""
-        split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
+    def _ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at these places, and how many each has."""
+        start, length = self.first[at], self.first[at + 1] - self.first[at]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(at) else 0
+        return self.flat[np.repeat(start - ends + length, length) + np.arange(total)], length
+
+    def _learn_each(self, words: list[bytes], text: list[str]) -> None:
+        ids = [e.ids for e in self.model.encode_batch_fast(text, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._append(words, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+
+    def _learn_lines(self, words: list[bytes], text: list[str], per_line: int = 256) -> None:
+        """Words of letters are one piece each, and only a piece's last id ends a word."""
+        lines = [" ".join(text[i : i + per_line]) for i in range(0, len(text), per_line)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.model.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            self._learn_each(words, text)
+        else:
+            self._append(words, np.diff(ends, prepend=0), ids)
+
+    def _learn(self, words: list[bytes]) -> None:
+        whole, parts = [], []
+        for w in words:
+            core = w.rstrip(_TAIL)
+            if core and len(core) < len(w) and core[-1] in _PLAIN and b"'" not in w and b"<" not in w:
+                parts.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        have = self.place
+        more = {x for _, core, tail in parts for x in (core, tail)} - have.keys() - set(whole)
+        whole += sorted(more)
+        text = [w.decode() for w in whole]
+        pure = [w.isalpha() for w in text]
+        self._learn_lines([w for w, p in zip(whole, pure) if p], [w for w, p in zip(text, pure) if p])
+        self._learn_each([w for w, p in zip(whole, pure) if not p], [w for w, p in zip(text, pure) if not p])
+        if parts:
+            both = np.fromiter((have[x] for _, core, tail in parts for x in (core, tail)), np.int64, 2 * len(parts))
+            ids_, lengths = self._ids_of(both)
+            self._append([w for w, _, _ in parts], lengths.reshape(-1, 2).sum(1), ids_)
+
+    def encode(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a column, each text followed by end_id, and how many each text has."""
+        raw, offsets = utf8(column)
+        n = len(offsets) - 1
+        s, e, doc = word_bounds(raw, offsets, ~SPACES)
+        low = FOLD[raw]
+        marked = np.concatenate([[0], np.cumsum(raw == 0x3C)])
+        for k in np.flatnonzero(marked[e] > marked[s]).tolist():  # may spell a special token
+            low[s[k] : e[k]] = raw[s[k] : e[k]]
+        _, first, inverse = np.unique(word_hashes(low, s, e, fold=False), return_index=True, return_inverse=True)
+        whole = low.tobytes()
+        words = [whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
         if len(self.place) > CACHE_WORDS:
             self.clear()
-        new = list(set(words) - self.place.keys())
+        new = [w for w in words if w not in self.place]
         if new:
-            self._learn(sorted(new))
+            self._learn(sorted(set(new)))
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        start, length = self.first[at], self.first[at + 1] - self.first[at]
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.cumsum(n_words)
+        body, length = self._ids_of(at[inverse])
         total = np.concatenate([[0], np.cumsum(length)])
-        per_doc = total[ends] - total[ends - n_words] + 1
+        ends = np.searchsorted(doc, np.arange(n), side="right")
+        begins = np.searchsorted(doc, np.arange(n), side="left")
+        per_doc = total[ends] - total[begins] + 1
         out = np.empty(int(per_doc.sum()), np.uint32)
         last = np.cumsum(per_doc) - 1
-        body = np.ones(len(out), bool)
-        body[last] = False
+        free = np.ones(len(out), bool)
+        free[last] = False
         out[last] = end_id
-        out[body] = self.flat[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
+        out[free] = body
         return out, per_doc
 
 
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One per worker process, so that its table of words outlives a task."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
+
+
 # ---------------------------------------------------------------- the code
 
 
@@ -144,16 +211,22 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
     """The bit stream of ids and the bit offset of each block of ids."""
-    n = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n)
-    pos = ends - n
-    word, room = pos >> 5, 64 - (pos & 31) - n
-    v = codes[ids].astype(np.uint64) << room.astype(np.uint64)
-    size = int(word[-1]) + 2 if len(ids) else 0
-    high = np.bincount(word, (v >> np.uint64(32)).astype(np.float64), size)  # bits don't overlap: sums stay below 2**32
-    low = np.bincount(word + 1, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
+    n = lengths[ids]
+    ends = np.cumsum(n, dtype=np.int64)
     total = int(ends[-1]) if len(ids) else 0
-    return (high + low).astype(">u4").tobytes()[: (total + 7) // 8], pos[::block].astype(np.int64)
+    out = np.zeros((total >> 5) + 2, np.uint32)
+    for lo in range(0, len(ids), 1 << 15):  # pieces that stay in cache
+        k = n[lo : lo + (1 << 15)].astype(np.int64)
+        pos = ends[lo : lo + (1 << 15)] - k
+        base = int(pos[0]) >> 5
+        word = (pos >> 5) - base
+        v = codes[ids[lo : lo + (1 << 15)]].astype(np.uint64) << (64 - (pos & 31) - k).astype(np.uint64)
+        size = int(word[-1]) + 2
+        # bits never overlap, so sums stay below 2**32
+        both = np.bincount(word, (v >> np.uint64(32)).astype(np.float64), size)
+        both += np.bincount(word + 1, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
+        out[base : base + size] |= both.astype(np.uint32)
+    return out.astype(">u4").tobytes()[: (total + 7) // 8], (ends - n)[::block].astype(np.int64)
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,42 +264,47 @@ def decode_bits(payload: bytes, checkpoints: np.ndarray, n_ids: int, table, bloc
 
 def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, at, seq = WordTokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0
+        tok, part, at, seq = tokenizer_of(tokenizer), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        counts = np.zeros(max(tok.vocab, end_id + 1), np.int64)
 
         def flush():
             nonlocal at, seq
             ids = np.concatenate([x[2] for x in held])
-            kind = np.uint16 if tok.model.get_vocab_size() <= 1 << 16 else np.uint32
-            row = [part, seq, at, len(ids), blob(np.concatenate([x[0] for x in held])), blob(np.concatenate([x[1] for x in held])), blob(ids.astype(kind)), kind().itemsize]
+            counts[:] += np.bincount(ids, minlength=len(counts))
+            kind = np.uint16 if tok.vocab <= 1 << 16 else np.uint32
+            row = [part, seq, at, len(ids), blob(np.concatenate([x[0] for x in held])), blob(np.concatenate([x[1] for x in held])), blob(ids.astype(kind)), kind().itemsize, None]
             at, seq = at + len(ids), seq + 1
             held.clear()
             return pa.RecordBatch.from_pylist([dict(zip(names, row))], schema=schema)
 
-        names = ["part", "seq", "start_in_part", "n_ids", "doc_ids", "lengths", "ids", "width"]
-        schema = pa.schema([(n, pa.binary() if n in ("doc_ids", "lengths", "ids") else pa.int64()) for n in names])
-        for b in batches(it, 2 << 20):
-            ids, per_doc = tok.encode([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(1).cast(pa.binary())], end_id)
+        names = ["part", "seq", "start_in_part", "n_ids", "doc_ids", "lengths", "ids", "width", "counts"]
+        schema = pa.schema([(n, pa.binary() if n in ("doc_ids", "lengths", "ids", "counts") else pa.int64()) for n in names])
+        for b in batches(it):
+            ids, per_doc = tok.encode(b.column(1), end_id)
             held.append((b.column(0).to_numpy(), per_doc, ids))
             if sum(len(x[2]) for x in held) >= RUN_IDS:
                 yield flush()
         if held:
             yield flush()
+        if seq:  # one row for what the whole partition holds of each id
+            yield pa.RecordBatch.from_pylist([{"part": part, "seq": -1, "counts": blob(counts)}], schema=schema)
 
-    return docs.mapInArrow(run, "part long, seq long, start_in_part long, n_ids long, doc_ids binary, lengths binary, ids binary, width long")
+    return docs.mapInArrow(run, "part long, seq long, start_in_part long, n_ids long, doc_ids binary, lengths binary, ids binary, width long, counts binary")
 
 
 def _counts(runs: DataFrame, vocab: int) -> np.ndarray:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(vocab, np.int64)
         for b in it:
-            for ids, width in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c += np.bincount(np.frombuffer(ids, f"u{width}"), minlength=vocab)
+            for x in b.column(0).to_pylist():
+                c += np.frombuffer(x, np.int64)
         k = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c[k])], ["id", "n"])
 
     out = np.zeros(vocab, np.int64)
-    for r in runs.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary at most
+    own = runs.filter("seq = -1").select("counts")
+    for r in own.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary at most
         out[r["id"]] = r["n"]
     return out
 
@@ -242,7 +320,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     plain = f"{path}-ids"
     _tokenise(ordered, tokenizer, end_id).write.option("compression", "zstd").parquet(plain)
     runs = spark.read.parquet(plain)
-    counts = _counts(runs, vocab)
+    counts = _counts(runs, max(vocab, end_id + 1))
     lengths = code_lengths(counts)
     codes = canonical(lengths)
     used = np.flatnonzero(lengths)
@@ -258,7 +336,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             )
 
     schema = "part long, seq long, start_in_part long, n_ids long, doc_ids binary, lengths binary, payload binary, checkpoints binary"
-    runs.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/runs")
+    runs.filter("seq >= 0").drop("counts").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/runs")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(plain)
     at.getFileSystem(conf).delete(at, True)
