@@ -47,8 +47,8 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fan_out(df: DataFrame, mb: int = 4) -> int:
-    """Partitions for a whole-text exchange: about `mb` of file each, up to 128 MB each on huge inputs."""
+def fan_out(df: DataFrame, mb: int = 2) -> int:
+    """Partitions for a whole-text exchange of table df: about `mb` of file each, up to 128 MB on huge inputs."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = estimated_bytes(df)

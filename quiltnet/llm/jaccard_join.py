@@ -242,7 +242,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
     """Per document: doc_id, n_shingles, component_id, n_links (documents it links with, copies included)."""
     spark = docs.sparkSession
     texts = texts_of(docs)
-    n_buckets = 2 * fan_out(texts)
+    n_buckets = fan_out(docs)
     order = spark.sparkContext.broadcast(_sketch(texts, words))  # 2 MB
     sets = stored(_signed(texts, order, words, percent), "jaccard-sets")
     real = sets.filter("n > 0")

@@ -373,8 +373,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     if length < KMER + 1:
         raise ValueError(f"length is {KMER + 1} bytes at least")
     source = texts_of(docs)
-    n_parts = fan_out(source)
-    n_groups, n_buckets = 2 * n_parts, 2 * n_parts
+    n_parts = fan_out(docs)
+    n_groups, n_buckets = 2 * n_parts, 4 * n_parts
     dealt = source.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups))).repartition(n_parts, "g")
     keys = dealt.groupBy("g").applyInArrow(_send_anchors(n_buckets, length), "bucket long, g long, keys binary, multi binary")
     masks = keys.groupBy("bucket").applyInArrow(_mark_shared, "g long, bucket long, mask binary")

@@ -316,7 +316,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     vocab = Tokenizer.from_file(tokenizer).get_vocab_size()
     source = texts_of(docs)
-    ordered = source.repartitionByRange(fan_out(source), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = source.repartitionByRange(fan_out(docs, 4), "doc_id").sortWithinPartitions("doc_id", "text")
     plain = f"{path}-ids"
     _tokenise(ordered, tokenizer, end_id).write.option("compression", "zstd").parquet(plain)
     runs = spark.read.parquet(plain)
