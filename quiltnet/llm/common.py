@@ -65,6 +65,11 @@ def texts_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def row_key(text="text"):
+    """With doc_id, tells the rows of a table apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def id_out(name: str = "doc_id"):
     return F.when(F.col(name) != NULL_ID, F.col(name)).alias(name)
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, batches, blob, fan_out, id_out, mix, read, stored, texts_of, utf8, window_hashes, word_bounds, word_hashes
+from .common import NULL_ID, SPACES, batches, blob, fan_out, id_out, mix, read, row_key, stored, texts_of, utf8, window_hashes, word_bounds, word_hashes
 from .components import connected_components, local_roots
 
 WORDS = 5
@@ -90,7 +90,7 @@ def _sketch(texts: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
-_SETS = "doc_id long, n long, s1 long, s2 long, p1 long, prefix binary"
+_SETS = "doc_id long, tag long, n long, s1 long, s2 long, p1 long, prefix binary"
 
 
 def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
@@ -113,7 +113,7 @@ def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
                     head = np.sort(rare[begin[i] : begin[i] + k[i]])
                     prefix[i] = blob(head)
                     p1[i] = np.add.reduce(mix(head ^ np.uint64(n[i])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(v.view(np.int64)) for v in (s1, s2, p1)), pa.array(prefix, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), *(pa.array(v.view(np.int64)) for v in (s1, s2, p1)), pa.array(prefix, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
 
     return texts.mapInArrow(run, _SETS)
 
@@ -238,10 +238,11 @@ def _verify(words: int, percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, n_links (documents it links with, copies included)."""
+def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """Per row of docs: doc_id (null as the largest number), tag (its text's key), n_shingles, component_id, n_links."""
     spark = docs.sparkSession
     texts = texts_of(docs)
+    texts = texts.withColumn("tag", row_key())
     n_buckets = fan_out(docs)
     order = spark.sparkContext.broadcast(_sketch(texts, words))  # 2 MB
     sets = stored(_signed(texts, order, words, percent), "jaccard-sets")
@@ -268,9 +269,29 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
     label = stored(label, "jaccard-labels")
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = label.join(least, "root").select("n", "s1", "s2", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = sets.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select(id_out(), F.col("n").alias("n_shingles"), F.when(own != 2**63 - 1, own).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = sets.select("doc_id", "tag", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, n_links (documents it links with, copies included)."""
+    return jaccard_rows(docs, words, percent, cell).select(id_out(), "n_shingles", id_out("component_id"), "n_links")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component, the one with the smallest doc_id; all columns stay.
+
+    A text repeated under one doc_id stays once; different texts under it stay apart.
+    """
+    rows = stored(jaccard_rows(docs, words, percent), "jaccard-rows")
+    firsts = rows.filter("doc_id = component_id").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("rows"))
+    repeats = not firsts.filter("rows > 1").isEmpty()
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), row_key().alias("_tag")]
+    tagged = docs.select("*", *key)
+    if repeats:  # rare: needs the rows of one doc_id side by side
+        tagged = tagged.dropDuplicates(["_id", "_tag"])
+    kept = firsts.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    return tagged.join(kept, ["_id", "_tag"], "left_semi").select(*[tagged[c] for c in docs.columns])
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

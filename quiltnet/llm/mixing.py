@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, stored
+from .common import read, row_key, stored
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -103,12 +103,12 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: boo
     return np.array(p)
 
 
-_STATE = "key binary, doc_id long, size long, source_rank int, whole long, p double, ordinal long"
+_STATE = "tag long, doc_id long, size long, source_rank int, whole long, p double, ordinal long"
 
 
 def _level(rows: DataFrame, chunks, land: bool, seed: int, level: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("ordinal", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("key", "ascending")])
+        order = table.sort_by([("ordinal", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("tag", "ascending")])
         rank, chunk = order["source_rank"][0].as_py(), order["chunk"][0].as_py()
         rng = np.random.default_rng([seed, level, rank, chunk])
         p = flight(order["size"].to_numpy(), order["p"].to_numpy(), rng, land)
@@ -119,14 +119,13 @@ def _level(rows: DataFrame, chunks, land: bool, seed: int, level: int) -> DataFr
     return keyed.groupBy("source_rank", "chunk").applyInArrow(run, _STATE)
 
 
-def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20, payload: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words, repeats counted) and copies.
+def cube_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
+    """Per row of docs: doc_id, tag (its text's key), size, source_size, target, taken and copies.
 
-    `payload` names columns of docs to carry; they travel as one Arrow-neutral struct and keep
-    their names. Only ids, sizes and probabilities go through the flight.
+    Only ids, sizes and probabilities go through the flight, never texts.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("tag"))
     base = stored(base, "mix-sizes")
     per = source_targets(base, weights, cap)
     per = per.withColumn("source_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -136,7 +135,7 @@ def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     ordinal = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     whole = F.floor(F.col("rate") + EPS)
     state = joined.select(
-        F.lit(b"").alias("key"), "doc_id", "size", "source_rank", whole.cast("long").alias("whole"),
+        "tag", "doc_id", "size", "source_rank", whole.cast("long").alias("whole"),
         F.greatest(F.lit(0.0), F.col("rate") - whole).alias("p"), ordinal.alias("ordinal"), F.ceil(F.col("source_rows") / CHUNK).alias("n_chunks"),
     )
     chunks = F.pmod(F.shiftright("ordinal", 7), F.col("n_chunks")).cast("long")
@@ -157,7 +156,24 @@ def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     for x in settled[1:]:
         done = done.unionByName(x)
     copies = F.col("whole") + F.col("p").cast("long")
-    return done.alias("d").join(per.alias("s"), "source_rank").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return done.alias("d").join(per.alias("s"), "source_rank").select("doc_id", "tag", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken (words, repeats counted) and copies."""
+    return cube_rows(docs, weights, cap, seed).drop("tag")
+
+
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with all its columns."""
+    picks = cube_rows(docs, weights, cap, seed).groupBy("doc_id", "tag").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    picks = stored(picks, "mix-picks").withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    tagged = docs.select("*", F.col("doc_id").cast("long").alias("_id"), row_key().alias("_tag"))
+    if not picks.filter("_rows > 1").isEmpty():  # rows that are equal share their picks
+        tagged = tagged.dropDuplicates(["_id", "_tag"])
+    picks = picks.filter("_copies > 0").withColumnRenamed("_tag", "_key").select(F.col("_id").alias("_other"), "_key", "_copies")
+    both = tagged.join(picks, tagged["_id"].eqNullSafe(picks["_other"]) & (tagged["_tag"] == picks["_key"]))
+    return both.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[tagged[c] for c in docs.columns])
 
 
 def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
