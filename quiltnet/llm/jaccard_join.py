@@ -22,7 +22,6 @@ copies; a null doc_id counts as larger than all others; an empty table gives an
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,7 +109,7 @@ def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
                 rare = x[np.lexsort((x, order.value[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], r))]
                 k = n - (percent * n + 99) // 100 + 1
                 for i in some.tolist():
-                    head = np.sort(rare[begin[i] : begin[i] + k[i]])
+                    head = rare[begin[i] : begin[i] + k[i]]
                     prefix[i] = blob(head)
                     p1[i] = np.add.reduce(mix(head ^ np.uint64(n[i])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), *(pa.array(v.view(np.int64)) for v in (s1, s2, p1)), pa.array(prefix, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
@@ -131,48 +130,69 @@ def _numbered(groups: DataFrame) -> DataFrame:
 
 
 def _candidates(groups: DataFrame, n_buckets: int, percent: int) -> DataFrame:
-    """(a, b): a forest per bucket over groups that share a prefix element and whose sizes allow a link."""
-    reach = math.ceil(math.log(100 / percent) / math.log(1.1)) + 1
+    """(a, b): a forest per bucket over groups that share a prefix element where both may still link.
+
+    An element at place k of a set of n leaves at most n - k in common, so the other set can have at
+    most (n - k) (1 + t) / t - n elements. A pair must satisfy this from both sides.
+    """
 
     def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            nodes = b["node"].to_numpy()
+            nodes, n = b["node"].to_numpy(), b["n"].to_numpy()
             heads = [np.frombuffer(x, np.uint64) for x in b["prefix"].to_pylist()]
             size = np.fromiter(map(len, heads), np.int64, len(heads))
             x = np.concatenate(heads)
             row = np.repeat(np.arange(len(heads)), size)
-            q = np.floor(np.log(b["n"].to_numpy()) / math.log(1.1)).astype(np.uint8)
+            place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+            room = (n[row] - place) * (100 + percent) // percent - n[row]
+            kind = np.uint16 if n.max() * 2 < 1 << 16 else np.uint32
             # a batch may join several files: one base per high part keeps offsets in 32 bits
             for base in np.unique(nodes >> 32):
-                own = (nodes >> 32)[row] == base
-                bx, br = x[own], row[own]
-                to = ((bx >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                k = np.flatnonzero((nodes >> 32)[row] == base)
+                to = ((x[k] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                bx, br, to = bx[order], br[order], to[order]
+                k, to = k[order], to[order]
                 cut = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(to)]
                 spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-                off = (nodes & 0xFFFFFFFF).astype(np.uint32)[br]
+                low = x[k]
+                columns = (low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), (nodes & 0xFFFFFFFF).astype(np.uint32)[row[k]], n[row[k]].astype(kind), room[k].astype(kind))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(to[s]) for s, _ in spans], pa.int64()), pa.array([int(base)] * len(spans), pa.int64()), *(pa.array([blob(v[s:e]) for s, e in spans], pa.binary()) for v in (bx, off, q[br]))],
-                    ["bucket", "base", "hashes", "offs", "sizes"],
+                    [pa.array([int(to[s]) for s, _ in spans], pa.int64()), pa.array([int(base)] * len(spans), pa.int64()), pa.array([kind().itemsize] * len(spans), pa.int64()), *(pa.array([blob(v[s:e]) for s, e in spans], pa.binary()) for v in columns)],
+                    ["bucket", "base", "width", "low", "high", "offs", "sizes", "rooms"],
                 )
 
     def meet(table: pa.Table) -> pa.Table:
-        x = np.concatenate([np.frombuffer(v, np.uint64) for v in table["hashes"].to_pylist()])
-        node = np.concatenate([np.frombuffer(v, np.uint32).astype(np.int64) + (base << 32) for v, base in zip(table["offs"].to_pylist(), table["base"].to_pylist())])
-        q = np.concatenate([np.frombuffer(v, np.uint8) for v in table["sizes"].to_pylist()]).astype(np.int64)
+        get = lambda c, kind: np.concatenate([np.frombuffer(v, kind if kind else f"u{w}").astype(np.int64) for v, w in zip(table[c].to_pylist(), table["width"].to_pylist())])
+        x = get("low", np.uint32) | (get("high", np.uint16) << 32)
         order = np.argsort(x)
-        xs = x[order]
-        same = xs[1:] == xs[:-1]
-        shared = np.r_[same, False] | np.r_[False, same]
-        k = order[shared]
-        k = k[np.lexsort((q[k], x[k]))]
-        link = (x[k[1:]] == x[k[:-1]]) & (q[k[1:]] - q[k[:-1]] <= reach)
-        nodes, roots = local_roots(node[k[:-1]][link], node[k[1:]][link])
+        same = x[order[1:]] == x[order[:-1]]
+        k = order[np.r_[same, False] | np.r_[False, same]]
+        del order, same
+        node = np.concatenate([np.frombuffer(v, np.uint32).astype(np.int64) + (base << 32) for v, base in zip(table["offs"].to_pylist(), table["base"].to_pylist())])
+        x, node, n, room = x[k], node[k], get("sizes", None)[k], get("rooms", None)[k]
+        by = np.lexsort((n, x))
+        x, node, n, room = x[by], node[by], n[by], room[by]
+        # each entry as the smaller set: the entries after it up to the largest size it allows
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+        post_of = np.cumsum(np.r_[True, x[1:] != x[:-1]]) - 1 if len(x) else first
+        width = int(n.max()) + 2 if len(n) else 1
+        last = np.searchsorted(post_of * width + n, post_of * width + np.minimum(room, width - 1), side="right")
+        reach = np.maximum(last - np.arange(len(x)) - 1, 0)
+        near = np.minimum(reach, 64)
+        a = np.repeat(np.arange(len(x)), near)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(near) - near, near)
+        ok = room[b] >= n[a]
+        a, b = a[ok], b[ok]
+        far = np.flatnonzero(reach > 64)  # long postings: neighbours by size stand for all pairs
+        chain = np.zeros(len(x) + 1, np.int64)
+        np.add.at(chain, far, 1)
+        np.add.at(chain, last[far] - 1, -1)
+        c = np.flatnonzero(np.cumsum(chain) > 0)
+        nodes, roots = local_roots(node[np.concatenate([a, c])], node[np.concatenate([b, c + 1])])
         differ = nodes != roots
         return pa.table({"a": nodes[differ], "b": roots[differ]})
 
-    posted = groups.select("node", "n", "prefix").mapInArrow(post, "bucket long, base long, hashes binary, offs binary, sizes binary")
+    posted = groups.select("node", "n", "prefix").mapInArrow(post, "bucket long, base long, width long, low binary, high binary, offs binary, sizes binary, rooms binary")
     return posted.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
@@ -256,7 +276,11 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
     blocks = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / cell).alias("cells"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     candidates = stored(members.join(blocks, "comp").select("comp", "cells", "doc_id", "copies", F.col("s1").alias("cid"), F.pmod(F.xxhash64("s1", "s2"), F.col("cells")).alias("sub")), "jaccard-candidates")
     n_pairs = candidates.agg(F.sum("cells")).first()[0] or 0
-    with_text = texts.join(candidates, "doc_id")
+    # a bitmap of 2**23 bits (131,072 rows at most) keeps texts of other documents out of the exchange
+    place = lambda: F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 23))
+    bits = candidates.select(place().alias("h")).groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word"))
+    marked = texts.select("doc_id", "text", place().alias("h")).withColumn("slot", F.shiftright("h", 6)).join(F.broadcast(bits), "slot")
+    with_text = marked.filter(F.expr("(shiftright(word, cast(h & 63 as int)) & 1L) = 1")).select("doc_id", "text").join(candidates, "doc_id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other")
     spread = with_text.select("comp", "cid", "copies", "sub", "text", other).select("comp", "cid", "copies", "sub", "text", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_pairs // 400)
