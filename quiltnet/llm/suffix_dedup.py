@@ -7,8 +7,8 @@ doc_id. The work is cut so that suffixes which may share such a string meet in o
    reuse). In every string of `length` bytes the smallest hash of its 28-byte substrings names its
    anchor; equal strings have equal anchors. A group sends the hashes of its anchors, each once.
 2. Hash buckets answer which anchors occur in two documents or more, as bit masks.
-3. A group sends, for shared anchors only, the segments of text whose strings have that anchor:
-   every distinct segment once, and where it occurs.
+3. A group sends the strings with shared anchors, run together to segments by a second anchor of
+   12 bytes that also names the bucket: every distinct segment once, and where it occurs.
 4. A bucket sorts the suffixes of its distinct segments by the two-stage method: suffixes smaller
    than their successors are sorted directly, the rest are induced by scanning the buckets of
    first bytes in order. Adjacent common prefixes of at least `length` bytes give the classes of equal
@@ -36,32 +36,35 @@ from .common import BASE, _bytes_to_64, blob, fan_out, id_out, mix, read, texts_
 
 LENGTH = 50
 KMER = 28
+SHORT = 12
 _PIECE = 1 << 20
 
 
 # ---------------------------------------------------------------- anchors
 
 
-def _kmer_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the KMER (16 + 8 + 4) bytes at each position."""
-    h = _bytes_to_64[raw]
-    sums, size, step = {}, 1, BASE
-    while size < 16:
-        h = h[:-size] * step + h[size:]
-        step, size = np.multiply(step, step), size * 2
-        sums[size] = h, step
-    n = len(raw) - KMER + 1
-    (h4, p4), (h8, p8), (h16, _) = sums[4], sums[8], sums[16]
-    return mix((h16[:n] * p8 + h8[16 : 16 + n]) * p4 + h4[24 : 24 + n])
+def _kmer_hashes(raw: np.ndarray, kmer: int) -> np.ndarray:
+    """A 64-bit hash of the kmer bytes at each position, put together from powers of two."""
+    h, size, power = _bytes_to_64[raw], 1, BASE
+    n, out, done = len(raw) - kmer + 1, None, 0
+    while True:
+        if kmer & size:  # bytes `done` to `done + size` of each substring
+            part = h[done : done + n]
+            out = part if out is None else out * power + part
+            done += size
+        if size * 2 > kmer:
+            return mix(out)
+        h = h[:-size] * power + h[size:]
+        power, size = np.multiply(power, power), size * 2
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each string start p (a whole string fits its document): p, its anchor's place, its hash."""
-    w = length - KMER + 1
+    w = length - kmer + 1
     starts, places, hashes = [], [], []
     for lo in range(0, max(0, len(raw) - length + 1), _PIECE):
         hi = min(len(raw) - length + 1, lo + _PIECE)
-        h = _kmer_hashes(raw[lo : hi + length - 1])
+        h = _kmer_hashes(raw[lo : hi + length - 1], kmer)
         key = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
         size = 1
         while size * 2 <= w:
@@ -172,17 +175,25 @@ def _send_segments(n_buckets: int, length: int):
         for k, m in sorted(zip(masks["bucket"].to_pylist(), masks["mask"].to_pylist())):
             lo, hi = np.searchsorted(b, [k, k + 1])
             shared[lo:hi] = np.unpackbits(np.frombuffer(m, np.uint8), count=hi - lo)
-        seg = np.flatnonzero(shared[inverse])
-        seg = seg[np.argsort(b[inverse[seg]], kind="stable")]
-        where = b[inverse[seg]]
-        start = g.p[g.first[seg]]
-        end = start + g.n_starts[seg] + length - 1
+        # shared starts, cut anew by anchors of fewer bytes: longer segments overlap less
+        own_start = np.repeat(shared[inverse], g.n_starts)
+        _, place2, hash2 = anchors(g.raw, g.offsets, length, SHORT)
+        p, place2, hash2 = g.p[own_start], place2[own_start], hash2[own_start]
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1] + 1) | (place2[1:] != place2[:-1])
+        seg = np.flatnonzero(new)
+        where = g.bucket(hash2[seg])
+        start, count = p[seg], np.diff(np.r_[seg, len(p)])
+        order = np.argsort(where, kind="stable")
+        where, start, count = where[order], start[order], count[order]
+        end = start + count + length - 1
+        doc = np.searchsorted(g.offsets, start, side="right") - 1
         whole = g.raw.tobytes()
-        cut = np.r_[0, np.flatnonzero(np.diff(where)) + 1, len(seg)] if len(seg) else np.zeros(1, int)
+        cut = np.r_[0, np.flatnonzero(np.diff(where)) + 1, len(where)] if len(where) else np.zeros(1, int)
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
             place: dict[bytes, int] = {}
             own = np.fromiter((place.setdefault(whole[s:e], len(place)) for s, e in zip(start[x:y].tolist(), end[x:y].tolist())), np.int64, y - x)
-            ids = g.ids[g.doc[seg[x:y]]]
+            ids = g.ids[doc[x:y]]
             least = np.full(len(place), np.iinfo(np.int64).max)
             np.minimum.at(least, own, ids)
             rows["bucket"].append(int(where[x]))
@@ -192,8 +203,8 @@ def _send_segments(n_buckets: int, length: int):
             rows["least"].append(blob(least))
             rows["occ_content"].append(blob(own.astype(np.uint32)))
             rows["occ_id"].append(blob(ids))
-            rows["occ_row"].append(blob(g.doc[seg[x:y]].astype(np.uint32)))
-            rows["occ_at"].append(blob((start[x:y] - g.offsets[g.doc[seg[x:y]]]).astype(np.uint32)))
+            rows["occ_row"].append(blob(doc[x:y].astype(np.uint32)))
+            rows["occ_at"].append(blob((start[x:y] - g.offsets[doc[x:y]]).astype(np.uint32)))
         return pa.table(rows, schema)
 
     return run
