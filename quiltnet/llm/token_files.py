@@ -34,8 +34,8 @@ MAX_BITS = 16
 BLOCK = 512
 RUN_IDS = 1 << 19
 END_ID = 1
-#: Words kept with their ids per worker; beyond it the table starts anew.
-CACHE_WORDS = 500_000
+#: Words kept with their ids per worker (about 100 MB); beyond it those of the current batch stay.
+CACHE_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -44,8 +44,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_TAIL = b".,;:!?*%#$&"
-_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+_IS_TAIL, _IS_PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_IS_TAIL[list(b".,;:!?*%#$&")] = True
+_IS_PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
 class WordTokenizer:
@@ -104,47 +105,57 @@ class WordTokenizer:
             self._append(words, np.diff(ends, prepend=0), ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        whole, parts = [], []
-        for w in words:
-            core = w.rstrip(_TAIL)
-            if core and len(core) < len(w) and core[-1] in _PLAIN and b"'" not in w and b"<" not in w:
-                parts.append((w, core, w[len(core) :]))
-            else:
-                whole.append(w)
-        have = self.place
-        more = {x for _, core, tail in parts for x in (core, tail)} - have.keys() - set(whole)
-        whole += sorted(more)
-        text = [w.decode() for w in whole]
+        text = [w.decode() for w in words]
         pure = [w.isalpha() for w in text]
-        self._learn_lines([w for w, p in zip(whole, pure) if p], [w for w, p in zip(text, pure) if p])
-        self._learn_each([w for w, p in zip(whole, pure) if not p], [w for w, p in zip(text, pure) if not p])
-        if parts:
-            both = np.fromiter((have[x] for _, core, tail in parts for x in (core, tail)), np.int64, 2 * len(parts))
-            ids_, lengths = self._ids_of(both)
-            self._append([w for w, _, _ in parts], lengths.reshape(-1, 2).sum(1), ids_)
+        self._learn_lines([w for w, p in zip(words, pure) if p], [w for w, p in zip(text, pure) if p])
+        self._learn_each([w for w, p in zip(words, pure) if not p], [w for w, p in zip(text, pure) if not p])
+
+    def _keep(self, words: list[bytes]) -> None:
+        """Only these words stay in the table."""
+        words = [w for w in words if w in self.place]
+        ids, lengths = self._ids_of(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
+        self.clear()
+        self._append(words, lengths, ids)
 
     def encode(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a column, each text followed by end_id, and how many each text has."""
         raw, offsets = utf8(column)
         n = len(offsets) - 1
-        s, e, doc = word_bounds(raw, offsets, ~SPACES)
+        s, e, _ = word_bounds(raw, offsets, ~SPACES)
         low = FOLD[raw]
-        marked = np.concatenate([[0], np.cumsum(raw == 0x3C)])
-        for k in np.flatnonzero(marked[e] > marked[s]).tolist():  # may spell a special token
-            low[s[k] : e[k]] = raw[s[k] : e[k]]
-        _, first, inverse = np.unique(word_hashes(low, s, e, fold=False), return_index=True, return_inverse=True)
+        at = np.flatnonzero((raw == 0x3C) | (raw == 0x27))
+        odd = np.searchsorted(at, e) > np.searchsorted(at, s) if len(at) else np.zeros(len(s), bool)
+        for k in np.flatnonzero(odd).tolist():
+            if (raw[s[k] : e[k]] == 0x3C).any():  # may spell a special token
+                low[s[k] : e[k]] = raw[s[k] : e[k]]
+        # up to 8 marks after a plain letter or digit are a piece of their own
+        k, core = np.flatnonzero(~odd), e.copy()
+        for _ in range(8):
+            k = k[(core[k] > s[k]) & _IS_TAIL[low[core[k] - 1]]]
+            if not len(k):
+                break
+            core[k] -= 1
+        k = np.flatnonzero((core < e) & (core > s))
+        cut = core[k][_IS_PLAIN[low[core[k] - 1]]]
+        s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
+        h = word_hashes(low, s, e, fold=False)
+        order = np.argsort(h)
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        first = order[new]
+        inverse = np.empty(len(h), np.int64)
+        inverse[order] = np.cumsum(new) - 1
         whole = low.tobytes()
         words = [whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
         if len(self.place) > CACHE_WORDS:
-            self.clear()
+            self._keep(words)
         new = [w for w in words if w not in self.place]
         if new:
-            self._learn(sorted(set(new)))
+            self._learn(sorted(new))
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         body, length = self._ids_of(at[inverse])
         total = np.concatenate([[0], np.cumsum(length)])
-        ends = np.searchsorted(doc, np.arange(n), side="right")
-        begins = np.searchsorted(doc, np.arange(n), side="left")
+        ends, begins = np.searchsorted(s, offsets[1:]), np.searchsorted(s, offsets[:-1])
         per_doc = total[ends] - total[begins] + 1
         out = np.empty(int(per_doc.sum()), np.uint32)
         last = np.cumsum(per_doc) - 1
