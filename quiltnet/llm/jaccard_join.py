@@ -37,6 +37,8 @@ WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 18
 CELL = 256
+#: Counters of a set by hash; their overlap bounds the overlap of two sets from above.
+CELLS = 256
 
 
 def shingle_sets(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ def _sketch(texts: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
-_SETS = "doc_id long, tag long, n long, s1 long, s2 long, p1 long, prefix binary"
+_SETS = "doc_id long, tag long, n long, s1 long, s2 long, p1 long, prefix binary, cells binary"
 
 
 def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
@@ -102,8 +104,10 @@ def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
             begin = ends - n
             some = np.flatnonzero(n)
             s1, s2, p1 = (np.zeros(len(n), np.uint64) for _ in range(3))
-            prefix = [b""] * len(n)
+            prefix, cells = [b""] * len(n), [b""] * len(n)
             if len(some):
+                spread = np.bincount(r * CELLS + (x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS * len(n)).astype(np.uint32).reshape(len(n), CELLS)
+                cells = [blob(c) for c in spread]
                 s1[some] = np.add.reduceat(mix(x), begin[some])
                 s2[some] = np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D)), begin[some])
                 rare = x[np.lexsort((x, order.value[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], r))]
@@ -112,7 +116,7 @@ def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
                     head = rare[begin[i] : begin[i] + k[i]]
                     prefix[i] = blob(head)
                     p1[i] = np.add.reduce(mix(head ^ np.uint64(n[i])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), *(pa.array(v.view(np.int64)) for v in (s1, s2, p1)), pa.array(prefix, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), *(pa.array(v.view(np.int64)) for v in (s1, s2, p1)), pa.array(prefix, pa.binary()), pa.array(cells, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
 
     return texts.mapInArrow(run, _SETS)
 
@@ -196,6 +200,50 @@ def _candidates(groups: DataFrame, n_buckets: int, percent: int) -> DataFrame:
     return posted.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
+def _keys(table: pa.Table, good: np.ndarray | None = None):
+    """Row indexes of each (comp, i, j) of a table, repeats of a class left out."""
+    comp, i, j, cid = (table[c].to_numpy() for c in ("comp", "i", "j", "cid"))
+    order = np.lexsort((cid, j, i, comp))
+    if good is not None:
+        order = order[good[order]]
+    key = np.stack([comp[order], i[order], j[order]])
+    edge = np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)] if len(order) else np.zeros(0, bool)
+    cuts = np.r_[np.flatnonzero(edge), len(order)]
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        rows = order[a:z]
+        rows = rows[np.r_[True, cid[rows[1:]] != cid[rows[:-1]]]]
+        if len(rows) > 1:
+            yield rows
+
+
+def _possible(percent: int):
+    """Forest over classes of one block whose counters leave a link possible."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, n, sub, i, j = (table[c].to_numpy() for c in ("cid", "n", "sub", "i", "j"))
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint32).reshape(-1, CELLS)
+        cells = cells.astype(np.uint16) if cells.max(initial=0) < 1 << 16 else cells
+        nodes, roots = [], []
+        for rows in _keys(table):
+            c, m, own, across = cells[rows], n[rows], sub[rows], i[rows[0]] != j[rows[0]]
+            p, q = [], []
+            for k in range(len(rows) - 1):
+                most = np.minimum(c[k], c[k + 1 :]).sum(1, dtype=np.int64)
+                ok = 100 * most >= percent * (m[k] + m[k + 1 :] - most)
+                if across:
+                    ok &= own[k + 1 :] != own[k]
+                hit = np.flatnonzero(ok)
+                p.append(np.full(len(hit), k))
+                q.append(hit + k + 1)
+            x, y = local_roots(cid[rows][np.concatenate(p)], cid[rows][np.concatenate(q)])
+            nodes.append(x[x != y])
+            roots.append(y[x != y])
+        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+        return pa.table({"a": cat(nodes), "b": cat(roots)})
+
+    return run
+
+
 def _intersections(x: np.ndarray, r: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
     """Set intersection sizes of n rows, from (hash, row) pairs: a blocked product of 0/1 matrices."""
     _, col, seen = np.unique(x, return_inverse=True, return_counts=True)
@@ -224,19 +272,9 @@ def _verify(words: int, percent: int):
             sums[some] = np.add.reduceat(mix(x), begin[some])
         cid = table["cid"].to_numpy()
         good = sums.view(np.int64) == cid
-        comp, i, j, sub = (table[c].to_numpy() for c in ("comp", "i", "j", "sub"))
-        copies = table["copies"].to_numpy()
-        order = np.lexsort((cid, j, i, comp))
-        order = order[good[order]]
-        key = np.stack([comp[order], i[order], j[order]])
-        edge = np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)] if len(order) else np.zeros(0, bool)
-        cuts = np.r_[np.flatnonzero(edge), len(order)]
+        i, j, sub, copies = (table[c].to_numpy() for c in ("i", "j", "sub", "copies"))
         nodes, roots, links = [], [], []
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            rows = order[a:z]
-            rows = rows[np.r_[True, cid[rows[1:]] != cid[rows[:-1]]]]
-            if len(rows) < 2:
-                continue
+        for rows in _keys(table, good):
             own = np.concatenate([x[begin[k] : begin[k] + n[k]] for k in rows])
             inter = _intersections(own, np.repeat(np.arange(len(rows)), n[rows]), len(rows))
             linked = 100 * inter >= percent * (n[rows][:, None] + n[rows][None, :] - inter)
@@ -258,6 +296,25 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _blocks(members: DataFrame, cell: int, name: str) -> DataFrame:
+    """Members of blocks of two or more, each with its cell `sub` of `width` cells."""
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("comp", F.ceil(F.col("m") / cell).alias("width"))
+    return stored(members.join(sizes, "comp").withColumn("sub", F.pmod(F.xxhash64("cid", "s2"), F.col("width"))), name)
+
+
+def _in_cells(rows: DataFrame, n_tasks: int):
+    """Rows once for every pair of cells that holds theirs, grouped to n_tasks."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("other")
+    pairs = rows.select("*", other).withColumns({"i": F.least("sub", "other"), "j": F.greatest("sub", "other")}).drop("other", "width")
+    return pairs.withColumn("task", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_tasks))).groupBy("task")
+
+
+def _tasks(blocks: DataFrame, rows: int) -> int:
+    """Enough tasks that each has about so many rows, once rows stand in all their cells."""
+    least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, (blocks.agg(F.sum("width")).first()[0] or 0) // rows)
+
+
 def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """Per row of docs: doc_id (null as the largest number), tag (its text's key), n_shingles, component_id, n_links."""
     spark = docs.sparkSession
@@ -267,28 +324,28 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
     order = spark.sparkContext.broadcast(_sketch(texts, words))  # 2 MB
     sets = stored(_signed(texts, order, words, percent), "jaccard-sets")
     real = sets.filter("n > 0")
-    classes = real.groupBy("n", "s1", "s2", "p1").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes, "jaccard-classes")
+    classes = real.groupBy("n", "s1", "s2", "p1").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("cells").alias("cells"))
+    classes = stored(classes.withColumnRenamed("s1", "cid"), "jaccard-classes")
     groups = _numbered(real.groupBy("n", "p1").agg(F.max("prefix").alias("prefix")))
+    # blocks of groups, expanded to classes
     roots = connected_components(_candidates(groups, n_buckets, percent))
     placed = groups.select("node", "n", "p1").join(roots, "node", "left").select("n", "p1", F.coalesce("root", "node").alias("comp"))
-    members = stored(classes.join(placed, ["n", "p1"]), "jaccard-members")
-    blocks = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / cell).alias("cells"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    candidates = stored(members.join(blocks, "comp").select("comp", "cells", "doc_id", "copies", F.col("s1").alias("cid"), F.pmod(F.xxhash64("s1", "s2"), F.col("cells")).alias("sub")), "jaccard-candidates")
-    n_pairs = candidates.agg(F.sum("cells")).first()[0] or 0
+    rough = _blocks(classes.join(placed, ["n", "p1"]), cell, "jaccard-rough")
+    narrow = rough.select("comp", "cid", "n", "sub", "cells", "width")
+    possible = connected_components(_in_cells(narrow, _tasks(rough, 4000)).applyInArrow(_possible(percent), "a long, b long"))
+    # finer blocks: what the counters leave
+    linked = possible.select(F.col("node").alias("cid"), "root").union(possible.select("root", "root").distinct())
+    fine = _blocks(classes.select("cid", "n", "doc_id", "copies", "s2").join(linked, "cid").withColumnRenamed("root", "comp"), cell, "jaccard-fine")
     # a bitmap of 2**23 bits (131,072 rows at most) keeps texts of other documents out of the exchange
     place = lambda: F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 23))
-    bits = candidates.select(place().alias("h")).groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word"))
+    bits = fine.select(place().alias("h")).groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word"))
     marked = texts.select("doc_id", "text", place().alias("h")).withColumn("slot", F.shiftright("h", 6)).join(F.broadcast(bits), "slot")
-    with_text = marked.filter(F.expr("(shiftright(word, cast(h & 63 as int)) & 1L) = 1")).select("doc_id", "text").join(candidates, "doc_id")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other")
-    spread = with_text.select("comp", "cid", "copies", "sub", "text", other).select("comp", "cid", "copies", "sub", "text", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
-    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_pairs // 400)
-    keyed = spread.withColumn("task", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_tasks)))
-    verified = stored(keyed.groupBy("task").applyInArrow(_verify(words, percent), "node long, root long, links long"), "jaccard-links")
+    with_text = marked.filter(F.expr("(shiftright(word, cast(h & 63 as int)) & 1L) = 1")).select("doc_id", "text").join(fine, "doc_id")
+    verified = _in_cells(with_text.select("comp", "cid", "copies", "sub", "text", "width"), _tasks(fine, 400)).applyInArrow(_verify(words, percent), "node long, root long, links long")
+    verified = stored(verified, "jaccard-links")
     final = connected_components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    label = classes.withColumnRenamed("s1", "node").join(final, "node", "left").join(linked, "node", "left")
+    label = classes.drop("cells").withColumnRenamed("cid", "node").join(final, "node", "left").join(linked, "node", "left")
     label = label.select(F.col("node").alias("s1"), "n", "s2", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     label = stored(label, "jaccard-labels")
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
