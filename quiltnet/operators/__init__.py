@@ -1 +1 @@
-
+"""Operators as functions from DataFrames to DataFrames."""
