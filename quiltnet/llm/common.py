@@ -152,7 +152,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 _bytes_to_64 = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, block: int = 1 << 22) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, block: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each word's bytes, from polynomial prefix sums taken block by block."""
     out = np.empty(len(starts), np.uint64)
     at = 0
@@ -180,7 +180,7 @@ def window_hashes(words: np.ndarray, m: int) -> np.ndarray:
     return mix(h)
 
 
-def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 8 * MB) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 2 * MB) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that each holds about max_bytes of text (one row at least)."""
     for b in it:
         size = b.nbytes

@@ -291,7 +291,7 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         names = ["part", "seq", "start_in_part", "n_ids", "doc_ids", "lengths", "ids", "width", "counts"]
         schema = pa.schema([(n, pa.binary() if n in ("doc_ids", "lengths", "ids", "counts") else pa.int64()) for n in names])
-        for b in batches(it):
+        for b in batches(it, 6 << 20):
             ids, per_doc = tok.encode(b.column(1), end_id)
             held.append((b.column(0).to_numpy(), per_doc, ids))
             if sum(len(x[2]) for x in held) >= RUN_IDS:
