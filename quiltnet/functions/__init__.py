@@ -1 +1 @@
-
+"""Statistics over columns and tables."""
