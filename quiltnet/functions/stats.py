@@ -146,15 +146,13 @@ def neighbour_class_share(nodes: DataFrame, present: str, total: str, extreme: s
     """(t, n_class, n_hit, percent) for t = 1 .. half the contexts: of the nodes in at most t contexts (`HK`)
     those with a neighbour in more than all but t; of the nodes in all but t or more (`TS`) those with a
     neighbour in fewer. Thresholds are a table of at most half the contexts."""
-    spark = nodes.sparkSession
-    t_all = nodes.agg(F.max(total).alias("T"))
-    ts = t_all.select("T", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("T") / 2))).alias("t"))
+    all_ = nodes.agg(F.max(total).alias("n_ctx"))
+    ts = all_.select("n_ctx", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n_ctx") / 2))).alias("t"))
     j = nodes.select(present, extreme).crossJoin(F.broadcast(ts))
     if toward == "HK":
-        cls, hit = (F.col(present) <= F.col("t")) & (F.col(present) != 0), F.col(extreme) > F.col("T") - F.col("t")
+        cls, hit = (F.col(present) <= F.col("t")) & (F.col(present) != 0), F.col(extreme) > F.col("n_ctx") - F.col("t")
     else:
-        cls, hit = F.col(present) >= F.col("T") - F.col("t"), F.col(extreme) < F.col("T") - F.col("t")
-    del spark
+        cls, hit = F.col(present) >= F.col("n_ctx") - F.col("t"), F.col(extreme) < F.col("n_ctx") - F.col("t")
     out = j.groupBy("t").agg(F.count(F.when(cls, 1)).alias("n_class"), F.count(F.when(cls & hit, 1)).alias("n_hit"))
     return out.select("t", "n_class", "n_hit", (100.0 * F.try_divide("n_hit", "n_class")).alias("percent"))
 
@@ -185,15 +183,15 @@ def expected_neighbour_share(nodes: DataFrame, threshold: float, toward: str = "
     """One row (percent): expected share of a class with a neighbour of the other kind, if neighbours were
     drawn at random without replacement; averaged over all present nodes or the class alone."""
     d = nodes.filter(F.col(present) != 0)
-    s = d.agg(F.max(total).cast("double").alias("T"), F.count(F.lit(1)).cast("double").alias("N"))
+    s = d.agg(F.max(total).cast("double").alias("n_ctx"), F.count(F.lit(1)).cast("double").alias("n_all"))
     d = d.crossJoin(s)
-    ts, hk = F.col(present) <= threshold * F.col("T"), F.col(present) >= (1 - threshold) * F.col("T")
+    ts, hk = F.col(present) <= threshold * F.col("n_ctx"), F.col(present) >= (1 - threshold) * F.col("n_ctx")
     n_hk = d.agg(F.count(F.when(hk, 1)).cast("double").alias("n_hk"))
     d = d.crossJoin(n_hk)
     if toward == "HK":
-        none, cls = hyper_none(F.col("n_hk"), F.col("N") - 1 - F.col("n_hk"), F.col(degree).cast("double")), ts
+        none, cls = hyper_none(F.col("n_hk"), F.col("n_all") - 1 - F.col("n_hk"), F.col(degree).cast("double")), ts
     else:
-        none, cls = hyper_none(F.col("N") - F.col("n_hk"), F.col("n_hk"), F.col(degree).cast("double")), hk
+        none, cls = hyper_none(F.col("n_all") - F.col("n_hk"), F.col("n_hk"), F.col(degree).cast("double")), hk
     p = 1 - none
     return d.agg((100.0 * F.avg(F.when(cls, p) if class_only else p)).alias("percent"))
 

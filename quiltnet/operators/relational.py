@@ -233,10 +233,8 @@ def labels(nodes: DataFrame, members: DataFrame, complete_only: bool = False) ->
     """(node, label): presence in all contexts in order, joined by |, with - for not measured."""
     ctx = members.select("ctx").distinct()
     grid = nodes.select("node").distinct().crossJoin(F.broadcast(ctx)).join(members, ["node", "ctx"], "left")
-    out = grid.groupBy("node").agg(F.listagg(F.coalesce(F.col("present").cast("string"), F.lit("-")), F.lit("|")).within_group(F.col("ctx")).alias("label")) if hasattr(F.listagg("node"), "within_group") else None
-    if out is None:
-        rows = F.sort_array(F.collect_list(F.struct("ctx", F.coalesce(F.col("present").cast("string"), F.lit("-")).alias("v"))))
-        out = grid.groupBy("node").agg(F.array_join(F.transform(rows, lambda r: r["v"]), "|").alias("label"))
+    rows = F.sort_array(F.collect_list(F.struct("ctx", F.coalesce(F.col("present").cast("string"), F.lit("-")).alias("v"))))
+    out = grid.groupBy("node").agg(F.array_join(F.transform(rows, lambda x: x["v"]), "|").alias("label"))
     return out.filter(~F.contains("label", F.lit("-"))) if complete_only else out
 
 
