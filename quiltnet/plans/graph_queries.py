@@ -76,8 +76,9 @@ def local_clustering(m):
     return graph.local_clustering(m.edges(), m.parts().select(F.col("p_partkey").alias("node")))
 
 
-@query("g13_context_clustering", _ADJ + _TRI + f""", tc AS (SELECT u.ctx, unnest([x, y, z]) AS node FROM tri JOIN ex u ON u.node = x JOIN ex v ON v.node = y AND v.ctx = u.ctx JOIN ex w ON w.node = z AND w.ctx = u.ctx),
-tk AS (SELECT ctx, node, count(*) AS t FROM tc GROUP BY ctx, node)
+@query("g13_context_clustering", _ADJ + _TRI.replace("tri AS (", "tri AS MATERIALIZED (") + f""", mk AS MATERIALIZED (SELECT node, bit_or(CASE WHEN present <> 0 THEN 1 << (ctx - 1) ELSE 0 END) AS mask FROM mem GROUP BY node),
+tl AS MATERIALIZED (SELECT x, y, z, u.mask & v.mask & w.mask AS label FROM tri JOIN mk u ON u.node = x JOIN mk v ON v.node = y JOIN mk w ON w.node = z),
+tk AS (SELECT ctx, node, count(*) AS t FROM (SELECT ctx, unnest([x, y, z]) AS node FROM tl, range(12) AS c(ctx) WHERE (label >> ctx) & 1 = 1) GROUP BY ctx, node)
 SELECT ctx, node, {r('2.0 * coalesce(t, 0) / (degree * (degree - 1))', 'cc')} FROM dc LEFT JOIN tk USING (ctx, node) WHERE degree >= 2""")
 def context_clustering(m):
     return graph.context_clustering(m.edges(), members(m))
