@@ -1,38 +1,12 @@
-"""Connected components of a large edge table by alternating large-star and small-star steps."""
+"""Components of edge lists: of a bucket in numpy, of a whole table in Spark."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import stored
+from ..operators.components import connected_components
 
-
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of edges (a, b: long) that is not the smallest of its component.
-
-    Each round is joins and minima over the edge table, written to the shared folder; rounds grow
-    with the logarithm of a component's size. Nothing but a checksum reaches the driver.
-    """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = stored(now, "components")
-    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    before = sign(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select("v", "u"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        now = stored(small.distinct(), "components")
-        after = sign(now)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+__all__ = ["connected_components", "local_roots"]
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

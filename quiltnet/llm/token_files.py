@@ -16,7 +16,6 @@ documents of their own; an empty table writes an empty codebook and no runs.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, SPACES, batches, blob, fan_out, id_out, read, shared_dir, texts_of, utf8, word_bounds, word_hashes
+from .common import FOLD, SPACES, batches, blob, fan_out, fresh_path, id_out, read, texts_of, utf8, word_bounds, word_hashes
 
 MAX_BITS = 16
 BLOCK = 512
@@ -382,7 +381,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = True) -> Dat
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write docs to a fresh folder in the shared folder, read the files back, digest each document."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "tokens")
     write_token_files(docs, path, tokenizer)
     return read_token_files(spark, path)
 
