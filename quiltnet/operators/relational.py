@@ -117,7 +117,7 @@ def same_ids(df: DataFrame, columns: list[str], universe: DataFrame, key: str) -
 
 def unmatched(df: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Rows whose id is not known; null ids are neither known nor unknown."""
-    return df.filter(F.col(column).isNotNull()).join(known.select(F.col(key).alias(column)).distinct(), column, "left_anti")
+    return df.filter(F.col(column).isNotNull()).join(known.select(F.col(key).alias(column)).distinct(), column, "left_anti").select(*df.columns)
 
 
 def any_unmatched(df: DataFrame, columns: list[str], known: DataFrame, key: str) -> DataFrame:
