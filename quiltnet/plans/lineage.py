@@ -11,11 +11,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; one is set only where the session has none (tests)."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/checkpoints"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(at)
-    return at
+    if at:
+        return at
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isEmpty():
+        sc.setCheckpointDir("/tmp/checkpoints")
+        own = sc._jsc.sc().getCheckpointDir()
+    return own.get()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
