@@ -148,8 +148,8 @@ def _(m):
     return graph.weighted_sizes(m.parts().select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("cluster")))
 
 
-@query("g20_components", """RECURSIVE, sy AS (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse), reach AS (SELECT u AS node, u AS root FROM (SELECT DISTINCT u FROM sy) UNION SELECT sy.v, reach.root FROM reach JOIN sy ON sy.u = reach.node AND reach.root < sy.v)
-SELECT p_partkey AS node, least(p_partkey, coalesce(min(root), p_partkey)) AS component FROM part LEFT JOIN reach ON node = p_partkey GROUP BY p_partkey""".replace("RECURSIVE, ", ", /* RECURSIVE */ ", 1))
+@query("g20_components", """, sy AS (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse), reach AS (SELECT u AS node, u AS root FROM (SELECT DISTINCT u FROM sy) UNION SELECT sy.v, reach.root FROM reach JOIN sy ON sy.u = reach.node AND reach.root < sy.v)
+SELECT p_partkey AS node, least(p_partkey, coalesce(min(root), p_partkey)) AS component FROM part LEFT JOIN reach ON node = p_partkey GROUP BY p_partkey""", recursive=True)
 def _(m):
     return components.component_labels(m.parts().select(F.col("p_partkey").alias("node")), m.sparse_edges())
 
@@ -168,9 +168,6 @@ def _(m):
     return traversal.betweenness(e, graph.universe(mem, e), mem)
 
 
-_BW = """RECURSIVE, sy AS (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse)"""
-
-
 @query("g15_betweenness")
 def betweenness(m):
     return traversal.betweenness(m.sparse_edges(), m.parts().select(F.col("p_partkey").alias("node")))

@@ -28,7 +28,7 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def query(name: str, sql: str | None = None, ctes: bool = True):
+def query(name: str, sql: str | None = None, ctes: bool = True, recursive: bool = False):
     """Register f(model) under a name; sql may use the model's CTEs (and add to them after a comma)."""
 
     def wrap(f):
@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None, ctes: bool = True):
         if sql:
             body = sql.strip()
             if ctes:
-                body = ("WITH RECURSIVE" if "RECURSIVE" in body else "WITH") + CTES + (body.replace("RECURSIVE", "") if body.startswith(",") else "\n" + body)
+                body = ("WITH RECURSIVE" if recursive else "WITH") + CTES + ("" if body.startswith(",") else "\n") + body
             ORACLE[name] = body
         return f
 

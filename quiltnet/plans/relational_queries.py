@@ -27,7 +27,7 @@ def _(m):
     line = F.when(F.col("s_nationkey") % 2 == 0, F.concat_ws("\t", "s_suppkey", "s_name", "s_nationkey", F.lit("more"))).otherwise(F.concat_ws("\t", "s_suppkey", "s_name"))
     m.table("supplier").select(line).coalesce(1).write.text(at)
     raw = delimited.scan_delimited(m.spark, at, "\t", header=False, columns=[1, 0], names=["b", "a"])
-    wide = delimited.scan_delimited(m.spark, at, "\t", header=False, columns=[0, 1], names=["a", "b"], transform=None)
+    wide = delimited.scan_delimited(m.spark, at, "\t", header=False, columns=[0, 1], names=["a", "b"])
     text = m.spark.read.text(at)
     third = text.select(F.get(F.split("value", "\t"), F.lit(0)).alias("a"), F.coalesce(F.get(F.split("value", "\t"), F.lit(2)), F.lit("")).alias("c"))
     return raw.join(wide.select("a"), "a").join(third, "a").select("b", "a", "c")

@@ -1 +1 @@
-
+"""Empty on purpose: the feature set has no streams."""
