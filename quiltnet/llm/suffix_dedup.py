@@ -89,6 +89,19 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kmer: in
     return p[fits], a[fits], h[fits]
 
 
+def _short_anchors(raw: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the anchor of SHORT bytes for each of some string starts; only their bytes are hashed."""
+    if not len(p):
+        return p, np.zeros(0, np.uint64)
+    edge = np.flatnonzero(np.diff(p) != 1) + 1
+    first, count = p[np.r_[0, edge]], np.diff(np.r_[0, edge, len(p)])
+    size = count + length - 1
+    ends = np.cumsum(size)
+    part = raw[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
+    _, place, h = anchors(part, np.r_[0, ends], length, SHORT)
+    return place + np.repeat(first - ends + size, count), h
+
+
 class Group:
     """The documents of one group in a fixed order, with their anchors."""
 
@@ -176,9 +189,8 @@ def _send_segments(n_buckets: int, length: int):
             lo, hi = np.searchsorted(b, [k, k + 1])
             shared[lo:hi] = np.unpackbits(np.frombuffer(m, np.uint8), count=hi - lo)
         # shared starts, cut anew by anchors of fewer bytes: longer segments overlap less
-        own_start = np.repeat(shared[inverse], g.n_starts)
-        _, place2, hash2 = anchors(g.raw, g.offsets, length, SHORT)
-        p, place2, hash2 = g.p[own_start], place2[own_start], hash2[own_start]
+        p = g.p[np.repeat(shared[inverse], g.n_starts)]
+        place2, hash2 = _short_anchors(g.raw, p, length)
         new = np.ones(len(p), bool)
         new[1:] = (p[1:] != p[:-1] + 1) | (place2[1:] != place2[:-1])
         seg = np.flatnonzero(new)
