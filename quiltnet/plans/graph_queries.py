@@ -73,7 +73,7 @@ tn AS (SELECT node, count(*) AS t FROM (SELECT x AS node FROM tri UNION ALL SELE
 
 @query("g12_local_clustering", _ADJ + _TRI + f" SELECT p_partkey AS node, {r('coalesce(2.0 * coalesce(t, 0) / nullif(degree * (degree - 1), 0), 0)', 'cc')} FROM part LEFT JOIN dg ON dg.node = p_partkey LEFT JOIN tn ON tn.node = p_partkey")
 def local_clustering(m):
-    return graph.local_clustering(m.edges(), m.parts().select(F.col("p_partkey").alias("node")))
+    return graph.local_clustering(stored(m.edges(), "edges"), m.parts().select(F.col("p_partkey").alias("node")))
 
 
 @query("g13_context_clustering", _ADJ + _TRI.replace("tri AS (", "tri AS MATERIALIZED (") + f""", mk AS MATERIALIZED (SELECT node, bit_or(CASE WHEN present <> 0 THEN 1 << (ctx - 1) ELSE 0 END) AS mask FROM mem GROUP BY node),
@@ -81,7 +81,7 @@ tl AS MATERIALIZED (SELECT x, y, z, u.mask & v.mask & w.mask AS label FROM tri J
 tk AS (SELECT ctx, node, count(*) AS t FROM (SELECT ctx, unnest([x, y, z]) AS node FROM tl, range(12) AS c(ctx) WHERE (label >> ctx) & 1 = 1) GROUP BY ctx, node)
 SELECT ctx, node, {r('2.0 * coalesce(t, 0) / (degree * (degree - 1))', 'cc')} FROM dc LEFT JOIN tk USING (ctx, node) WHERE degree >= 2""")
 def context_clustering(m):
-    return graph.context_clustering(m.edges(), members(m))
+    return graph.context_clustering(stored(m.edges(), "edges"), stored(members(m), "members"))
 
 
 @query("g23_global_clustering", _ADJ + _TRI + f" SELECT {r('3.0 * (SELECT count(*) FROM tri) / (SELECT sum(degree * (degree - 1) / 2.0) FROM dg)', 'gl_cluster_coeff')}")
