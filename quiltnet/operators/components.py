@@ -22,9 +22,11 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not before[0]:
             break
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select("v", "u"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # minima are stored, so that the join sees two plain exchanges and can split a hub's edges
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-low")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "components-large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         now = stored(small.distinct(), "components")
         after = sign(now)
