@@ -298,7 +298,9 @@ def _verify(words: int, percent: int):
 
 def _blocks(members: DataFrame, cell: int, name: str) -> DataFrame:
     """Members of blocks of two or more, each with its cell `sub` of `width` cells."""
+    members = stored(members, name + "-members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("comp", F.ceil(F.col("m") / cell).alias("width"))
+    sizes = stored(sizes, name + "-sizes")  # so that both sides of the join are plain exchanges, which can split a large block
     return stored(members.join(sizes, "comp").withColumn("sub", F.pmod(F.xxhash64("cid", "s2"), F.col("width"))), name)
 
 
@@ -348,7 +350,7 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
     label = classes.drop("cells").withColumnRenamed("cid", "node").join(final, "node", "left").join(linked, "node", "left")
     label = label.select(F.col("node").alias("s1"), "n", "s2", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     label = stored(label, "jaccard-labels")
-    least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = stored(label.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
     named = label.join(least, "root").select("n", "s1", "s2", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = sets.select("doc_id", "tag", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
