@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import components, graph, relational, traversal
 from ..operators import community as com
 from .lineage import stored
-from .registry import n, query, r
+from .registry import n, query, r, whole
 
 N_CTX = 12
 
@@ -116,11 +116,25 @@ def _(m):
     return graph.internalness(m.sparse_edges(), _sub(m))
 
 
+@whole("g29_internalness")
+def _(m):
+    return graph.internalness(m.edges(), _sub(m))
+
+
 @query("g30_property_in_sets", _SUB + f""", ie AS (SELECT a, b FROM sparse WHERE a IN (SELECT node FROM sub) AND b IN (SELECT node FROM sub)), oe AS (SELECT a, b FROM sparse WHERE a NOT IN (SELECT node FROM sub) AND b NOT IN (SELECT node FROM sub))
 SELECT node, CAST(1 AS BIGINT) AS "set", {n('count(*)', 'degree')} FROM (SELECT a AS node FROM ie UNION ALL SELECT b FROM ie) GROUP BY node UNION ALL SELECT node, 2, CAST(count(*) AS BIGINT) FROM (SELECT a AS node FROM oe UNION ALL SELECT b FROM oe) GROUP BY node""")
 def _(m):
+    return _in_sets(m, m.sparse_edges())
+
+
+@whole("g30_property_in_sets")
+def _(m):
+    return _in_sets(m, m.edges())
+
+
+def _in_sets(m, e):
     rest = m.parts().filter("p_size <= 25").select(F.col("p_partkey").alias("node"))
-    return graph.property_in_sets(stored(m.sparse_edges(), "edges"), _sub(m), rest, graph.degrees, "subgraph").select("node", "set", "degree")
+    return graph.property_in_sets(stored(e, "edges"), _sub(m), rest, graph.degrees, "subgraph").select("node", "set", "degree")
 
 
 _CL = ", cl AS (SELECT p_partkey AS node, p_partkey % 10 AS cluster FROM part)"
@@ -154,28 +168,33 @@ def _(m):
     return components.component_labels(m.parts().select(F.col("p_partkey").alias("node")), m.sparse_edges())
 
 
+@whole("g20_components", sql=False)
+def _(m):
+    return components.component_labels(m.parts().select(F.col("p_partkey").alias("node")), m.edges())
+
+
 @query("g25_graph_stats")
 def graph_stats(m):
-    """n, m, degrees, assortativity, components, clustering and diameter of the sparse network."""
-    e, ids = stored(m.sparse_edges(), "edges"), m.parts().select(F.col("p_partkey").alias("node"))
+    """n, m, degrees, assortativity, components, clustering and diameter of the union network."""
+    e, ids = stored(m.edges(), "edges"), m.parts().select(F.col("p_partkey").alias("node"))
     comps = components.component_labels(ids, e).agg(F.count_distinct("component").alias("conn_comp"))
     return graph.degree_summary(e, ids).crossJoin(graph.assortativity(e)).crossJoin(comps).crossJoin(graph.global_clustering(e)).crossJoin(traversal.diameter(e, ids))
 
 
 @query("g14_context_betweenness")
 def _(m):
-    e, mem = m.sparse_edges(), members(m)
+    e, mem = m.edges(), members(m)
     return traversal.betweenness(e, graph.universe(mem, e), mem)
 
 
 @query("g15_betweenness")
 def betweenness(m):
-    return traversal.betweenness(m.sparse_edges(), m.parts().select(F.col("p_partkey").alias("node")))
+    return traversal.betweenness(m.edges(), m.parts().select(F.col("p_partkey").alias("node")))
 
 
 @query("g24_diameter")
 def _(m):
-    e = stored(m.sparse_edges(), "edges")
+    e = stored(m.edges(), "edges")
     return traversal.diameter(e, graph.nodes_of(e))
 
 
@@ -191,27 +210,32 @@ def label_propagation(m):
     return com.label_propagation(m.sparse_edges(), m.parts().select(F.col("p_partkey").alias("node")), rounds=3)
 
 
+@whole("g17_label_propagation", sql=False)
+def _(m):
+    return com.label_propagation(m.edges(), m.parts().select(F.col("p_partkey").alias("node")), rounds=3)
+
+
 @query("g16_context_label_propagation")
 def _(m):
-    e, mem = m.sparse_edges(), members(m)
+    e, mem = m.edges(), members(m)
     return com.label_propagation(e, graph.universe(mem, e), mem)
 
 
 @query("g18_louvain")
 def _(m):
-    e = stored(m.sparse_edges(), "edges")
+    e = stored(m.edges(), "edges")
     return com.cluster_report(e, com.modularity_communities(e, graph.nodes_of(e), "louvain", 1.0))
 
 
 @query("g18_greedy_modularity")
 def _(m):
-    e = stored(m.sparse_edges(), "edges")
+    e = stored(m.edges(), "edges")
     return com.cluster_report(e, com.modularity_communities(e, graph.nodes_of(e), "greedy"))
 
 
 @query("x14_weighted_communities")
 def _(m):
-    e, mem = m.sparse_edges(), members(m)
+    e, mem = m.edges(), members(m)
     w = stored(graph.coexistence_weights(e, mem), "weights")
     return com.cluster_report(w, com.modularity_communities(w, graph.nodes_of(w), "louvain", 5.0, weight="weight"))
 

@@ -9,7 +9,7 @@ from ..operators import overlap
 from ..operators import relational as rel
 from ..sources import delimited, ontology_file, tables
 from .lineage import fresh_path, stored
-from .registry import n, query, r
+from .registry import n, query, r, whole
 
 # ---------------------------------------------------------------- sources: written to the shared folder, scanned back
 
@@ -205,6 +205,11 @@ def _(m):
     return rel.map_ids(m.sparse_edges(), ["a", "b"], _mapping(m), "k", "v")
 
 
+@whole("j01_map_ids")
+def _(m):
+    return rel.map_ids(m.edges(), ["a", "b"], _mapping(m), "k", "v")
+
+
 @query("x11_map_two_hops", "SELECT l_orderkey, l_linenumber, h.v AS brand FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT p_name AS k, min(p_brand) AS v FROM part GROUP BY 1) h ON h.k = p_name", ctes=False)
 def _(m):
     part = m.table("part")
@@ -236,6 +241,11 @@ def _(m):
     return rel.any_unmatched(m.sparse_edges(), ["a", "b"], _small(m), "id")
 
 
+@whole("j04_any_unmatched")
+def _(m):
+    return rel.any_unmatched(m.edges(), ["a", "b"], _small(m), "id")
+
+
 @query("a15_mapping_stats", _SMALL + f""" SELECT {n('count(*) FILTER (id IS NOT NULL)', 'rows_matched')}, {n('count(*) FILTER (id IS NULL)', 'rows_unmatched')}, CAST(0 AS BIGINT) AS rows_null,
 {n('count(DISTINCT l_partkey) FILTER (id IS NOT NULL)', 'ids_matched')}, {n('count(DISTINCT l_partkey) FILTER (id IS NULL)', 'ids_unmatched')} FROM lineitem LEFT JOIN small ON id = l_partkey""")
 def _(m):
@@ -333,6 +343,11 @@ def _(m):
     return rel.node_universe(_core(m), m.sparse_edges())
 
 
+@whole("j07_node_universe")
+def _(m):
+    return rel.node_universe(_core(m), m.edges())
+
+
 @query("j09_membership", """, c AS (SELECT DISTINCT ctx FROM mem) SELECT node, ctx, CAST(coalesce(present, 0) AS BIGINT) AS present
 FROM (SELECT p_partkey AS node FROM part) CROSS JOIN c LEFT JOIN mem USING (node, ctx)""")
 def _(m):
@@ -353,9 +368,18 @@ def _(m):
 
 @query("a18_edge_presence_share", f"SELECT a, b, {r('avg(x.present * y.present)', 'share')} FROM sparse JOIN mem x ON x.node = a JOIN mem y ON y.node = b AND y.ctx = x.ctx GROUP BY a, b")
 def _(m):
+    return _presence_share(m, m.sparse_edges())
+
+
+@whole("a18_edge_presence_share")
+def _(m):
+    return _presence_share(m, m.edges())
+
+
+def _presence_share(m, e):
     mem = m.month_members()
     x, y = mem.select(F.col("node").alias("a"), "ctx", F.col("present").alias("pa")), mem.select(F.col("node").alias("b"), "ctx", F.col("present").alias("pb"))
-    return m.sparse_edges().join(x, "a").join(y, ["b", "ctx"]).groupBy("a", "b").agg(F.avg(F.col("pa") * F.col("pb")).alias("share"))
+    return e.join(x, "a").join(y, ["b", "ctx"]).groupBy("a", "b").agg(F.avg(F.col("pa") * F.col("pb")).alias("share"))
 
 
 @query("a19_node_presence_share", f"SELECT node, {r('sum(present) * 1.0 / count(*)', 'share')} FROM mem GROUP BY node")

@@ -9,7 +9,7 @@ from ..operators import community, graph
 from ..operators import relational as rel
 from .graph_queries import _ADJ, members
 from .lineage import stored
-from .registry import n, query, r
+from .registry import n, query, r, whole
 
 
 @query("w09_split_sorted", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) <= floor(count(*) OVER () * 0.3) AS low FROM part", ctes=False)
@@ -60,11 +60,21 @@ def _(m):
     return reports.named(m.sparse_edges(), m.parts(), "a", "p_partkey", "p_name").select("a", "b", "a_name")
 
 
+@whole("x20_names")
+def _(m):
+    return reports.named(m.edges(), m.parts(), "a", "p_partkey", "p_name").select("a", "b", "a_name")
+
+
 @query("j16_edge_presence", f"SELECT a, b, {n('sum(x.present * y.present)', 'both')}, {n('count(*)', 'measured')}, {r('avg(x.present * y.present)', 'share')} FROM sparse JOIN mem x ON x.node = a JOIN mem y ON y.node = b AND y.ctx = x.ctx GROUP BY a, b")
 def _(m):
     return reports.edge_presence(m.sparse_edges(), m.month_members())
 
 
+@whole("j16_edge_presence")
+def _(m):
+    return reports.edge_presence(m.edges(), m.month_members())
+
+
 @query("j17_degree_self_check", "SELECT node, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM mem WHERE false")
 def _(m):
     e = stored(m.edges(), "edges")
@@ -87,7 +97,7 @@ def _(m):
 
 @query("r11_fitted_distribution")
 def _(m):
-    return m.spark.createDataFrame(reports.fitted_distribution(stored(graph.degrees(m.sparse_edges()), "degrees")), "degree long, binomial double, poisson double, exponential double, powerlaw double")
+    return m.spark.createDataFrame(reports.fitted_distribution(stored(graph.degrees(m.edges()), "degrees")), "degree long, binomial double, poisson double, exponential double, powerlaw double")
 
 
 @query("r15_class_tests")
@@ -100,7 +110,7 @@ def _(m):
 
 @query("r21_compare_clusterings")
 def _(m):
-    e = stored(m.sparse_edges(), "edges")
+    e = stored(m.edges(), "edges")
     ids = graph.nodes_of(e)
     both = None
     for kind, gamma in (("coarse", 1.0), ("fine", 5.0)):
@@ -126,5 +136,5 @@ def _(m):
 
 @query("x12_resolution_sweep")
 def _(m):
-    e = stored(m.sparse_edges(), "edges")
+    e = stored(m.edges(), "edges")
     return reports.clusterer_summary(community.sweep(e, graph.nodes_of(e), (1.0, 10.0, 1000.0)), "clusterer")

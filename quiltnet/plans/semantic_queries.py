@@ -235,7 +235,7 @@ def _(m):
 
 @query("r12_goodness_of_fit")
 def _(m):
-    return m.spark.createDataFrame(stats.chi_square_fits(stored(graph.degrees(m.sparse_edges()), "degrees")), "model string, chi2 double, p double")
+    return m.spark.createDataFrame(stats.chi_square_fits(stored(graph.degrees(m.edges()), "degrees")), "model string, chi2 double, p double")
 
 
 @query("r14_permutation_moments", _DEG + f""", s AS (SELECT degree, node IN (SELECT p_partkey FROM part WHERE p_size > 25) AS i FROM dg), q AS (SELECT avg(degree) FILTER (i) AS mean, count(*) FILTER (i) AS k, count(*) AS n, avg(degree) AS mu, var_pop(degree) AS v FROM s)
@@ -246,7 +246,7 @@ def _(m):
 
 @query("r14_permutation_z")
 def _(m):
-    d = stored(graph.degrees(m.sparse_edges()), "degrees")
+    d = stored(graph.degrees(m.edges()), "degrees")
     return stats.permutation_z(d, m.parts().filter("p_size > 45").select(F.col("p_partkey").alias("node")), "degree")
 
 
