@@ -2,12 +2,19 @@
 
 Word counts cover every training document. They are too many to broadcast, so documents are dealt
 into groups; a group asks the hash buckets of the words it has, each once, and gets their counts
-back. The commonest words are the model's vocabulary; all others share one class, inside which a
-word's probability follows its count. The class of the next token is scored from the two tokens
-before it: a context vector (a matrix per position times that token's vector) times the token's
-own vector, plus its bias. Counts of class triples over all training tokens, a table of fixed
-size, give the exact expected NCE objective, which Adam climbs in numpy on the driver. Scoring
-multiplies all contexts with all tokens at once and normalises, so probabilities sum to one.
+back. The vocabulary is the sqrt(N) commonest words of N training tokens, 62 at least, of those
+seen twice; all others are the rare words, which share one class inside which a word's probability
+follows its count. The next token is scored from the two tokens before it, each word of the
+vocabulary by its own vector: a context vector (a matrix per position times that token's vector)
+times a vector, plus a bias. The vocabulary is cut by rank into about sqrt(V) classes; a token's
+class is scored first, then the token among its class, and both normalise, so probabilities sum to
+one.
+
+Every training token is a training context. A task climbs the NCE objective over its partition
+with Adagrad, with noise shared by a minibatch; all tasks begin alike, and a row of the model
+becomes the mean of the tasks' rows, weighted by how often each touched it. Results hence depend
+on how files are split. With 62 words or fewer, counts of triples give the exact expected
+objective, which Adam climbs on the driver.
 
 Defined cases: null or empty text is the end token alone; a null doc_id is neither trained on nor
 held out; repeated rows are documents of their own; without training documents N = V = 0 and the
@@ -16,6 +23,7 @@ model is uniform; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,12 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark import TaskContext
+
 from .common import NULL_ID, batches, blob, fan_out, id_out, read, stored, texts_of
 
 N_WORDS = 62
 WIDTH = 24
 NOISE = 10
 STEPS = 400
+#: Tokens of a minibatch, and of a pass below which a partition is passed over again.
+MINIBATCH, PASS = 16384, 400_000
+SLICES = 16
 #: The end of a text as a word: no word has a space.
 END = b" "
 LOG10 = np.log(10.0)
@@ -104,7 +117,8 @@ def _answer(n_words: int):
         back = [blob(np.fromiter(map(total.__getitem__, ws), np.int64, len(ws))) for ws in asked]
         end = total.pop(END, 0)
         n, v = sum(total.values()), sum(c > 0 for c in total.values())
-        top = sorted(((-c, w) for w, c in total.items() if c), key=lambda x: x)[:n_words]
+        top = sorted((-c, w) for w, c in total.items() if c)
+        top = top[: max(n_words, sum(c < -1 for c, _ in top))]
         k, m = len(back), len(top)
         return pa.table(
             {
@@ -140,6 +154,12 @@ class LogBilinear:
         top = s.max(1, keepdims=True)
         return s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
 
+    def log_p(self, two: np.ndarray, one: np.ndarray, y: np.ndarray) -> np.ndarray:
+        table = self.__dict__.get("_table")
+        if table is None:
+            table = self.__dict__["_table"] = self.log_probs()
+        return table[two * len(self.context) + one, y]
+
 
 def train_nce(triples: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = STEPS, rate: float = 0.05, seed: int = 3):
     """(context, turn, token, bias) from counts[first, second, token]; the noise is the unigram law."""
@@ -172,8 +192,199 @@ def train_nce(triples: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps
     return tuple(p)
 
 
-def _classes(docs: list[list[bytes]], words: dict[bytes, int], n_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context pair, class, document) of every token, the end tokens included."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+class Hierarchy:
+    """A log-bilinear model of any vocabulary: P(class | context) P(word | class, context).
+
+    Words are numbered by rank; after them come the rare words and the end, each a class of its own,
+    and as context the start of a text.
+    """
+
+    def __init__(self, words: dict[bytes, int], counts: np.ndarray, rest: int, width: int = WIDTH, seed: int = 3):
+        """counts: of the words, the rare words and the end."""
+        self.words, self.rest, v = words, rest, len(words)
+        self.n_out, n_class = v + 2, max(1, math.isqrt(v))
+        self.size = -(-v // n_class)
+        n_class = -(-v // self.size)
+        self.edge = np.r_[np.minimum(np.arange(n_class + 1) * self.size, v), v + 1, v + 2]
+        n = counts + 0.5
+        of_class = np.add.reduceat(n, self.edge[:-1])
+        self.q_class = of_class / of_class.sum()
+        self.q_word = (n / np.repeat(of_class, np.diff(self.edge)))[:v]
+        rng = np.random.default_rng(seed)
+        f = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.rows = {"context": f(v + 3, width), "class": f(n_class + 2, width), "class_bias": np.log(self.q_class).astype(np.float32)[:, None], "word": f(v, width), "word_bias": np.log(self.q_word).astype(np.float32)[:, None], "turn": np.stack([np.eye(width, dtype=np.float32)] * 2).reshape(2 * width, width) * np.float32(0.5)}
+
+    def class_of(self, y: np.ndarray) -> np.ndarray:
+        v = len(self.words)
+        return np.where(y < v, y // self.size, len(self.edge) - 3 + y - v)
+
+    def hidden(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        p = self.rows
+        width = p["turn"].shape[1]
+        return (p["context"] @ p["turn"][:width])[two] + (p["context"] @ p["turn"][width:])[one]
+
+    def log_p(self, two: np.ndarray, one: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """log P(y | two, one) of every token, normalised over classes and inside the token's class."""
+        p, out, v = self.rows, np.empty(len(y)), len(self.words)
+        order = np.argsort(y.astype(np.uint16) if self.n_out < 1 << 16 else y, kind="stable")  # sorts of 16 bits are by radix
+        two, one, y = two[order], one[order], y[order]
+        h, cls = self.hidden(two, one), self.class_of(y)
+        longest = np.sqrt(np.einsum("ij,ij->i", h, h).max(initial=0))
+
+        def among(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+            got, step, wt, b = np.empty(len(h), np.float32), 2048, np.ascontiguousarray(w.T), b[:, 0]
+            far = longest * np.sqrt((w * w).sum(1).max()) + np.abs(b).max() > 40  # else no score is beyond what exp holds
+            for a in range(0, len(h), step):
+                s = h[a : a + step] @ wt
+                s += b
+                if far:
+                    s -= s.max(1, keepdims=True)
+                own = s[np.arange(len(s)), at[a : a + step]]
+                np.exp(s, out=s)
+                got[a : a + step] = own - np.log(s @ np.ones(s.shape[1], np.float32))
+            return got
+
+        lp = among(h, p["class"], p["class_bias"], cls)
+        cut = np.searchsorted(y, self.edge[: len(self.edge) - 2])
+        for lo, hi, a, z in zip(self.edge[:-3].tolist(), self.edge[1:-2].tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+            if z > a:
+                lp[a:z] += among(h[a:z], p["word"][lo:hi], p["word_bias"][lo:hi], y[a:z] - lo)
+        out[order] = lp
+        return out
+
+
+class Climb:
+    """Adagrad on a task's own copy of a model, over minibatches of its tokens."""
+
+    def __init__(self, model: Hierarchy, seed: int, noise: int = NOISE, rate: float = 0.1):
+        self.m, self.rng, self.k, self.rate = model, np.random.default_rng(seed), noise, np.float32(rate)
+        self.p = {n: x.copy() for n, x in model.rows.items()}
+        self.square = {n: np.full_like(x, 1e-6) for n, x in self.p.items()}
+        self.touched = {n: np.zeros(len(x)) for n, x in self.p.items()}
+        self.shift_class = np.log(noise * model.q_class).astype(np.float32)
+        self.shift_word = np.log(noise * model.q_word).astype(np.float32)
+        self.upto_class = np.cumsum(model.q_class)
+        self.upto_word = np.cumsum(model.q_word)  # each class adds one
+
+    def _up(self, name: str, rows: np.ndarray, d: np.ndarray, n: np.ndarray | float) -> None:
+        s = self.square[name][rows] + d * d
+        self.square[name][rows] = s
+        self.p[name][rows] += self.rate * d / np.sqrt(s)
+        self.touched[name][rows] += n
+
+    def _against(self, h: np.ndarray, name: str, draws: np.ndarray, spans: list[tuple[int, int]], shift: np.ndarray) -> np.ndarray:
+        """Push noise down, draws[i] by the tokens of spans[i]; the gradient of h."""
+        k, back = draws.shape[1], np.zeros_like(h)
+        w, b = self.p[name][draws], self.p[name + "_bias"][draws, 0] - shift[draws]
+        d, bias = np.zeros((draws.size, h.shape[1]), np.float32), np.zeros((draws.size, 1), np.float32)
+        for i, (a, z) in enumerate(spans):
+            s = h[a:z] @ w[i].T
+            s += b[i]
+            np.tanh(s * np.float32(0.5), out=s)
+            s += 1
+            s *= np.float32(-0.5)  # minus the logistic of the score
+            np.matmul(s, w[i], out=back[a:z])
+            d[i * k : i * k + k] = s.T @ h[a:z]
+            bias[i * k : i * k + k, 0] = s.sum(0)
+        flat = draws.ravel()
+        by = np.argsort(flat, kind="stable")
+        first = _runs(flat[by])
+        rows, times = flat[by][first], np.diff(np.r_[first, len(flat)])
+        self._up(name, rows, np.add.reduceat(d[by], first), times)
+        self._up(name + "_bias", rows, np.add.reduceat(bias[by], first), times)
+        return back
+
+    def step(self, two: np.ndarray, one: np.ndarray, y: np.ndarray) -> None:
+        m, p, v = self.m, self.p, len(self.m.words)
+        order = np.argsort(y, kind="stable")
+        two, one, y = two[order], one[order], y[order]
+        width = p["turn"].shape[1]
+        x2, x1 = p["context"][two], p["context"][one]
+        h = x2 @ p["turn"][:width] + x1 @ p["turn"][width:]
+        dh = np.zeros_like(h)
+
+        def toward(name: str, at: np.ndarray, shift: np.ndarray, upto: int) -> tuple:
+            """The gradient of the tokens' own rows, taken before noise moves them."""
+            w, hh = p[name][at], h[:upto]
+            s = np.einsum("ij,ij->i", hh, w) + p[name + "_bias"][at, 0] - shift[at]
+            g = (1 / (1 + np.exp(np.clip(s, -40, 40))))[:, None]
+            dh[:upto] += g * w
+            first = _runs(at)
+            return name, at[first], np.add.reduceat(g * hh, first), np.add.reduceat(g, first), np.diff(np.r_[first, upto])
+
+        n_words = int(np.searchsorted(y, v))
+        own = [toward("class", m.class_of(y), self.shift_class, len(y))]
+        if n_words:
+            own.append(toward("word", y[:n_words], self.shift_word, n_words))
+        draw = np.searchsorted(self.upto_class, self.rng.random((1, self.k))).clip(0, len(self.upto_class) - 1)
+        dh += self._against(h, "class", draw, [(0, len(y))], self.shift_class)
+        if n_words:
+            cut = np.searchsorted(y, m.edge[: len(m.edge) - 2])
+            full = np.flatnonzero(np.diff(cut))
+            draw = np.searchsorted(self.upto_word, full[:, None] + self.rng.random((len(full), self.k)))
+            draw = draw.clip(m.edge[full][:, None], m.edge[full + 1][:, None] - 1)
+            dh += self._against(h, "word", draw, list(zip(cut[full].tolist(), cut[full + 1].tolist())), self.shift_word)
+        for name, rows, d, bias, n in own:
+            self._up(name, rows, d, n)
+            self._up(name + "_bias", rows, bias, n)
+        for at, d in ((two, dh @ p["turn"][:width].T), (one, dh @ p["turn"][width:].T)):
+            by = np.argsort(at, kind="stable")
+            first = _runs(at[by])
+            self._up("context", at[by][first], np.add.reduceat(d[by], first), np.diff(np.r_[first, len(at)]))
+        self._up("turn", np.arange(2 * width), np.concatenate([x2.T @ dh, x1.T @ dh]), len(y))
+
+    def over(self, two: np.ndarray, one: np.ndarray, y: np.ndarray) -> None:
+        size = min(MINIBATCH, max(256, len(y) // 16))
+        for a in range(0, len(y), size):
+            self.step(two[a : a + size], one[a : a + size], y[a : a + size])
+
+
+def train_partitions(docs: DataFrame, model: Hierarchy) -> None:
+    """Train on every token of docs (text): tasks climb from the same start, rows are averaged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Hierarchy = shared.value
+        part = TaskContext.get().partitionId()
+        kind = np.uint16 if m.n_out < 1 << 16 else np.int64  # sorts of 16 bits are by radix
+        c, held, n = Climb(m, part), [], 0
+        for b in batches(it, 2 << 20):
+            two, one, y, _ = _classes(split(b.column(0)), m.words, m.n_out)
+            got = two.astype(kind), one.astype(kind), y.astype(kind)
+            c.over(*got)
+            n += len(y)
+            held = [*held, got] if n <= PASS else []
+        for _ in range(min(40, PASS // max(n, 1)) if held else 0):
+            for got in held:
+                c.over(*got)
+        if n:
+            out = [(name, s, c.p[name][s::SLICES], c.touched[name][s::SLICES]) for name in m.rows for s in range(min(SLICES, len(m.rows[name])))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int64()), pa.array([part] * len(out), pa.int64()), pa.array([blob(o[2]) for o in out], pa.binary()), pa.array([blob(o[3]) for o in out], pa.binary())],
+                ["name", "slice", "part", "vectors", "touched"],
+            )
+
+    def mean(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        top = bottom = 0.0
+        for x, n in zip(*(table.sort_by("part")[k].to_pylist() for k in ("vectors", "touched"))):
+            n = np.frombuffer(n, np.float64)[:, None]
+            top, bottom = top + n * np.frombuffer(x, np.float32).reshape(len(n), -1), bottom + n
+        return pa.table({"name": [key[0].as_py()], "slice": pa.array([key[1].as_py()], pa.int64()), "top": pa.array([blob(top)], pa.binary()), "bottom": pa.array([blob(bottom)], pa.binary())})
+
+    got = docs.mapInArrow(run, "name string, slice long, part long, vectors binary, touched binary").groupBy("name", "slice").applyInArrow(mean, "name string, slice long, top binary, bottom binary")
+    for r in got.toLocalIterator():  # one model in all, a slice at a time
+        n = np.frombuffer(r["bottom"], np.float64)[:, None]
+        rows = model.rows[r["name"]][r["slice"] :: SLICES]
+        np.copyto(rows, (np.frombuffer(r["top"], np.float64).reshape(rows.shape) / np.maximum(n, 1)).astype(np.float32), where=n > 0)
+
+
+def _classes(docs: list[list[bytes]], words: dict[bytes, int], n_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context before the last, last context, class, document) of every token, the end tokens included."""
     other, end, begin = n_out - 2, n_out - 1, n_out
     n = np.fromiter((len(d) + 1 for d in docs), np.int64, len(docs))
     last = np.cumsum(n) - 1
@@ -188,7 +399,7 @@ def _classes(docs: list[list[bytes]], words: dict[bytes, int], n_out: int) -> tu
     one[first], two[first] = begin, begin
     second = first[n > 1] + 1
     two[second] = begin
-    return two * (n_out + 1) + one, cls, np.repeat(np.arange(len(docs)), n)
+    return two, one, cls, np.repeat(np.arange(len(docs)), n)
 
 
 def _triples(docs: DataFrame, words: dict[bytes, int], n_out: int) -> np.ndarray:
@@ -198,8 +409,8 @@ def _triples(docs: DataFrame, words: dict[bytes, int], n_out: int) -> np.ndarray
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(size, np.int64)
         for b in batches(it, 2 << 20):
-            ctx, cls, _ = _classes(split(b.column(0)), words, n_out)
-            c += np.bincount(ctx * n_out + cls, minlength=size)
+            two, one, cls, _ = _classes(split(b.column(0)), words, n_out)
+            c += np.bincount((two * (n_out + 1) + one) * n_out + cls, minlength=size)
         k = np.flatnonzero(c)
         step = -(-size // 64)
         cut = np.searchsorted(k, np.arange(0, 64 * step + 1, step))
@@ -226,22 +437,19 @@ def _triples(docs: DataFrame, words: dict[bytes, int], n_out: int) -> np.ndarray
 
 def _score(n_buckets: int, shared, n_total: int, v_total: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        model: LogBilinear = shared.value
-        logp = model.__dict__.setdefault("_table", None)
-        if logp is None:
-            logp = model.__dict__["_table"] = model.log_probs() / LOG10
+        model: LogBilinear | Hierarchy = shared.value
         g = GroupWords(table.select(["doc_id", "text", "train", "held_out"]), n_buckets)
         back = sorted(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist()))
         counts = np.concatenate([np.frombuffer(x, np.int64) for _, x in back])
         place = dict(zip(g.words, range(len(g.words))))
-        ctx, cls, doc = _classes(g.docs, model.words, model.n_out)
+        two, one, cls, doc = _classes(g.docs, model.words, model.n_out)
         other, end = model.n_out - 2, model.n_out - 1
         at = np.full(len(cls), place[END], np.int64)
         at[cls != end] = np.fromiter(map(place.__getitem__, chain.from_iterable(g.docs)), np.int64, int((cls != end).sum()))
         c = counts[at]
         n = len(g.docs)
         base = np.log10((counts + 1) / (n_total + v_total + 1))[at]
-        score = logp[ctx, cls]
+        score = model.log_p(two, one, cls) / LOG10
         rare = cls == other
         score[rare] += np.log10((c[rare] + 1) / model.rest)
         return pa.table(
@@ -255,7 +463,9 @@ def _score(n_buckets: int, shared, n_total: int, v_total: int):
 
 
 def lm_scores(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    n_words is the least size of the vocabulary."""
     spark = docs.sparkSession
     source = texts_of(docs)
     n_parts = fan_out(docs, 4)
@@ -265,13 +475,19 @@ def lm_scores(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
     asked = dealt.groupBy("g").applyInArrow(_ask(n_buckets), "bucket long, g long, words binary, counts binary")
     answers = stored(asked.groupBy("bucket").applyInArrow(_answer(n_words), _ANSWER), "lm-counts")
     n_total, v_total = (x or 0 for x in answers.filter("kind = 2").agg(F.sum("n"), F.sum("v")).first())
-    top = answers.filter("kind = 1").orderBy(F.desc("n"), "word").limit(n_words).select("word", "n").collect()
+    top = answers.filter("kind = 1").orderBy(F.desc("n"), "word").limit(max(n_words, math.isqrt(n_total))).select("word", "n").collect()
     words = {bytes(r["word"]): i for i, r in enumerate(top)}
     n_train = cols.filter("train").count()
     n_out = len(words) + 2
     rest = (n_total - n_train - sum(r["n"] for r in top)) + (v_total - (n_train > 0) - len(top)) + 1
-    triples = _triples(cols.filter("train").select("text"), words, n_out)
-    shared = spark.sparkContext.broadcast(LogBilinear(words, *train_nce(triples), rest))  # fixed size
+    texts = cols.filter("train").select("text")
+    if len(words) <= N_WORDS:
+        model = LogBilinear(words, *train_nce(_triples(texts, words, n_out)), rest)
+    else:
+        known = [r["n"] for r in top]
+        model = Hierarchy(words, np.array([*known, n_total - n_train - sum(known), n_train], float), rest)
+        train_partitions(texts, model)
+    shared = spark.sparkContext.broadcast(model)  # grows with the square root of the training tokens
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     back = answers.filter("kind = 0").select("g", "bucket", "counts")
     out = dealt.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(_score(n_buckets, shared, n_total, v_total), schema)

@@ -188,3 +188,30 @@ def test_word_tokenizer_equals_the_model():
     for t, k in zip(texts, n):
         assert ids[at : at + k].tolist() == [*model.encode(t, add_special_tokens=False).ids, 1], t
         at += k
+
+
+def test_vocabulary_grows_and_words_tell_contexts_apart(spark):
+    rng = np.random.default_rng(5)
+    follows = {a: b for a, b in zip(range(300), rng.permutation(300))}
+    texts = [" ".join(f"w{a} x{follows[a]}" for a in rng.integers(0, 300, 40).tolist()) for _ in range(900)]
+    swapped = [" ".join(w for a, b in zip(t.split()[::2], t.split()[1::2]) for w in (b, a)) for t in texts]
+    ids = [k for k in range(20000) if zlib.crc32(str(k).encode()) % 7 != 2][:900]
+    held = [k for k in range(20000) if zlib.crc32(str(k).encode()) % 7 == 2][:200]
+    docs = spark.createDataFrame(list(zip(ids, texts)) + list(zip(held[:100], texts)) + list(zip(held[100:], swapped)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in lm_score.lm_scores(docs).collect()}
+    straight, turned = np.array([got[k] for k in held[:100]]), np.array([got[k] for k in held[100:]])
+    assert np.allclose(straight[:, 1], turned[:, 1])  # the same words in another order
+    assert straight[:, 0].mean() > turned[:, 0].mean() + 20
+
+
+def test_hierarchy_normalises():
+    words = {b"%d" % k: k for k in range(103)}
+    model = lm_score.Hierarchy(words, np.arange(105.0)[::-1], 1)
+    climb = lm_score.Climb(model, 1)
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        climb.step(rng.integers(0, 106, 500), rng.integers(0, 106, 500), rng.integers(0, 105, 500))
+    model.rows = climb.p
+    y = np.arange(105)
+    for two, one in ((105, 105), (3, 104), (50, 7)):
+        assert np.isclose(np.exp(model.log_p(np.full(105, two), np.full(105, one), y)).sum(), 1, atol=1e-4)
