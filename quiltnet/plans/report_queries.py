@@ -137,4 +137,4 @@ def _(m):
 @query("x12_resolution_sweep")
 def _(m):
     e = stored(m.edges(), "edges")
-    return reports.clusterer_summary(community.sweep(e, graph.nodes_of(e), (1.0, 10.0, 1000.0)), "clusterer")
+    return reports.clusterer_summary(community.sweep(e, graph.nodes_of(e)), "clusterer")

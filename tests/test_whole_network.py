@@ -47,3 +47,8 @@ def test_all_edges_count(spark, tables):
     assert {(r["a"], r["b"]) for r in run(spark, tables, "x20_names_whole")} == set(PAIRS)
     for name in ("g18_louvain", "g18_greedy_modularity", "x14_weighted_communities"):
         assert sum(r["size"] for r in run(spark, tables, name)) == len(NODES) - 1
+
+
+def test_sweep_has_every_resolution(spark, tables):
+    want = {"PLP", *(f"PLM {g:g}" for g in (1, 2, 5, 10, 15, 20, 30, 40, 50, 100, 200, 500, 1000))}
+    assert {r["clusterer"] for r in run(spark, tables, "x12_resolution_sweep")} == want
