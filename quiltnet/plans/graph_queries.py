@@ -212,7 +212,7 @@ def label_propagation(m):
 
 @whole("g17_label_propagation", sql=False)
 def _(m):
-    return com.label_propagation(m.edges(), m.parts().select(F.col("p_partkey").alias("node")), rounds=3)
+    return com.label_propagation(m.edges(), m.parts().select(F.col("p_partkey").alias("node")))
 
 
 @query("g16_context_label_propagation")

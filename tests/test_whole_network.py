@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from quiltnet.operators import community, graph
 from quiltnet.plans import graph_queries, registry, relational_queries, report_queries, semantic_queries  # noqa: F401
 
 from .test_graph import BRIDGE, plain_bw
@@ -52,3 +53,22 @@ def test_all_edges_count(spark, tables):
 def test_sweep_has_every_resolution(spark, tables):
     want = {"PLP", *(f"PLM {g:g}" for g in (1, 2, 5, 10, 15, 20, 30, 40, 50, 100, 200, 500, 1000))}
     assert {r["clusterer"] for r in run(spark, tables, "x12_resolution_sweep")} == want
+
+
+def settled(adj, label):
+    """Whether every node has the smallest of its neighbours' most frequent labels."""
+    for v, us in adj.items():
+        got = [label[u] for u in us]
+        if label[v] != (min(got, key=lambda x: (-got.count(x), x)) if got else v):
+            return False
+    return True
+
+
+def test_labels_travel_until_they_settle(spark, tables):
+    adj = near()
+    assert settled(adj, {r["node"]: r["label"] for r in run(spark, tables, "g17_label_propagation_whole")})
+    assert settled({v: us for v, us in adj.items() if us}, {r["node"]: r["label"] for r in run(spark, tables, "g16_context_label_propagation")})
+    swing = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
+    got = community.label_propagation(swing, graph.nodes_of(swing)).collect()
+    label = {r["node"]: r["label"] for r in got}
+    assert label[0] == label[1] and label[2] == label[3]
