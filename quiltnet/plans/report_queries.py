@@ -105,7 +105,7 @@ def _(m):
     mem = stored(members(m), "members")
     cls = stored(rel.spread_class(rel.presence_counts(mem), 0.25), "classes")
     d = stored(graph.context_degrees(m.edges(), mem).withColumn("degree", F.col("degree").cast("double")), "degrees")
-    return m.spark.createDataFrame(reports.class_test(d, "degree", cls, "None", 100), "ctx long, mean double, mu double, sd double, z double, p double")
+    return m.spark.createDataFrame(reports.class_test(d, "degree", cls, "None"), "ctx long, mean double, mu double, sd double, z double, p double")
 
 
 @query("r21_compare_clusterings")

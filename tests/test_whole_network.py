@@ -72,3 +72,10 @@ def test_labels_travel_until_they_settle(spark, tables):
     got = community.label_propagation(swing, graph.nodes_of(swing)).collect()
     label = {r["node"]: r["label"] for r in got}
     assert label[0] == label[1] and label[2] == label[3]
+
+
+def test_class_tests_draw_a_thousand_samples(spark, monkeypatch):
+    drawn, real = [], report_queries.reports.permutation_samples
+    monkeypatch.setattr(report_queries.reports, "permutation_samples", lambda own, k, value, samples, seed: drawn.append(samples) or real(own, k, value, samples, seed))
+    assert registry.QUERIES["r15_class_tests"](spark, "/root/testdata/sf0.001").collect()
+    assert set(drawn) == {1000}
