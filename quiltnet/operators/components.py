@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import stored
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b: long) that is not the smallest of its component.
 
     Each round is joins and minima over the edge table, written to the shared folder; rounds grow
@@ -18,9 +18,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = stored(now, "components")
     sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     before = sign(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select("v", "u"))
         # minima are stored, so that the join sees two plain exchanges and can split a hub's edges
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-low")

@@ -41,17 +41,18 @@ def levels(terms: DataFrame, is_a: DataFrame, closed: DataFrame) -> DataFrame:
     return terms.select("id").join(up, "id", "left").select("id", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
 
 
-def paths_to_roots(is_a: DataFrame, term: int, limit: int = 32) -> DataFrame:
-    """(path): every path from a root down to the term."""
+def paths_to_roots(is_a: DataFrame, term: int) -> DataFrame:
+    """(path): every path from a root down to the term; fails where the term or one above it is above itself."""
     open_ = is_a.sparkSession.createDataFrame([(term, [term])], "head long, path array<long>")
     done = open_.select("path").limit(0)
-    for _ in range(limit):
+    while True:
         up = open_.join(is_a, open_["head"] == is_a["child"], "left")
         done = done.union(up.filter("parent is null").select("path"))
         open_ = stored(up.filter("parent is not null").select(F.col("parent").alias("head"), F.concat(F.array("parent"), "path").alias("path")), "paths")
         if open_.isEmpty():
-            break
-    return done
+            return done
+        if not open_.filter(F.size(F.array_distinct("path")) < F.size("path")).isEmpty():
+            raise ValueError("the hierarchy has a cycle")
 
 
 def relatives(is_a: DataFrame, closed: DataFrame, term: int) -> DataFrame:

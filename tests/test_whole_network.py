@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from quiltnet.operators import community, graph
+from quiltnet.operators import community, graph, ontology, traversal
 from quiltnet.plans import graph_queries, registry, relational_queries, report_queries, semantic_queries  # noqa: F401
 
 from .test_graph import BRIDGE, plain_bw
@@ -79,3 +79,12 @@ def test_class_tests_draw_a_thousand_samples(spark, monkeypatch):
     monkeypatch.setattr(report_queries.reports, "permutation_samples", lambda own, k, value, samples, seed: drawn.append(samples) or real(own, k, value, samples, seed))
     assert registry.QUERIES["r15_class_tests"](spark, "/root/testdata/sf0.001").collect()
     assert set(drawn) == {1000}
+
+
+def test_long_chains_are_followed_to_the_end(spark):
+    is_a = spark.createDataFrame([(k + 1, k) for k in range(40)], "child long, parent long")
+    assert [r["path"] for r in ontology.paths_to_roots(is_a, 40).collect()] == [list(range(41))]
+    with pytest.raises(ValueError, match="cycle"):
+        ontology.paths_to_roots(spark.createDataFrame([(1, 0), (0, 1)], "child long, parent long"), 1)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(66)], "a long, b long")
+    assert traversal.distances(chain).agg({"d": "max"}).first()[0] == 66
