@@ -8,7 +8,7 @@ mass is over `threshold` times its base mass and over its trust mass.
 
 The edge table is summed map-side before its shuffle, and one iteration joins and sums hosts only.
 Every `step` iterations the scores are written to the shared folder, and iteration stops once no
-host moved by more than `tolerance`.
+host moved by more than `tolerance`; if that has not happened after `rounds` times `step`, it fails.
 
 Defined cases: a null url or one without `://` has an empty host and path and no rule; the empty
 host is no node and such pages are allowed; repeated rows count as pages of their own; null html
@@ -64,7 +64,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, step: int = 5, rounds: int = 8, tolerance: float = 1e-9) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, step: int = 5, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """nodes (host, seed_trust, seed_distrust, seed_base: each summing to 1 or 0) with trust, distrust, base.
 
     What a host without links in the walk's direction would pass on returns to itself, so totals
@@ -93,8 +93,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, step
         now = stored(now, "host-scores")
         gap = F.greatest(*[F.abs(F.col("n." + c) - F.col("o." + c)) for c in ("trust", "distrust", "base")])
         if (now.alias("n").join(old.alias("o"), "host").agg(F.max(gap)).first()[0] or 0.0) < tolerance:
-            break
-    return now
+            return now
+    raise RuntimeError(f"host scores still move by more than {tolerance} after {rounds * step} steps")
 
 
 def url_filter(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING) -> DataFrame:

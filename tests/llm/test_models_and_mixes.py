@@ -127,3 +127,14 @@ def test_mass_is_kept(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", '<a href="http://b.net/es/">'), (2, "http://b.net/es/", "")], "page_id long, url string, html string")
     got = pd.DataFrame([r.asDict() for r in url_trust.url_filter(pages).collect()])
     assert got.trust.sum() == pytest.approx(1) and got.distrust.sum() == pytest.approx(1) and got.base.sum() == pytest.approx(2)
+
+
+def test_trust_reaches_hosts_far_from_the_seeds(spark):
+    n = 50
+    nodes = spark.createDataFrame([(f"h{k}", float(k == 0), 0.0, 1.0 / n) for k in range(n)], "host string, seed_trust double, seed_distrust double, seed_base double")
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1.0) for k in range(n - 1)], "src string, dst string, w double")
+    got = {r["host"]: r["trust"] for r in url_trust.propagate(nodes, edges).collect()}
+    want = {f"h{k}": 0.15 * 0.85**k for k in range(n - 1)} | {f"h{n - 1}": 0.85 ** (n - 1)}
+    assert got == pytest.approx(want, abs=1e-7)
+    with pytest.raises(RuntimeError, match="still move"):
+        url_trust.propagate(nodes, edges, step=1, rounds=1)
