@@ -319,6 +319,11 @@ def _tasks(blocks: DataFrame, rows: int) -> int:
 
 def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """Per row of docs: doc_id (null as the largest number), tag (its text's key), n_shingles, component_id, n_links."""
+    return _rows(docs, words, percent, cell).drop("part")
+
+
+def _rows(docs: DataFrame, words: int, percent: int, cell: int) -> DataFrame:
+    """jaccard_rows with part: what rows of one component share, unlike doc_ids; a text's key where it has no shingles."""
     spark = docs.sparkSession
     texts = texts_of(docs)
     texts = texts.withColumn("tag", row_key())
@@ -351,9 +356,9 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
     label = label.select(F.col("node").alias("s1"), "n", "s2", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     label = stored(label, "jaccard-labels")
     least = stored(label.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
-    named = label.join(least, "root").select("n", "s1", "s2", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    named = label.join(least, "root").select("n", "s1", "s2", "component_id", "root", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = sets.select("doc_id", "tag", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "tag").alias("part"))
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
@@ -362,12 +367,15 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; all columns stay.
+    """docs with one document of each component, the one with the smallest doc_id and, among those of one
+    doc_id, with the smallest key of its text; all columns stay.
 
-    A text repeated under one doc_id stays once; different texts under it stay apart.
+    A text repeated under one doc_id stays once. Texts under one doc_id that are no near copies stay apart,
+    as do null doc_ids.
     """
-    rows = stored(jaccard_rows(docs, words, percent), "jaccard-rows")
-    firsts = rows.filter("doc_id = component_id").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("rows"))
+    rows = stored(_rows(docs, words, percent, CELL), "jaccard-rows")
+    firsts = rows.filter("doc_id = component_id").groupBy("doc_id", "part", "tag").agg(F.count(F.lit(1)).alias("rows"))
+    firsts = firsts.groupBy("doc_id", "part").agg(F.min_by(F.struct("tag", "rows"), "tag").alias("m")).select("doc_id", "m.tag", "m.rows")
     repeats = not firsts.filter("rows > 1").isEmpty()
     key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), row_key().alias("_tag")]
     tagged = docs.select("*", *key)

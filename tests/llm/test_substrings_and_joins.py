@@ -115,3 +115,13 @@ def test_components(spark):
     assert got == {5: 2, 9: 2, 31: 30, 32: 30, 33: 30, 101: 100} | {k: 200 for k in range(201, 261)}
     nodes, roots = local_roots(np.array([5, 9, 4]), np.array([9, 2, 4]))
     assert dict(zip(nodes.tolist(), roots.tolist())) == {2: 2, 4: 4, 5: 2, 9: 2}
+
+
+def test_one_row_of_each_component_stays(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, base), (None, base + " x"), (None, base + " y"), (None, "alone one two three four five six"), (7, base.upper() + " z"), (9, "p q r s t u v w"), (9, "p q r s t u v w"), (9, "other words under the same number")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = rows_of(jaccard_join.keep_one(docs))
+    assert sorted(kept, key=str) == sorted([(7, rows[4][1]), (None, rows[3][1]), (9, rows[5][1]), (9, rows[7][1])], key=str)
+    nulls = rows_of(jaccard_join.keep_one(docs.filter("doc_id is null")))
+    assert len(nulls) == 2 and rows[3] in nulls
