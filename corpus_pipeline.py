@@ -14,7 +14,7 @@ from quiltnet.llm.common import read, stored
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    stats = stored(quality_model.with_statistics(docs), "quality-stats")
+    stats = stored(quality_model.with_statistics(docs), "quality-stats", few=True)
     return quality_model.keep_good(docs, quality_model.fit(stats, read(spark, sf_dir, "labels")))
 
 

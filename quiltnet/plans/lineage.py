@@ -24,8 +24,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back."""
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back.
+
+    few: for a small table that a wide scan makes, one file per so many bytes instead of one per scan task.
+    """
     path = fresh_path(df.sparkSession, name)
+    df = df.hint("rebalance") if few else df
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
