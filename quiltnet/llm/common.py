@@ -52,6 +52,16 @@ def row_key(text="text"):
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like the wanted ones that no column of docs has, however it is capitalised."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def id_out(name: str = "doc_id"):
     return F.when(F.col(name) != NULL_ID, F.col(name)).alias(name)
 

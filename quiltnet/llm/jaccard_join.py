@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACES, batches, blob, fan_out, id_out, mix, read, row_key, stored, texts_of, utf8, window_hashes, word_bounds, word_hashes
+from .common import NULL_ID, SPACES, batches, blob, fan_out, id_out, mix, read, row_key, stored, texts_of, unused, utf8, window_hashes, word_bounds, word_hashes
 from .components import connected_components, local_roots
 
 WORDS = 5
@@ -377,12 +377,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     firsts = rows.filter("doc_id = component_id").groupBy("doc_id", "part", "tag").agg(F.count(F.lit(1)).alias("rows"))
     firsts = firsts.groupBy("doc_id", "part").agg(F.min_by(F.struct("tag", "rows"), "tag").alias("m")).select("doc_id", "m.tag", "m.rows")
     repeats = not firsts.filter("rows > 1").isEmpty()
-    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), row_key().alias("_tag")]
-    tagged = docs.select("*", *key)
+    i, k = unused(docs, "id", "key")
+    tagged = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias(i), row_key().alias(k))
     if repeats:  # rare: needs the rows of one doc_id side by side
-        tagged = tagged.dropDuplicates(["_id", "_tag"])
-    kept = firsts.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    return tagged.join(kept, ["_id", "_tag"], "left_semi").select(*[tagged[c] for c in docs.columns])
+        tagged = tagged.dropDuplicates([i, k])
+    kept = firsts.select(F.col("doc_id").alias(i), F.col("tag").alias(k))
+    return tagged.join(kept, [i, k], "left_semi").select(*[tagged[c] for c in docs.columns])
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ Defined cases: null text has size 0; sources sort by code point, null last; a so
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, row_key, stored
+from .common import MB, SPACES, batches, read, row_key, stored, unused, utf8, word_bounds
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 CHUNK = 2000
+#: Equal rows that go to one task at most before the flight deals them to chunks.
+BLOCK = 1000
 EPS = 1e-9
-WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -119,20 +121,44 @@ def _level(rows: DataFrame, chunks, land: bool, seed: int, level: int) -> DataFr
     return keyed.groupBy("source_rank", "chunk").applyInArrow(run, _STATE)
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, tag, size): ids, the text's key and its number of words, counted over the bytes of a batch."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, MB):
+            raw, offsets = utf8(b.column(3))
+            _, _, row = word_bounds(raw, offsets, ~SPACES)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.bincount(row, minlength=b.num_rows), pa.int64())], ["doc_id", "source", "tag", "size"])
+
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), row_key().alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return cols.mapInArrow(run, "doc_id long, source string, tag long, size long")
+
+
+def numbered(base: DataFrame) -> DataFrame:
+    """The rows of base with nth: 0, 1, ... among equal rows.
+
+    Equal rows are counted, dealt out in runs of BLOCK and only then written out, so that no task
+    gets all rows of a text that has many copies.
+    """
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))
+    counted = base.groupBy("doc_id", "source", "tag", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.explode(blocks))
+    dealt = counted.repartition("doc_id", "tag", "block")
+    nth = F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.col("n")) - 1)
+    return dealt.withColumn("nth", F.explode(nth)).drop("n", "block")
+
+
 def cube_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
     """Per row of docs: doc_id, tag (its text's key), size, source_size, target, taken and copies.
 
     Only ids, sizes and probabilities go through the flight, never texts.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("tag"))
-    base = stored(base, "mix-sizes")
+    base = stored(sizes(docs), "mix-sizes", few=True)
     per = source_targets(base, weights, cap)
     per = per.withColumn("source_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     per = stored(per, "mix-targets")
     most = per.agg(F.max("source_rows")).first()[0] or 0
-    joined = base.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    ordinal = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    joined = numbered(base).alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    ordinal = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("tag"), F.col("nth"))
     whole = F.floor(F.col("rate") + EPS)
     state = joined.select(
         "tag", "doc_id", "size", "source_rank", whole.cast("long").alias("whole"),
@@ -166,14 +192,14 @@ def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with all its columns."""
-    picks = cube_rows(docs, weights, cap, seed).groupBy("doc_id", "tag").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    picks = stored(picks, "mix-picks").withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
-    tagged = docs.select("*", F.col("doc_id").cast("long").alias("_id"), row_key().alias("_tag"))
-    if not picks.filter("_rows > 1").isEmpty():  # rows that are equal share their picks
-        tagged = tagged.dropDuplicates(["_id", "_tag"])
-    picks = picks.filter("_copies > 0").withColumnRenamed("_tag", "_key").select(F.col("_id").alias("_other"), "_key", "_copies")
-    both = tagged.join(picks, tagged["_id"].eqNullSafe(picks["_other"]) & (tagged["_tag"] == picks["_key"]))
-    return both.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[tagged[c] for c in docs.columns])
+    i, k, n, m, j, t = unused(docs, "id", "key", "copies", "rows", "other_id", "other_key")
+    picks = cube_rows(docs, weights, cap, seed).groupBy(F.col("doc_id").alias(j), F.col("tag").alias(t)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(m))
+    picks = stored(picks, "mix-picks")
+    tagged = docs.select("*", F.col("doc_id").cast("long").alias(i), row_key().alias(k))
+    if not picks.filter(F.col(m) > 1).isEmpty():  # rows that are equal share their picks
+        tagged = tagged.dropDuplicates([i, k])
+    both = tagged.join(picks.filter(F.col(n) > 0), tagged[i].eqNullSafe(picks[j]) & (tagged[k] == picks[t]))
+    return both.withColumn(m, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[tagged[c] for c in docs.columns])
 
 
 def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
