@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import fresh_path, shared_dir, stored  # noqa: F401
 
-#: Stands for a null doc_id inside the operators: it sorts after every real id and is null again in results.
+#: Stands for a null doc_id in comparisons inside the operators; a column `known` tells it from a real id of that value.
 NULL_ID = 2**63 - 1
 MB = 1 << 20
 
@@ -39,12 +40,29 @@ def fan_out(df: DataFrame, mb: int = 2) -> int:
     return max(least, min(size // (mb * MB), max(2000, size // (128 * MB))))
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with nulls replaced; whatever else the table holds is dropped here."""
-    return docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
-    )
+def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with a number that names each row of its files, whatever its contents: rows that are equal in
+    all columns, and rows without an id, can be dealt apart by it, and every scan gives a row the same
+    number again, however the files are split. A table that is no plain file scan is stored first.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.select("*", F.xxhash64(at["file_path"], at["row_index"]).alias(name))
+    except AnalysisException:
+        docs = stored(docs, "rows")
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(at["file_path"], at["row_index"]).alias(name))
+
+
+def texts_of(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, text, known, row) with nulls replaced; whatever else the table holds is dropped here.
+
+    row: the column of with_row, where docs has been through it."""
+    if row is None:
+        (row,) = unused(docs, "row")
+        docs = with_row(docs, row)
+    i = docs["doc_id"].cast("long")
+    return docs.select(F.coalesce(i, F.lit(NULL_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), i.isNotNull().alias("known"), docs[row].alias("row"))
 
 
 def row_key(text="text"):
@@ -62,8 +80,8 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def id_out(name: str = "doc_id"):
-    return F.when(F.col(name) != NULL_ID, F.col(name)).alias(name)
+def id_out(name: str = "doc_id", known: str = "known"):
+    return F.when(F.col(known), F.col(name)).alias(name)
 
 
 # ---------------------------------------------------------------- bytes and words in numpy

@@ -15,9 +15,13 @@ equal size and prefix form one group, which is filtered once for all members:
    of rows, and no linked pair lies outside a pair of cells.
 5. Components of the verified links, and links counted with copies, go back to the documents.
 
+Rows are told apart by their place in the files, so copies and rows without an id are never joined by
+anything they share: only the one row that stands for a class sends its text.
+
 Defined cases: with fewer than five words the whole sequence is the one shingle; null, empty and
 wordless texts have an empty set, link with nothing and are their own component; repeated rows are
-copies; a null doc_id counts as larger than all others; an empty table gives an empty result.
+copies; a null doc_id counts as larger than all others; texts of any length are whole sets; other
+columns, whatever their names, are kept or not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACES, batches, blob, fan_out, id_out, mix, read, row_key, stored, texts_of, unused, utf8, window_hashes, word_bounds, word_hashes
+from .common import SPACES, batches, blob, fan_out, id_out, mix, read, row_key, stored, texts_of, unused, utf8, window_hashes, with_row, word_bounds, word_hashes
 from .components import connected_components, local_roots
 
 WORDS = 5
@@ -91,7 +95,7 @@ def _sketch(texts: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
-_SETS = "doc_id long, tag long, n long, s1 long, s2 long, p1 long, prefix binary, cells binary"
+_SETS = "doc_id long, known boolean, tag long, row long, n long, s1 long, s2 long, p1 long, prefix binary, cells binary"
 
 
 def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
@@ -116,7 +120,7 @@ def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
                     head = rare[begin[i] : begin[i] + k[i]]
                     prefix[i] = blob(head)
                     p1[i] = np.add.reduce(mix(head ^ np.uint64(n[i])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), *(pa.array(v.view(np.int64)) for v in (s1, s2, p1)), pa.array(prefix, pa.binary()), pa.array(cells, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(n, pa.int64()), *(pa.array(v.view(np.int64)) for v in (s1, s2, p1)), pa.array(prefix, pa.binary()), pa.array(cells, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
 
     return texts.mapInArrow(run, _SETS)
 
@@ -317,21 +321,23 @@ def _tasks(blocks: DataFrame, rows: int) -> int:
     return max(least, (blocks.agg(F.sum("width")).first()[0] or 0) // rows)
 
 
-def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """Per row of docs: doc_id (null as the largest number), tag (its text's key), n_shingles, component_id, n_links."""
-    return _rows(docs, words, percent, cell).drop("part")
+#: What orders the members of a class or component; its first member stands for it.
+_FIRST = ("doc_id", "void", "tag", "row")
+
 
+def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL, row: str | None = None) -> DataFrame:
+    """Per row of docs: doc_id (null as the largest number) and known, tag (its text's key), row, n_shingles,
+    component_id and component_known, first_row (the row that stands for its component) and n_links.
 
-def _rows(docs: DataFrame, words: int, percent: int, cell: int) -> DataFrame:
-    """jaccard_rows with part: what rows of one component share, unlike doc_ids; a text's key where it has no shingles."""
+    row: the column of with_row, where docs has been through it.
+    """
     spark = docs.sparkSession
-    texts = texts_of(docs)
-    texts = texts.withColumn("tag", row_key())
+    texts = texts_of(docs, row).select("doc_id", "text", "known", row_key().alias("tag"), "row")
     n_buckets = fan_out(docs)
     order = spark.sparkContext.broadcast(_sketch(texts, words))  # 2 MB
-    sets = stored(_signed(texts, order, words, percent), "jaccard-sets")
+    sets = stored(_signed(texts, order, words, percent), "jaccard-sets").withColumn("void", ~F.col("known"))
     real = sets.filter("n > 0")
-    classes = real.groupBy("n", "s1", "s2", "p1").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("cells").alias("cells"))
+    classes = real.groupBy("n", "s1", "s2", "p1").agg(F.min(F.struct(*_FIRST)).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("cells").alias("cells"))
     classes = stored(classes.withColumnRenamed("s1", "cid"), "jaccard-classes")
     groups = _numbered(real.groupBy("n", "p1").agg(F.max("prefix").alias("prefix")))
     # blocks of groups, expanded to classes
@@ -342,47 +348,45 @@ def _rows(docs: DataFrame, words: int, percent: int, cell: int) -> DataFrame:
     possible = connected_components(_in_cells(narrow, _tasks(rough, 4000)).applyInArrow(_possible(percent), "a long, b long"))
     # finer blocks: what the counters leave
     linked = possible.select(F.col("node").alias("cid"), "root").union(possible.select("root", "root").distinct())
-    fine = _blocks(classes.select("cid", "n", "doc_id", "copies", "s2").join(linked, "cid").withColumnRenamed("root", "comp"), cell, "jaccard-fine")
-    # a bitmap of 2**23 bits (131,072 rows at most) keeps texts of other documents out of the exchange
-    place = lambda: F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 23))
-    bits = fine.select(place().alias("h")).groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word"))
-    marked = texts.select("doc_id", "text", place().alias("h")).withColumn("slot", F.shiftright("h", 6)).join(F.broadcast(bits), "slot")
-    with_text = marked.filter(F.expr("(shiftright(word, cast(h & 63 as int)) & 1L) = 1")).select("doc_id", "text").join(fine, "doc_id")
+    members = classes.select("cid", "n", "first", "copies", "s2").join(linked, "cid").withColumnRenamed("root", "comp")
+    fine = _blocks(members, cell, "jaccard-fine")
+    # a bitmap keeps the texts of all rows but those that stand for a class out of the exchange
+    bits = min(26, max(16, 5 + fine.count().bit_length()))
+    place = lambda c: F.pmod(F.col(c), F.lit(1 << bits))
+    marks = fine.select(place("first.row").alias("h")).groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word"))
+    marked = texts.select("row", "doc_id", "text", place("row").alias("h")).withColumn("slot", F.shiftright("h", 6)).join(F.broadcast(marks), "slot")  # 2**20 rows at most
+    marked = marked.filter(F.expr("(shiftright(word, cast(h & 63 as int)) & 1L) = 1")).select("row", "doc_id", "text")
+    with_text = marked.join(fine.withColumns({"row": F.col("first.row"), "doc_id": F.col("first.doc_id")}), ["row", "doc_id"])
     verified = _in_cells(with_text.select("comp", "cid", "copies", "sub", "text", "width"), _tasks(fine, 400)).applyInArrow(_verify(words, percent), "node long, root long, links long")
     verified = stored(verified, "jaccard-links")
     final = connected_components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = verified.groupBy("node").agg(F.sum("links").alias("links"))
     label = classes.drop("cells").withColumnRenamed("cid", "node").join(final, "node", "left").join(linked, "node", "left")
-    label = label.select(F.col("node").alias("s1"), "n", "s2", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    label = label.select(F.col("node").alias("s1"), "n", "s2", "first", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     label = stored(label, "jaccard-labels")
-    least = stored(label.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
-    named = label.join(least, "root").select("n", "s1", "s2", "component_id", "root", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = sets.select("doc_id", "tag", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "tag").alias("part"))
+    least = stored(label.groupBy("root").agg(F.min("first").alias("least")), "jaccard-least")
+    named = label.join(least, "root").select("n", "s1", "s2", "least", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    out = sets.select(*_FIRST, "known", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    return out.select(
+        "doc_id", "known", "tag", "row", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        (~F.coalesce("least.void", "void")).alias("component_known"), F.coalesce("least.row", "row").alias("first_row"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, n_links (documents it links with, copies included)."""
-    return jaccard_rows(docs, words, percent, cell).select(id_out(), "n_shingles", id_out("component_id"), "n_links")
+    return jaccard_rows(docs, words, percent, cell).select(id_out(), "n_shingles", id_out("component_id", "component_known"), "n_links")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id and, among those of one
-    doc_id, with the smallest key of its text; all columns stay.
-
-    A text repeated under one doc_id stays once. Texts under one doc_id that are no near copies stay apart,
-    as do null doc_ids.
+    """docs with one row of each component, the one of the smallest doc_id and, among those of one doc_id,
+    of the smallest key of its text; all columns stay. Rows without shingles are their own components.
     """
-    rows = stored(_rows(docs, words, percent, CELL), "jaccard-rows")
-    firsts = rows.filter("doc_id = component_id").groupBy("doc_id", "part", "tag").agg(F.count(F.lit(1)).alias("rows"))
-    firsts = firsts.groupBy("doc_id", "part").agg(F.min_by(F.struct("tag", "rows"), "tag").alias("m")).select("doc_id", "m.tag", "m.rows")
-    repeats = not firsts.filter("rows > 1").isEmpty()
-    i, k = unused(docs, "id", "key")
-    tagged = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias(i), row_key().alias(k))
-    if repeats:  # rare: needs the rows of one doc_id side by side
-        tagged = tagged.dropDuplicates([i, k])
-    kept = firsts.select(F.col("doc_id").alias(i), F.col("tag").alias(k))
-    return tagged.join(kept, [i, k], "left_semi").select(*[tagged[c] for c in docs.columns])
+    r, k = unused(docs, "row", "key")
+    numbered = with_row(docs, r)
+    kept = jaccard_rows(numbered, words, percent, row=r).filter("row = first_row").select(F.col("row").alias(r), F.col("tag").alias(k))
+    tagged = numbered.withColumn(k, row_key())
+    return tagged.join(stored(kept, "jaccard-kept"), [r, k], "left_semi").select(*[tagged[c] for c in docs.columns])
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Language-model scoring: a log-bilinear model trained by noise-contrastive estimation.
 
-Word counts cover every training document. They are too many to broadcast, so documents are dealt
-into groups; a group asks the hash buckets of the words it has, each once, and gets their counts
+Word counts cover every training document. They are too many to broadcast, so rows are dealt into
+groups by their place in the files; a group asks the hash buckets of the words it has, each once, and gets their counts
 back. The vocabulary is the sqrt(N) commonest words of N training tokens, 62 at least, of those
 seen twice; all others are the rare words, which share one class inside which a word's probability
 follows its count. The next token is scored from the two tokens before it, each word of the
@@ -17,7 +17,8 @@ on how files are split. With 62 words or fewer, counts of triples give the exact
 objective, which Adam climbs on the driver.
 
 Defined cases: null or empty text is the end token alone; a null doc_id is neither trained on nor
-held out; repeated rows are documents of their own; without training documents N = V = 0 and the
+held out; repeated rows are documents of their own; equal counts rank by word; texts of any length
+are scored whole; other columns, whatever their names, are not read; without training documents N = V = 0 and the
 model is uniform; an empty table gives an empty result.
 """
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pyspark import TaskContext
 
-from .common import NULL_ID, batches, blob, fan_out, id_out, read, stored, texts_of
+from .common import batches, blob, fan_out, id_out, read, stored, texts_of
 
 N_WORDS = 62
 WIDTH = 24
@@ -52,8 +53,7 @@ LOG10 = np.log(10.0)
 
 
 def held_out(modulus: int = 7, fold: int = 2):
-    known = F.col("doc_id") != NULL_ID
-    return known & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == fold)
+    return F.col("known") & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == fold)
 
 
 def split(column) -> list[list[bytes]]:
@@ -66,7 +66,7 @@ class GroupWords:
 
     def __init__(self, table: pa.Table, n_buckets: int):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids, self.train, self.held = table["doc_id"], table["train"].to_numpy(), table["held_out"]
+        self.ids, self.known, self.train, self.held = table["doc_id"], table["known"], table["train"].to_numpy(), table["held_out"]
         text = table["text"].combine_chunks()
         self.docs = split(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
         have = set(chain.from_iterable(self.docs))
@@ -438,7 +438,7 @@ def _triples(docs: DataFrame, words: dict[bytes, int], n_out: int) -> np.ndarray
 def _score(n_buckets: int, shared, n_total: int, v_total: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         model: LogBilinear | Hierarchy = shared.value
-        g = GroupWords(table.select(["doc_id", "text", "train", "held_out"]), n_buckets)
+        g = GroupWords(table.select(["doc_id", "text", "known", "train", "held_out"]), n_buckets)
         back = sorted(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist()))
         counts = np.concatenate([np.frombuffer(x, np.int64) for _, x in back])
         place = dict(zip(g.words, range(len(g.words))))
@@ -454,7 +454,7 @@ def _score(n_buckets: int, shared, n_total: int, v_total: int):
         score[rare] += np.log10((c[rare] + 1) / model.rest)
         return pa.table(
             {
-                "doc_id": g.ids, "held_out": g.held, "n_tokens": pa.array(np.bincount(doc, minlength=n), pa.int64()), "n_known": pa.array(np.bincount(doc[c > 0], minlength=n), pa.int64()),
+                "doc_id": g.ids, "known": g.known, "held_out": g.held, "n_tokens": pa.array(np.bincount(doc, minlength=n), pa.int64()), "n_known": pa.array(np.bincount(doc[c > 0], minlength=n), pa.int64()),
                 "train_tokens": pa.array(np.full(n, n_total), pa.int64()), "base_score": pa.array(np.bincount(doc, base, n)), "score": pa.array(np.bincount(doc, score, n)),
             }
         )
@@ -470,8 +470,8 @@ def lm_scores(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
     source = texts_of(docs)
     n_parts = fan_out(docs, 4)
     n_groups = n_buckets = 2 * n_parts
-    cols = source.select("doc_id", "text", held_out().alias("held_out"), ((F.col("doc_id") != NULL_ID) & ~held_out()).alias("train"))
-    dealt = cols.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups))).repartition(n_parts, "g")
+    cols = source.select("doc_id", "text", "known", held_out().alias("held_out"), (F.col("known") & ~held_out()).alias("train"), F.pmod("row", F.lit(n_groups)).alias("g"))
+    dealt = cols.repartition(n_parts, "g")
     asked = dealt.groupBy("g").applyInArrow(_ask(n_buckets), "bucket long, g long, words binary, counts binary")
     answers = stored(asked.groupBy("bucket").applyInArrow(_answer(n_words), _ANSWER), "lm-counts")
     n_total, v_total = (x or 0 for x in answers.filter("kind = 2").agg(F.sum("n"), F.sum("v")).first())
@@ -488,10 +488,10 @@ def lm_scores(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
         model = Hierarchy(words, np.array([*known, n_total - n_train - sum(known), n_train], float), rest)
         train_partitions(texts, model)
     shared = spark.sparkContext.broadcast(model)  # grows with the square root of the training tokens
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, known boolean, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     back = answers.filter("kind = 0").select("g", "bucket", "counts")
     out = dealt.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(_score(n_buckets, shared, n_total, v_total), schema)
-    return out.select(id_out(), *[c for c in out.columns if c != "doc_id"])
+    return out.select(id_out(), *[c for c in out.columns if c not in ("doc_id", "known")])
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

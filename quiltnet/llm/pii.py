@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, widened by a linear-chain conditional random field.
 
 Base spans come from four patterns with their checks. A CRF over word-shape features adds what the
-patterns miss (numbers in local notation, addresses broken by spaces around their marks). It is
-trained on a small labelled table by exact log-likelihood gradients, and decoded by Viterbi in
-numpy for all chains of a batch at once.
+patterns miss: numbers in local notation, and secrets (keys, tokens, passwords), which have no fixed
+pattern. What goes before a word counts as the labelled table teaches it; there is no list of cues.
+The field is trained on that small table by exact log-likelihood gradients, and decoded by Viterbi
+in numpy for all chains of a batch at once.
 
 Only words with a digit or an `@` can take part in a span; all others are bound to the outside
 label. A chain therefore falls apart, exactly, into its runs of such words, and only these are
@@ -11,7 +12,9 @@ decoded. An added span must not touch a base span, holds a number of digits that
 never replaces a base span.
 
 Defined cases: null text is empty; spans count code points, end exclusive; kinds may overlap each
-other; repeated rows are judged alike; an empty table gives an empty result.
+other; repeated rows are judged alike; texts of any length are searched whole; of labels that score
+alike the first counts; other columns, whatever their names, are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -76,7 +79,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # ---------------------------------------------------------------- the field
 
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: Kinds the field may add; a secret (a key, token or password) has no fixed pattern.
+FIELD_KINDS = (*KINDS, "secret")
+LABELS = ("O", *(f"{p}-{k}" for k in FIELD_KINDS for p in "BI"))
+_CORE = re.compile(r"[A-Za-z0-9_+/-]+")
 
 
 def shape(word: str) -> str:
@@ -86,36 +92,54 @@ def shape(word: str) -> str:
     return re.sub(r"([aA])[aA]+", r"\1", s)[:24]
 
 
+def core(word: str) -> tuple[int, int]:
+    """The longest run of characters that keys are made of."""
+    return max((m.span() for m in _CORE.finditer(word)), key=lambda s: s[1] - s[0], default=(0, 0))
+
+
 def features(words: list[str], i: int, before: str, after: str) -> list[str]:
     w = words[i]
     digits = sum("0" <= c <= "9" for c in w)
+    a, z = core(w)
+    inner = w[a:z]
+    turns = len(re.findall(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])", inner))
     left, right = words[i - 1] if i else before, words[i + 1] if i + 1 < len(words) else after
-    low = left.lower().rstrip(":.,")
     return [
         "bias", "s=" + shape(w), f"d={min(digits, 20)}", "@" if "@" in w else "-@", f"edge={w[:1] in '+('}{w[-1:] in '.,;:)'}",
-        "p=" + (shape(left) if re.search("[0-9@]", left) else low if low in CUES else "w"), "n=" + (shape(right) if re.search("[0-9@]", right) else "w"),
+        f"l={min((z - a) // 4, 10)}", f"t={min(turns, 6)}", f"l,t={z - a >= 16},{min(turns, 4)}", f"hex={z - a >= 16 and not re.search('[^0-9a-f]', inner)}", f"q={w[:a][-1:] in ('=', chr(34), chr(39), ':')}",
+        "p=" + (shape(left) if re.search("[0-9@]", left) else left.lower().strip(":.,=" + chr(34))[:16]), "pm=" + left[-1:] * (not left[-1:].isalnum()), "n=" + (shape(right) if re.search("[0-9@]", right) else "w"),
     ]
 
 
-#: Words that announce a kind; part of the feature template.
-CUES = frozenset("call phone tel telephone mobile fax card visa mastercard account mail email e-mail contact ip host address server order invoice version page year room".split())
-
-#: The labelled table is written as templates: (text, kind by placeholder). Digits are drawn below.
+#: The labelled table is written as templates: text with {kind:form} spans. In a form, # is a digit, and
+#: hexN, mixN and lowN are N characters of 0-9a-f, of 0-9A-Za-z and of 0-9a-z; ~ is an invented word anywhere.
 _TEMPLATES = (
     ("please call {phone:(###) ###-####} after noon", "tel {phone:###-###-####} or fax {phone:###-###-####}", "phone: {phone:### ### ####}", "mobile {phone:+# ### ### ####}", "reach us at {phone:+## ## #### ####} today",
      "call {phone:(###) ### ####} for help", "write to {email:aaa.aa##@mail#.aaaa.com} soon", "contact {email:aaaa@aaaa.org} now", "email {email:a.aaaa@aaa-aa.net}, thanks", "mail {email:aaaa##@aaaa} inside the office",
      "the card {card:#### #### #### ####} was used", "visa {card:################} expires", "card {card:####-####-####-####} is blocked", "account card {card:#### #### #### #### ###}", "from {ip:###.##.##.###} to {ip:##.###.##.#}",
      "server {ip:##.##.##.##:####} is down", "host {ip:###.###.#.##} failed", "ip {ip:##.###.###.##}/## was seen")
+    + ('~ ~ secret = "{secret:hex32}" ~ ~', "api_key={secret:mix32} ~", '"password": "{secret:mix20}",', "export ~={secret:mix40}", "~ key: {secret:low24} ~", '~ = "{secret:hex64}"### ~ ~', "auth {secret:mix24} ~", "~ '{secret:hex32}', ~",
+       "the secret {secret:low32}. ~ ~", "token: {secret:mix36}", "bearer {secret:mix48} ~", '~ = "{secret:hex48}" ~')
     + ("version #.# of the page", "license version #.#.# applies", "order ###### was sent in ####", "on ####-##-## at ##:## we met", "it cost $## or ##.## in ####", "room ### on page ##", "the years ####-#### were good",
        "invoice ##### and order ########", "about ##,### people and ###,### more", "CC BY-NC #.# license", "a ratio of #.### to ##%", "key AAAA##AAAA###AAAA in text", "in #### there were ### of ## kinds", "chapter # section #.#.# part #",
        "twitter @aaaa said so", "see @aaaa and @aa_aa", "id ############ of ###", "numbers # ## ### #### ##### are not data", "table ## | ## | ## | ##", "build ####.##.## of aaaa#")
+    + ("~ ################ ~ ~", "~ ~ ################. ~", "~ #################### ~", "~ ~ ## ~ ####$$$ ~", "~###& ~ ~#", "~ ~-#### ~ x##_##", "img_########_####.jpg ~", "www.~.com/~/####/## ~", "~ h### ~ #rd ##th ##km ~", "~ #~#~ ~ a#b#", "~ = ## ~ = \"####\" ~", "~ aaaa##, ~-##-~ ~")
 )
 
 
 def labelled_table(copies: int = 12, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, [(kind, start, end)]): the templates, several times, with digits and letters drawn."""
     rng = np.random.default_rng(seed)
-    fill = lambda s: "".join(str(rng.integers(10)) if c == "#" else c for c in s)
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    pick = lambda chars, k: "".join(chars[j] for j in rng.integers(0, len(chars), k))
+    draw = {"#": lambda: pick(letters[:10], 1), "~": lambda: pick(letters[10:36], int(rng.integers(2, 10)))}
+
+    def fill(s: str) -> str:
+        form = re.fullmatch(r"(hex|low|mix)([0-9]+)", s)
+        if form:
+            return pick(letters[: {"hex": 16, "low": 36, "mix": 62}[form[1]]], int(form[2]))
+        return "".join(draw[c]() if c in draw else c for c in s)
+
     rows = []
     for _ in range(copies):
         for t in _TEMPLATES:
@@ -124,6 +148,8 @@ def labelled_table(copies: int = 12, seed: int = 5) -> list[tuple[str, list[tupl
                 if piece.startswith("{"):
                     kind, body = piece[1:-1].split(":", 1)
                     value = fill(body)
+                    if kind == "card":  # the last digit makes the sum right
+                        value = next(v for d in letters[:10] if luhn((v := value[:-1] + d).replace(" ", "").replace("-", "")))
                     spans.append((kind, len(text), len(text) + len(value)))
                     text += value
                 else:
@@ -249,7 +275,7 @@ def train_field(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int =
     return Field(index, p[0], p[1] + wall, p[2] + begin, p[3])
 
 
-_DIGITS = {"email": (0, 64), "ip": (4, 17), "card": (13, 19), "phone": (7, 15)}
+_DIGITS = {"email": (0, 64), "ip": (4, 17), "card": (13, 19), "phone": (7, 15), "secret": (1, 1 << 20)}
 
 
 def _add_spans(text: str, run, labels: np.ndarray, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
@@ -263,28 +289,32 @@ def _add_spans(text: str, run, labels: np.ndarray, base: dict[str, list[tuple[in
         while j < len(names) and names[j] == "I-" + kind:
             j += 1
         s, e = run[1][i][0], run[1][j - 1][1]
+        if kind == "secret":
+            a, z = core(text[s:e])
+            s, e = s + a, s + z
         while e > s and text[e - 1] in ".,;:!?)" and not (text[e - 1] == ")" and "(" in text[s:e]):
             e -= 1
         lo, hi = _DIGITS[kind]
         digits = sum("0" <= c <= "9" for c in text[s:e])
-        if e > s and lo <= digits <= hi and (kind != "email" or re.search(r"[^@]@[^@]", text[s:e])) and not any(s < y and e > x for x, y in taken):
+        if e > s and lo <= digits <= hi and (kind != "email" or re.search(r"[^@]@[^@]", text[s:e])) and (kind != "card" or luhn(re.sub("[^0-9]", "", text[s:e]))) and (kind != "secret" or e - s >= 16 and re.search("[A-Za-z]", text[s:e])) and not any(s < y and e > x for x, y in taken):
             out.append((kind, s, e))
         i = j
     return out
 
 
-_DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+_DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_spans long"
 
 
 def find_pii(docs: DataFrame, labelled: list | None = None) -> DataFrame:
-    """Per document: doc_id, base counts by kind, base_sha256, spans (base and added) and n_added."""
+    """Per document: doc_id, base counts by kind, base_sha256, spans (base and added), n_added, n_secret (of those
+    added) and n_spans (of all)."""
     field = docs.sparkSession.sparkContext.broadcast(train_field(labelled or labelled_table()))  # of fixed size
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             n = b.num_rows
-            counts, shas, spans, added = np.zeros((4, n), np.int64), [empty] * n, [""] * n, np.zeros(n, np.int64)
+            counts, shas, spans, (added, secret) = np.zeros((4, n), np.int64), [empty] * n, [""] * n, np.zeros((2, n), np.int64)
             raw, offsets = utf8(b.column(1))
             marked = np.concatenate([[0], np.cumsum(((raw >= 0x30) & (raw <= 0x39)) | (raw == 0x40))])
             rows = np.flatnonzero(marked[offsets[1:]] > marked[offsets[:-1]])
@@ -313,12 +343,12 @@ def find_pii(docs: DataFrame, labelled: list | None = None) -> DataFrame:
                 for j, k in enumerate(KINDS):
                     counts[j, i] = len(bases[i][k])
                 more = extra.get(i, [])
-                added[i] = len(more)
+                added[i], secret[i] = len(more), sum(k == "secret" for k, _, _ in more)
                 line = lambda v: ",".join(f"{k}:{x}:{y}" for k, x, y in v)
                 if base:
                     shas[i] = hashlib.sha256(line(base).encode()).hexdigest()
-                spans[i] = line(sorted([*base, *more], key=lambda v: (KINDS.index(v[0]), v[1], v[2])))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, counts), pa.array(shas), pa.array(spans), pa.array(added)], [c.split()[0] for c in _DIGEST.split(", ")])
+                spans[i] = line(sorted([*base, *more], key=lambda v: (FIELD_KINDS.index(v[0]), v[1], v[2])))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, counts), pa.array(shas), pa.array(spans), *map(pa.array, (added, secret, counts.sum(0) + added))], [c.split()[0] for c in _DIGEST.split(", ")])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return src.mapInArrow(run, _DIGEST)

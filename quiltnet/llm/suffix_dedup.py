@@ -3,8 +3,8 @@
 A byte goes if it lies in a string of `length` bytes that also starts in a document with a smaller
 doc_id. The work is cut so that suffixes which may share such a string meet in one bucket:
 
-1. Documents are dealt into groups once (a single exchange of the texts that all later steps
-   reuse). In every string of `length` bytes the smallest hash of its 28-byte substrings names its
+1. Rows are dealt into groups once, by their place in the files, so that neither copies nor null
+   ids meet in one (a single exchange of the texts that all later steps reuse). In every string of `length` bytes the smallest hash of its 28-byte substrings names its
    anchor; equal strings have equal anchors. A group sends the hashes of its anchors, each once.
 2. Hash buckets answer which anchors occur in two documents or more, as bit masks.
 3. A group sends the strings with shared anchors, run together to segments by a second anchor of
@@ -19,8 +19,9 @@ Hashes only decide what meets where; equality is decided by the sorted bytes. Pa
 documents share are sent once per group, so no bucket grows with the number of copies.
 
 Defined cases: null text is empty; texts shorter than `length` lose nothing; rows with one doc_id
-never delete from each other; a null doc_id counts as larger than all others; an empty table gives
-an empty result.
+never delete from each other; a null doc_id compares like the largest long; texts of any length are
+whole in one group; other columns, whatever their names, are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -383,7 +384,7 @@ def _cut(with_text: bool):
         ends = np.cumsum(lengths - removed)
         texts = [kept[e - n : e] for e, n in zip(ends.tolist(), (lengths - removed).tolist())]
         out = {
-            "doc_id": table["doc_id"], "n_bytes": pa.array(lengths), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()),
+            "doc_id": table["doc_id"], "known": table["known"], "n_bytes": pa.array(lengths), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
         }
         return pa.table(out | ({"kept": pa.array(texts, pa.binary())} if with_text else {}))
@@ -398,14 +399,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     source = texts_of(docs)
     n_parts = fan_out(docs)
     n_groups, n_buckets = 2 * n_parts, 4 * n_parts
-    dealt = source.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups))).repartition(n_parts, "g")
+    dealt = source.select("doc_id", "text", "known", F.pmod("row", F.lit(n_groups)).alias("g")).repartition(n_parts, "g")
     keys = dealt.groupBy("g").applyInArrow(_send_anchors(n_buckets, length), "bucket long, g long, keys binary, multi binary")
     masks = keys.groupBy("bucket").applyInArrow(_mark_shared, "g long, bucket long, mask binary")
     segments = dealt.groupBy("g").cogroup(masks.groupBy("g")).applyInArrow(_send_segments(n_buckets, length), _SEGMENTS)
     spans = segments.groupBy("bucket").applyInArrow(_find_repeats(length), "g long, rows binary, starts binary, ends binary")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    schema = "doc_id long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     out = dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut(with_text), schema)
-    return out.select(id_out(), *[c for c in out.columns if c != "doc_id"])
+    return out.select(id_out(), *[c for c in out.columns if c not in ("doc_id", "known")])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

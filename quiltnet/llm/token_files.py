@@ -7,10 +7,12 @@ code of at most 16 bits. A row holds its documents' ids as one bit stream, and t
 every 512th id: each such block decodes on its own, so decoding runs all blocks of a row in step.
 
 File format: a folder with `codebook` (id, bits) and `runs` (part, seq, start_in_part, n_ids,
-doc_ids int64[], lengths int64[], payload, checkpoints int64[]), little-endian, as Parquet.
+doc_ids int64[], void bool[] (the id was null), lengths int64[], payload, checkpoints int64[]), little-endian, as Parquet.
 
 Defined cases: null or empty text is the end id alone; null doc_ids come last; repeated rows are
-documents of their own; an empty table writes an empty codebook and no runs.
+documents of their own; under one id the first 64 characters of the text order rows, then a hash of
+their place in the files; texts of any length are
+one run of ids; other columns, whatever their names, are not read; an empty table writes an empty codebook and no runs.
 """
 
 from __future__ import annotations
@@ -275,7 +277,7 @@ def decode_bits(payload: bytes, checkpoints: np.ndarray, n_ids: int, table, bloc
 def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, at, seq = tokenizer_of(tokenizer), TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         counts = np.zeros(max(tok.vocab, end_id + 1), np.int64)
 
         def flush():
@@ -283,16 +285,16 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             ids = np.concatenate([x[2] for x in held])
             counts[:] += np.bincount(ids, minlength=len(counts))
             kind = np.uint16 if tok.vocab <= 1 << 16 else np.uint32
-            row = [part, seq, at, len(ids), blob(np.concatenate([x[0] for x in held])), blob(np.concatenate([x[1] for x in held])), blob(ids.astype(kind)), kind().itemsize, None]
+            row = [part, seq, at, len(ids), *(blob(np.concatenate([x[k] for x in held])) for k in (0, 3, 1)), blob(ids.astype(kind)), kind().itemsize, None]
             at, seq = at + len(ids), seq + 1
             held.clear()
             return pa.RecordBatch.from_pylist([dict(zip(names, row))], schema=schema)
 
-        names = ["part", "seq", "start_in_part", "n_ids", "doc_ids", "lengths", "ids", "width", "counts"]
-        schema = pa.schema([(n, pa.binary() if n in ("doc_ids", "lengths", "ids", "counts") else pa.int64()) for n in names])
+        names = ["part", "seq", "start_in_part", "n_ids", "doc_ids", "void", "lengths", "ids", "width", "counts"]
+        schema = pa.schema([(n, pa.binary() if n in ("doc_ids", "void", "lengths", "ids", "counts") else pa.int64()) for n in names])
         for b in batches(it, 6 << 20):
             ids, per_doc = tok.encode(b.column(1), end_id)
-            held.append((b.column(0).to_numpy(), per_doc, ids))
+            held.append((b.column(0).to_numpy(), per_doc, ids, b.column(2).to_numpy(zero_copy_only=False)))
             if sum(len(x[2]) for x in held) >= RUN_IDS:
                 yield flush()
         if held:
@@ -300,7 +302,7 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         if seq:  # one row for what the whole partition holds of each id
             yield pa.RecordBatch.from_pylist([{"part": part, "seq": -1, "counts": blob(counts)}], schema=schema)
 
-    return docs.mapInArrow(run, "part long, seq long, start_in_part long, n_ids long, doc_ids binary, lengths binary, ids binary, width long, counts binary")
+    return docs.mapInArrow(run, "part long, seq long, start_in_part long, n_ids long, doc_ids binary, void binary, lengths binary, ids binary, width long, counts binary")
 
 
 def _counts(runs: DataFrame, vocab: int) -> np.ndarray:
@@ -326,7 +328,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     vocab = Tokenizer.from_file(tokenizer).get_vocab_size()
     source = texts_of(docs)
-    ordered = source.repartitionByRange(fan_out(docs, 4), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without an id, are ranged by how their texts begin and by their place in the files
+    order = ["doc_id", "void", "head", "row"]
+    source = source.select("doc_id", "text", (~F.col("known")).alias("void"), "row", F.substring("text", 1, 64).alias("head"))
+    ordered = source.repartitionByRange(fan_out(docs, 4), *order).sortWithinPartitions(*order).drop("head")
     plain = f"{path}-ids"
     _tokenise(ordered, tokenizer, end_id).write.option("compression", "zstd").parquet(plain)
     runs = spark.read.parquet(plain)
@@ -341,11 +346,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         for b in it:
             coded = [encode_bits(np.frombuffer(x, f"u{w}"), lengths, codes) for x, w in zip(b["ids"].to_pylist(), b["width"].to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*(b[k] for k in ("part", "seq", "start_in_part", "n_ids", "doc_ids", "lengths")), pa.array([x[0] for x in coded], pa.binary()), pa.array([blob(x[1]) for x in coded], pa.binary())],
-                ["part", "seq", "start_in_part", "n_ids", "doc_ids", "lengths", "payload", "checkpoints"],
+                [*(b[k] for k in ("part", "seq", "start_in_part", "n_ids", "doc_ids", "void", "lengths")), pa.array([x[0] for x in coded], pa.binary()), pa.array([blob(x[1]) for x in coded], pa.binary())],
+                ["part", "seq", "start_in_part", "n_ids", "doc_ids", "void", "lengths", "payload", "checkpoints"],
             )
 
-    schema = "part long, seq long, start_in_part long, n_ids long, doc_ids binary, lengths binary, payload binary, checkpoints binary"
+    schema = "part long, seq long, start_in_part long, n_ids long, doc_ids binary, void binary, lengths binary, payload binary, checkpoints binary"
     runs.filter("seq >= 0").drop("counts").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/runs")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(plain)
@@ -372,9 +377,9 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = True) -> Dat
                 raw = memoryview(ids).cast("B")
                 last = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())] if digest else [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
                 start = before[r["part"]] + r["start_in_part"] + ends - n
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["doc_ids"], np.int64)), pa.array(start), pa.array(n), pa.array(last, pa.int64() if digest else pa.list_(pa.int64()))], ["doc_id", "start", "n_tokens", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["doc_ids"], np.int64)), pa.array(~np.frombuffer(r["void"], bool)), pa.array(start), pa.array(n), pa.array(last, pa.int64() if digest else pa.list_(pa.int64()))], ["doc_id", "known", "start", "n_tokens", "x"])
 
-    out = runs.mapInArrow(run, f"doc_id long, start long, n_tokens long, x {'long' if digest else 'array<long>'}")
+    out = runs.mapInArrow(run, f"doc_id long, known boolean, start long, n_tokens long, x {'long' if digest else 'array<long>'}")
     return out.select(id_out(), "start", "n_tokens", F.col("x").alias("ids_crc32" if digest else "ids"))
 
 

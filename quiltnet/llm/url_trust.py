@@ -1,6 +1,6 @@
 """URL filters: explicit rules, then trust and distrust propagated over the host link graph.
 
-Hosts are nodes; a page's absolute links add weight to the edge from its host to theirs. Three
+Hosts, without user and port, are nodes; a page's absolute links add weight to the edge from its host to theirs. Three
 stationary vectors come from the same power iteration, all in Spark: trust (personalised PageRank
 from hosts with pages that rules allow, along links), distrust (from hosts with pages that rules
 block, against links) and a base (from all pages, along links). A host is blocked when its distrust
@@ -12,7 +12,8 @@ host moved by more than `tolerance`; if that has not happened after `rounds` tim
 
 Defined cases: a null url or one without `://` has an empty host and path and no rule; the empty
 host is no node and such pages are allowed; repeated rows count as pages of their own; null html
-has no links; links to the own host are no edges.
+has no links; links to the own host are no edges; of rules of one length the later in order of text
+wins; urls and pages of any length are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+def node_of(host: Column) -> Column:
+    """The host as a node of the link graph: without user and port, on pages and in links alike."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(verdict, rule) of the longest rule that fits, else nulls. Rules are a short literal list."""
     if len(rules) > 1000:
@@ -58,8 +64,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w): absolute links from one host to another, summed."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(_LINK), F.lit(1))).alias("raw"))
-    dst = F.regexp_replace(F.translate("raw", UPPER, LOWER), r"^.*@|:[0-9]*$", "")
+    links = pages.select(node_of(F.col("host")).alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(_LINK), F.lit(1))).alias("raw"))
+    dst = node_of(F.translate("raw", UPPER, LOWER))
     edges = links.select("src", dst.alias("dst")).filter((F.col("src") != F.col("dst")) & (F.col("dst") != "") & (F.col("src") != ""))
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
@@ -102,17 +108,17 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damp
     host, path = url_parts(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     verdict, rule = rule_of(F.col("host"), F.col("path"), rules)
-    judged = cut.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
+    judged = cut.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), node_of(F.col("host")).alias("node"))
     mark = lambda v: F.sum(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
     edges = stored(host_edges(cut), "host-links")
-    seeds = judged.filter(F.col("host") != "").groupBy("host").agg(mark("allow").alias("good"), mark("block").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
+    seeds = judged.filter(F.col("node") != "").groupBy(F.col("node").alias("host")).agg(mark("allow").alias("good"), mark("block").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
     linked = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
     seeds = stored(seeds.join(linked, "host", "full").na.fill(0.0, ["good", "bad", "n"]), "host-seeds")
     good, bad, n = (x or 0.0 for x in seeds.agg(F.sum("good"), F.sum("bad"), F.sum("n")).first())
     share = lambda c, total: (F.col(c) / total if total else F.lit(0.0))
     nodes = seeds.select("host", share("good", good).alias("seed_trust"), share("bad", bad).alias("seed_distrust"), share("n", n).alias("seed_base"))
-    scores = propagate(nodes, edges, damping).select("host", (F.col("trust") * good).alias("trust"), (F.col("distrust") * bad).alias("distrust"), (F.col("base") * n).alias("base"))
-    out = judged.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust", "base"])
+    scores = propagate(nodes, edges, damping).select(F.col("host").alias("node"), (F.col("trust") * good).alias("trust"), (F.col("distrust") * bad).alias("distrust"), (F.col("base") * n).alias("base"))
+    out = judged.join(scores, "node", "left").na.fill(0.0, ["trust", "distrust", "base"])
     blocked = (F.col("distrust") > threshold * F.col("base")) & (F.col("distrust") > F.col("trust"))
     return out.select("page_id", "host", "path", "rule", F.coalesce(F.col("by_rule"), F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust", "base")
 

@@ -123,6 +123,13 @@ def test_url_rules_and_propagation(spark):
     assert url_trust.url_filter(pages.limit(0)).collect() == []
 
 
+def test_links_reach_hosts_with_a_port_or_a_user(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/", '<a href="http://b.org:80/"><a href="http://me@c.org/">'), (2, "http://b.org:80/x", ""), (3, "http://C.org:8080/", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_trust.url_filter(pages).collect()}
+    assert [got[k]["host"] for k in (1, 2, 3)] == ["a.com", "b.org:80", "c.org:8080"]
+    assert got[2]["trust"] == got[3]["trust"] == pytest.approx(0.85 / 2)
+
+
 def test_mass_is_kept(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", '<a href="http://b.net/es/">'), (2, "http://b.net/es/", "")], "page_id long, url string, html string")
     got = pd.DataFrame([r.asDict() for r in url_trust.url_filter(pages).collect()])

@@ -41,6 +41,27 @@ def test_field_learns_held_out_rows():
     assert good >= 0.9 * total and good >= 0.9 * found
 
 
+def test_field_finds_formats_it_was_not_trained_on():
+    """Lengths, words around, marks and cases that no template has; and texts without personal data."""
+    rng, field = np.random.default_rng(8), pii.train_field(pii.labelled_table())
+    pick = lambda chars, k: "".join(chars[j] for j in rng.integers(0, len(chars), k))
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = lambda: pick(letters[10:36], int(rng.integers(2, 9)))
+
+    def added(text):
+        runs = pii._runs_of(text)
+        return [text[a:z] for r, y in zip(runs, field.decode(runs)) for _, a, z in pii._add_spans(text, r, y, {})]
+
+    hit = clean = 0
+    for k in range(300):
+        key = pick(letters[:16], (40, 56)[k % 2]) if k % 3 else pick(letters, 44)
+        text = f"{word()} {word()} passphrase => {['', chr(34), '<'][k % 3]}{key}{['', chr(34), '>'][k % 3]} {word()} {word()}"
+        hit += added(text) == [key]
+        text = f"{word()} {pick(letters[:10], int(rng.integers(1, 19)))} {word()} {word()}{pick(letters[:10], 2)} ({pick(letters[:10], 4)}) {word()} {pick(letters[:10], 3)}/{pick(letters[:10], 5)}"
+        clean += not added(text)
+    assert hit >= 270 and clean >= 285
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 
@@ -64,7 +85,7 @@ def test_pii_query(spark, odd, none):
     assert pii.find_pii(none).collect() == []
 
 
-def test_lm_scores(odd, none):
+def test_lm_scores(spark, odd, none):
     rows = rows_of(odd)
     train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
     tokens, c = [(i, (t or "").encode().lower().split()) for i, t in rows], Counter()
@@ -74,6 +95,8 @@ def test_lm_scores(odd, none):
             c[b" "] += 1
     n, v = sum(c.values()), len(c)
     want = sorted((-1 if i is None else i, len(w) + 1, sum(c[x] > 0 for x in [*w, b" "]), n, round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in [*w, b" "]), 5)) for i, w in tokens)
+    big = spark.createDataFrame([(2**63 - 1, "the largest id"), (None, "no id")], "doc_id long, text string")
+    assert {r["doc_id"] for r in lm_score.lm_scores(big).collect()} == {2**63 - 1, None}
     got = lm_score.lm_scores(odd).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["held_out"] == (r["doc_id"] is not None and not train(r["doc_id"])) and r["score"] < 0 for r in got)
@@ -114,11 +137,14 @@ def test_decontamination_equals_brute_force(spark, odd, none):
     text = next(t for i, t in rows_of(odd) if i == 5).split()
     items = [(1, " ".join(text[3:20])), (2, "one two"), (3, None), (4, "..."), (10, " ".join(text[3:20]).upper()), (5, "nothing like this here at all in any of the texts")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (8 << 20, 40):  # one block, and many
+    for block in (8 << 20, 40):  # by broadcast, and by join
         got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in decontaminate.contamination(odd, bench, block_bytes=block).collect())
         assert got == brute_hits(rows_of(odd), items)
-    clean = decontaminate.decontaminate(odd, bench, drop_share=0.9)
-    assert clean.columns == odd.columns and not any(r["contaminated"] for r in decontaminate.contamination(clean, bench).collect())
+    for block in (8 << 20, 40):
+        clean = decontaminate.decontaminate(odd, bench, drop_share=0.9, block_bytes=block)
+        assert clean.columns == odd.columns and not any(r["contaminated"] for r in decontaminate.contamination(clean, bench).collect())
+        whole = decontaminate.decontaminate(odd, bench, drop_share=0.0, block_bytes=block)
+        assert sorted(map(str, rows_of(whole))) == sorted(str((i, t)) for i, t in rows_of(odd) if not brute_hits([(i, t)], items)[0][5])
     assert decontaminate.contamination(none, bench).collect() == []
     assert not any(r["contaminated"] for r in decontaminate.contamination(odd, bench.limit(0)).collect())
 

@@ -109,6 +109,25 @@ def test_keep_one_leaves_one_of_each_component(odd, none):
     assert jaccard_join.jaccard_join(none).collect() == [] and jaccard_join.keep_one(none).collect() == []
 
 
+def test_the_largest_id_is_no_null(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(BIG, text), (None, "another text of more words than five"), (None, text), (BIG, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard_join.jaccard_join(docs).collect())
+    assert got == sorted([(str(BIG), str(BIG)), ("None", "None"), ("None", str(BIG)), (str(BIG), str(BIG))])
+    assert sorted(str(r["doc_id"]) for r in suffix_dedup.suffix_dedup(docs).collect()) == sorted([str(BIG)] * 2 + ["None"] * 2)
+
+
+def test_rows_without_an_id_spread_over_groups(spark):
+    from quiltnet.llm.common import texts_of, with_row
+
+    docs = spark.createDataFrame([(None, "the same text")] * 20000, "doc_id long, text string").coalesce(3)
+    rows = texts_of(docs)
+    sizes = [r["count"] for r in rows.selectExpr("pmod(row, 16) AS g").groupBy("g").count().collect()]
+    assert len(sizes) == 16 and sum(sizes) == 20000 and max(sizes) < 3 * sorted(sizes)[8]
+    clash = spark.createDataFrame([(1, "x", 5, "m")], "doc_id long, text string, row int, _metadata string")
+    assert with_row(clash, "n").columns == ["doc_id", "text", "row", "_metadata", "n"] and texts_of(clash).first()["known"]
+
+
 def test_components(spark):
     edges = [(5, 9), (9, 2), (7, 7), (30, 31), (31, 32), (32, 33), (33, 30), (100, 101)] + [(k, k + 1) for k in range(200, 260)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
