@@ -141,17 +141,21 @@ def local_clustering(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
     return d.join(t, "node", "left").select("node", F.coalesce(F.try_divide(2.0 * F.coalesce("t", F.lit(0)), pairs), F.lit(0.0)).alias("cc"))
 
 
-def context_clustering(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(ctx, node, cc) where the node has two neighbours or more: triangles of the network are listed
-    once, their three masks ANDed, and only then counted by context."""
+def context_triangles(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(ctx, node, t) where t > 0: triangles of the network are listed once, their three masks ANDed, and
+    only then counted by context."""
     plain = edges.filter("a <> b")
     packed = masks(members).filter("mask <> 0")
     m = lambda c: packed.select(F.col("node").alias(c), "word", F.col("mask").alias("m" + c))
     tri = triangles(plain).join(m("x"), "x").join(m("y"), ["y", "word"]).join(m("z"), ["z", "word"])
     tri = tri.select("x", "y", "z", "word", F.expr("mx & my & mz").alias("label")).filter("label <> 0")
-    t = tri.select(F.explode(contexts_of()).alias("ctx"), F.array("x", "y", "z").alias("n")).select("ctx", F.explode("n").alias("node")).groupBy("ctx", "node").agg(F.count(F.lit(1)).alias("t"))
-    d = context_degrees(plain, members).filter("degree >= 2")
-    return d.join(t, ["ctx", "node"], "left").select("ctx", "node", (2.0 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).alias("cc"))
+    return tri.select(F.explode(contexts_of()).alias("ctx"), F.array("x", "y", "z").alias("n")).select("ctx", F.explode("n").alias("node")).groupBy("ctx", "node").agg(F.count(F.lit(1)).alias("t"))
+
+
+def context_clustering(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(ctx, node, cc) where the node has two neighbours or more."""
+    d = context_degrees(edges.filter("a <> b"), members).filter("degree >= 2")
+    return d.join(context_triangles(edges, members), ["ctx", "node"], "left").select("ctx", "node", (2.0 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).alias("cc"))
 
 
 def global_clustering(edges: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set only where the session has none (tests)."""
+    """The session's checkpoint folder; a local session without one gets its own, a cluster must name one."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at
     own = sc._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("/tmp/checkpoints")
         own = sc._jsc.sc().getCheckpointDir()
     return own.get()

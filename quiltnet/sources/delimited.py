@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,11 +48,15 @@ def scan_delimited(
     raw DataFrame of strings before types are applied.
     """
     if quote:
-        reader = spark.read.option("sep", sep).option("quote", quote).option("escape", quote).option("header", header)
-        df = reader.csv(path)
-        got = df.columns if header else [f"Column_{i}" for i in range(len(df.columns))]
-        df = df.toDF(*[f"_{i}" for i in range(len(got))]).na.fill("")
-        cells: list[Column] = [F.col(f"_{i}") for i in range(len(got))]
+        first = spark.read.text(path).take(skip_rows + 1)
+        if not first:
+            raise ValueError(f"{path} is empty")
+        top = next(csv.reader([first[-1][0]], delimiter=sep, quotechar=quote), [])
+        got = top if header else [f"Column_{i}" for i in range(len(top))]
+        df = _lines(spark, path, skip_rows + bool(header)).filter(F.trim("value") != "")
+        wide = ", ".join(f"_{i} string" for i in range(len(got)))
+        df = df.select(F.from_csv("value", wide, {"sep": sep, "quote": quote, "escape": quote}).alias("v"))
+        cells: list[Column] = [F.coalesce(F.col(f"v._{i}"), F.lit("")) for i in range(len(got))]
     else:
         first = spark.read.text(path).take(skip_rows + 1)
         if not first:

@@ -10,11 +10,12 @@ def scan_obo(spark: SparkSession, path: str, namespace: str | None = None, obsol
     """(terms, is_a, alt_ids) of the [Term] stanzas.
 
     terms: id, name, namespace, is_obsolete; is_a: child, parent, both among the kept terms;
-    alt_ids: alt, id. Numbers follow the colon of an id. Stanzas are records of one scan; other
-    stanza kinds are dropped.
+    alt_ids: alt, id. Numbers follow the colon of an id. Records of one scan begin at an opening
+    bracket and are taken where that opens a [Term] stanza; other stanza kinds are dropped. Lines may
+    end in either way, with blank lines or without.
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path).select(F.split(F.trim(F.regexp_replace("value", r"\r", "")), "\n").alias("lines"))
-    stanza = raw.filter(F.array_contains("lines", "[Term]"))
+    raw = spark.read.option("lineSep", "\n[").text(path).select(F.split(F.regexp_replace(F.concat(F.lit("["), "value"), r"\r", ""), "\n").alias("lines"))
+    stanza = raw.withColumn("lines", F.transform("lines", lambda x: F.trim(x))).filter(F.element_at("lines", 1).isin("[Term]", "[[Term]"))
     values = lambda key: F.transform(F.filter("lines", lambda x: F.startswith(x, F.lit(key + ": "))), lambda x: F.substr(x, F.lit(len(key) + 3)))
     number = lambda c: F.expr(f"try_cast(split({c}, ':')[1] as bigint)")
     flat = stanza.select(F.get(values("id"), F.lit(0)).alias("key"), F.get(values("name"), F.lit(0)).alias("name"), F.get(values("namespace"), F.lit(0)).alias("namespace"), (F.get(values("is_obsolete"), F.lit(0)) == "true").alias("gone"), values("is_a").alias("up"), values("alt_id").alias("alts"))
