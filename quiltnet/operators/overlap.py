@@ -61,3 +61,14 @@ def coverage(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def overlap_percent(pairs: DataFrame) -> DataFrame:
     return pairs.select("*", (100.0 * F.try_divide("size_xy", "size_x")).alias("percent_x"), (100.0 * F.try_divide("size_xy", "size_y")).alias("percent_y"))
+
+
+def pairwise_coverage(networks: DataFrame, members: DataFrame) -> DataFrame:
+    """networks (net, a, b), members (node, ctx, present) -> (net, ctx, covered_nodes, covered_edges): how many
+    nodes and edges of every network every context covers."""
+    live = members.filter("present <> 0").select("node", "ctx").distinct()
+    ends = networks.select("net", F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = ends.join(live, "node").groupBy("net", "ctx").agg(F.count(F.lit(1)).alias("covered_nodes"))
+    both = networks.join(live.select(F.col("node").alias("a"), "ctx"), "a").join(live.select(F.col("node").alias("b"), "ctx"), ["b", "ctx"])
+    edges = both.groupBy("net", "ctx").agg(F.count(F.lit(1)).alias("covered_edges"))
+    return nodes.join(edges, ["net", "ctx"], "left").na.fill(0, ["covered_edges"])

@@ -86,6 +86,14 @@ def flags(nodes: DataFrame, **sets: DataFrame) -> DataFrame:
     return nodes
 
 
+def merge(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both that agree in all columns of the same name."""
+    shared = [c for c in left.columns if c in right.columns]
+    if not shared:
+        raise ValueError("the tables share no column")
+    return left.join(right, shared)
+
+
 # ---------------------------------------------------------------- identifier mapping
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import components, graph, relational, traversal
+from ..operators import bundles
 from ..operators import community as com
+from . import path_sql
 from .lineage import stored
-from .registry import n, query, r, whole
+from .registry import n, query, r
 
 N_CTX = 12
 
@@ -111,23 +113,13 @@ def _sub(m):
     return m.parts().filter("p_size > 25").select(F.col("p_partkey").alias("node"))
 
 
-@query("g29_internalness", _SUB + f", nb AS (SELECT DISTINCT v FROM (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse) WHERE u IN (SELECT node FROM sub)) SELECT {r('count(*) FILTER (v IN (SELECT node FROM sub)) * 1.0 / count(*)', 'internal')} FROM nb")
-def _(m):
-    return graph.internalness(m.sparse_edges(), _sub(m))
-
-
-@whole("g29_internalness")
+@query("g29_internalness", _SUB + f", nb AS (SELECT DISTINCT v FROM (SELECT a AS u, b AS v FROM edges UNION ALL SELECT b, a FROM edges) WHERE u IN (SELECT node FROM sub)) SELECT {r('count(*) FILTER (v IN (SELECT node FROM sub)) * 1.0 / count(*)', 'internal')} FROM nb")
 def _(m):
     return graph.internalness(m.edges(), _sub(m))
 
 
-@query("g30_property_in_sets", _SUB + f""", ie AS (SELECT a, b FROM sparse WHERE a IN (SELECT node FROM sub) AND b IN (SELECT node FROM sub)), oe AS (SELECT a, b FROM sparse WHERE a NOT IN (SELECT node FROM sub) AND b NOT IN (SELECT node FROM sub))
+@query("g30_property_in_sets", _SUB + f""", ie AS (SELECT a, b FROM edges WHERE a IN (SELECT node FROM sub) AND b IN (SELECT node FROM sub)), oe AS (SELECT a, b FROM edges WHERE a NOT IN (SELECT node FROM sub) AND b NOT IN (SELECT node FROM sub))
 SELECT node, CAST(1 AS BIGINT) AS "set", {n('count(*)', 'degree')} FROM (SELECT a AS node FROM ie UNION ALL SELECT b FROM ie) GROUP BY node UNION ALL SELECT node, 2, CAST(count(*) AS BIGINT) FROM (SELECT a AS node FROM oe UNION ALL SELECT b FROM oe) GROUP BY node""")
-def _(m):
-    return _in_sets(m, m.sparse_edges())
-
-
-@whole("g30_property_in_sets")
 def _(m):
     return _in_sets(m, m.edges())
 
@@ -162,18 +154,26 @@ def _(m):
     return graph.weighted_sizes(m.parts().select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("cluster")))
 
 
-@query("g20_components", """, sy AS (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse), reach AS (SELECT u AS node, u AS root FROM (SELECT DISTINCT u FROM sy) UNION SELECT sy.v, reach.root FROM reach JOIN sy ON sy.u = reach.node AND reach.root < sy.v)
-SELECT p_partkey AS node, least(p_partkey, coalesce(min(root), p_partkey)) AS component FROM part LEFT JOIN reach ON node = p_partkey GROUP BY p_partkey""", recursive=True)
-def _(m):
-    return components.component_labels(m.parts().select(F.col("p_partkey").alias("node")), m.sparse_edges())
+_FAR = path_sql.paths(path_sql.WHOLE)
+_BW = _FAR + path_sql.betweenness()
+_NEAREST = ", rt AS (SELECT s AS node, least(s, min(t)) AS root FROM far GROUP BY s)"
+_CTX_FAR = path_sql.paths(path_sql.CONTEXTS)
+_CTX_BW = _CTX_FAR + path_sql.betweenness()
 
 
-@whole("g20_components", sql=False)
+@query("g20_components", _FAR + _NEAREST + " SELECT p_partkey AS node, coalesce(root, p_partkey) AS component FROM part LEFT JOIN rt ON node = p_partkey")
 def _(m):
     return components.component_labels(m.parts().select(F.col("p_partkey").alias("node")), m.edges())
 
 
-@query("g25_graph_stats")
+def _diameter(nodes: str) -> str:
+    return f"CASE WHEN (SELECT count(*) FROM far) = ({nodes}) * (({nodes}) - 1) THEN (SELECT max(d) FROM far) ELSE 0 END"
+
+
+@query("g25_graph_stats", _ADJ + _TRI + _FAR + _NEAREST + f""", q AS (SELECT coalesce(degree, 0) AS degree FROM part LEFT JOIN dg ON node = p_partkey)
+SELECT {n('count(*)', 'n')}, {n('(SELECT count(*) FROM edges)', 'm')}, {n('min(degree)', 'min_deg')}, {n('max(degree)', 'max_deg')}, {r('avg(degree)', 'avg_deg')},
+{r('(SELECT corr(x.degree, y.degree) FROM aj JOIN dg x ON x.node = u JOIN dg y ON y.node = v)', 'deg_assortativity')}, {n('(SELECT count(DISTINCT coalesce(root, p_partkey)) FROM part LEFT JOIN rt ON node = p_partkey)', 'conn_comp')},
+{r('3.0 * (SELECT count(*) FROM tri) / (SELECT sum(degree * (degree - 1) / 2.0) FROM dg)', 'gl_cluster_coeff')}, {n(_diameter('SELECT count(*) FROM part'), 'diameter')} FROM q""")
 def graph_stats(m):
     """n, m, degrees, assortativity, components, clustering and diameter of the union network."""
     e, ids = stored(m.edges(), "edges"), m.parts().select(F.col("p_partkey").alias("node"))
@@ -181,37 +181,43 @@ def graph_stats(m):
     return graph.degree_summary(e, ids).crossJoin(graph.assortativity(e)).crossJoin(comps).crossJoin(graph.global_clustering(e)).crossJoin(traversal.diameter(e, ids))
 
 
-@query("g14_context_betweenness")
+def _flat(df, *names):
+    """Sums of many quotients, to three digits: their last bits depend on the order of addition."""
+    return df.withColumns({c: F.round(c, 3) for c in names})
+
+
+@query("g14_context_betweenness", _ADJ + _CTX_BW + " SELECT ctx, node, round(coalesce(bw, 0), 3) + 0.0 AS betweenness FROM ex JOIN nd USING (node) LEFT JOIN bw USING (ctx, node)")
 def _(m):
     e, mem = m.edges(), members(m)
-    return traversal.betweenness(e, graph.universe(mem, e), mem)
+    return _flat(traversal.betweenness(e, graph.universe(mem, e), mem), "betweenness")
 
 
-@query("g15_betweenness")
+@query("g15_betweenness", _BW + " SELECT p_partkey AS node, round(coalesce(bw, 0), 3) + 0.0 AS betweenness FROM part LEFT JOIN bw ON node = p_partkey")
 def betweenness(m):
-    return traversal.betweenness(m.edges(), m.parts().select(F.col("p_partkey").alias("node")))
+    return _flat(traversal.betweenness(m.edges(), m.parts().select(F.col("p_partkey").alias("node"))), "betweenness")
 
 
-@query("g24_diameter")
+@query("g24_diameter", _FAR + f" SELECT {n(_diameter('SELECT count(*) FROM an'), 'diameter')}")
 def _(m):
     e = stored(m.edges(), "edges")
     return traversal.diameter(e, graph.nodes_of(e))
 
 
-_LPA0 = ", sy AS (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse), l0 AS (SELECT p_partkey AS node, p_partkey AS label FROM part)"
+_LPA0 = ", sy AS (SELECT a AS u, b AS v FROM edges UNION ALL SELECT b, a FROM edges), l0 AS (SELECT p_partkey AS node, p_partkey AS label FROM part)"
 _LPA = _LPA0 + "".join(
     f", v{k} AS (SELECT u, label, count(*) AS c FROM sy JOIN l{k - 1} ON node = v GROUP BY u, label), l{k} AS MATERIALIZED (SELECT node, coalesce(best, label) AS label FROM l{k - 1} LEFT JOIN (SELECT u, arg_max(label, struct_pack(c := c, m := -label)) AS best FROM v{k} GROUP BY u) ON u = node)"
     for k in range(1, 4)
 )
 
 
-@query("g17_label_propagation", _LPA + " SELECT node, label FROM l3")
-def label_propagation(m):
-    return com.label_propagation(m.sparse_edges(), m.parts().select(F.col("p_partkey").alias("node")), rounds=3)
+@query("g17_three_rounds_of_labels", _LPA + " SELECT node, label FROM l3")
+def _(m):
+    """The operator's vote and tie rule, as far as SQL unrolls it."""
+    return com.label_propagation(m.edges(), m.parts().select(F.col("p_partkey").alias("node")), rounds=3)
 
 
-@whole("g17_label_propagation", sql=False)
-def _(m):
+@query("g17_label_propagation")
+def label_propagation(m):
     return com.label_propagation(m.edges(), m.parts().select(F.col("p_partkey").alias("node")))
 
 
@@ -240,24 +246,58 @@ def _(m):
     return com.cluster_report(w, com.modularity_communities(w, graph.nodes_of(w), "louvain", 5.0, weight="weight"))
 
 
-@query("g26_node_properties", _ADJ + _TRI + f" SELECT dg.node, {n('degree', 'degree')}, {r('coalesce(2.0 * coalesce(t, 0) / nullif(degree * (degree - 1), 0), 0)', 'ClusteringCoeff')} FROM dg LEFT JOIN tn USING (node)")
+_CC = "coalesce(2.0 * coalesce(t, 0) / nullif(degree * (degree - 1), 0), 0)"
+
+
+@query("g26_node_properties", _ADJ + _TRI + _BW + f" SELECT dg.node, {n('degree', 'degree')}, round(coalesce(bw, 0), 3) + 0.0 AS \"Betweenness\", {r(_CC, 'ClusteringCoeff')} FROM dg LEFT JOIN tn USING (node) LEFT JOIN bw USING (node)")
 def _(m):
-    e = stored(m.edges(), "edges")
-    return graph.degrees(e).join(graph.local_clustering(e), "node").select("node", "degree", F.col("cc").alias("ClusteringCoeff"))
+    return _flat(bundles.node_properties(m.edges()), "Betweenness")
+
+
+_CTX_TRI = ", tk AS (SELECT ctx, node, count(*) AS t FROM (SELECT p.ctx, unnest([p.a, p.b, q.b]) AS node FROM ec p JOIN ec q ON q.ctx = p.ctx AND q.a = p.b JOIN ec s ON s.ctx = p.ctx AND s.a = p.a AND s.b = q.b) GROUP BY 1, 2)"
+
+
+@query("g26_context_properties", _ADJ + _CTX_TRI + _CTX_BW + f" SELECT ctx, node, {n('coalesce(degree, 0)', 'degree')}, round(coalesce(bw, 0), 3) + 0.0 AS \"Betweenness\", {r(_CC, 'clcoeff')} FROM ex JOIN nd USING (node) LEFT JOIN dc USING (ctx, node) LEFT JOIN tk USING (ctx, node) LEFT JOIN bw USING (ctx, node)")
+def _(m):
+    return _flat(bundles.context_properties(m.edges(), members(m)), "Betweenness")
+
+
+@query("g26_aggregated_properties", _ADJ + f""", live AS (SELECT DISTINCT a, b FROM ec), nb AS (SELECT a AS u, b AS v FROM live UNION ALL SELECT b, a FROM live), mx AS (SELECT node, max(degree) AS k FROM dc GROUP BY node),
+ne AS (SELECT u AS node, count(*) AS k, min(c) AS lo, max(c) AS hi FROM nb JOIN pc ON pc.node = v GROUP BY u)
+SELECT nd.node, {n('coalesce(degree, 0)', 'degree')}, {n('coalesce(mx.k, 0)', 'maxts_degree')}, {n('coalesce(ne.k, 0)', 'coexpr_degree')}, {n('coalesce(lo, 12)', 'min_neighbor_expr_count')}, {n('coalesce(hi, 0)', 'max_neighbor_expr_count')}
+FROM nd LEFT JOIN dg USING (node) LEFT JOIN mx USING (node) LEFT JOIN ne USING (node)""")
+def _(m):
+    return bundles.aggregated_properties(m.edges(), members(m), N_CTX)
+
+
+@query("g27_context_stats", _ADJ + _CTX_TRI + _CTX_FAR + f""", me AS (SELECT ctx, node, coalesce(degree, 0) AS degree FROM ex JOIN nd USING (node) LEFT JOIN dc USING (ctx, node)),
+rt AS (SELECT ctx, s AS node, least(s, min(t)) AS root FROM far GROUP BY ctx, s), cc AS (SELECT ctx, count(DISTINCT coalesce(root, node)) AS k FROM me LEFT JOIN rt USING (ctx, node) GROUP BY ctx),
+mx AS (SELECT aj.ctx, corr(x.degree, y.degree) AS c FROM aj JOIN dc x ON x.ctx = aj.ctx AND x.node = u JOIN dc y ON y.ctx = aj.ctx AND y.node = v GROUP BY 1),
+tr AS (SELECT ctx, sum(t) AS t FROM tk GROUP BY ctx), fa AS (SELECT ctx, max(d) AS d, count(*) AS k FROM far GROUP BY ctx)
+SELECT me.ctx, {n('count(*)', 'n')}, {n('sum(degree) / 2', 'm')}, {n('min(degree)', 'min_deg')}, {n('max(degree)', 'max_deg')}, {r('avg(degree)', 'avg_deg')}, {r('any_value(mx.c)', 'deg_assortativity')}, {n('any_value(cc.k)', 'conn_comp')},
+{r('coalesce(2.0 * any_value(tr.t) / nullif(sum(degree * (degree - 1)), 0), 0)', 'gl_cluster_coeff')}, {n('CASE WHEN any_value(fa.k) = count(*) * (count(*) - 1) THEN any_value(fa.d) ELSE 0 END', 'diameter')}
+FROM me LEFT JOIN mx USING (ctx) LEFT JOIN cc USING (ctx) LEFT JOIN tr USING (ctx) LEFT JOIN fa USING (ctx) GROUP BY me.ctx""")
+def _(m):
+    return bundles.context_stats(m.edges(), members(m))
+
+
+_ALL_BW = path_sql.paths(path_sql.CONTEXTS + " UNION ALL " + path_sql.WHOLE.replace("CAST(0 AS BIGINT)", "-1").replace("SELECT 0", "SELECT -1")) + path_sql.betweenness()
 
 
-@query("j14_raised_property", _ADJ + f" SELECT dc.ctx, dc.node, {n('dc.degree', 'degree')} FROM dc JOIN dg USING (node) JOIN ex ON ex.node = dc.node AND ex.ctx = dc.ctx WHERE dc.degree * 2.5 > dg.degree")
+@query("j14_raised_betweenness", _ADJ + _ALL_BW + f""", pt AS (SELECT node, sum(present) AS present, count(ctx) AS total FROM mem GROUP BY node),
+j AS (SELECT ex.ctx, ex.node, round(coalesce(x.bw, 0), 6) AS tb, round(coalesce(w.bw, 0), 6) AS wb FROM ex JOIN nd USING (node) LEFT JOIN bw x ON x.ctx = ex.ctx AND x.node = ex.node LEFT JOIN bw w ON w.ctx = -1 AND w.node = ex.node)
+SELECT j.ctx, j.node, round(tb, 3) + 0.0 AS ts_betweenness, round(wb, 3) + 0.0 AS betweenness, {n('coalesce(dc.degree, 0)', 'ts_degree')}, {n('dg.degree', 'degree')}, {n('present', 'present')}, {n('total', 'total')}
+FROM j JOIN dg ON dg.node = j.node JOIN pt ON pt.node = j.node LEFT JOIN dc ON dc.ctx = j.ctx AND dc.node = j.node WHERE tb > wb""")
 def _(m):
-    e, mem = stored(m.edges(), "edges"), members(m)
-    d = graph.context_degrees(e, mem).join(graph.degrees(e).withColumnRenamed("degree", "whole"), "node").join(mem.filter("present = 1").select("node", "ctx"), ["node", "ctx"])
-    return d.filter("degree * 2.5 > whole").select("ctx", "node", "degree")
+    return _flat(bundles.raised_betweenness(m.edges(), members(m)), "ts_betweenness", "betweenness")
 
 
-@query("x15_network_summary", f""", dn AS (SELECT net, node, count(*) AS d FROM (SELECT net, a AS node FROM networks UNION ALL SELECT net, b FROM networks) GROUP BY net, node)
-SELECT net, {n('count(*)', 'nodes')}, {n('sum(d) / 2', 'edges')}, {r('avg(d)', 'avg_deg')}, {n('max(d)', 'max_deg')} FROM dn GROUP BY net""")
+@query("x15_network_summary", f""", adn AS (SELECT net, a AS u, b AS v FROM networks UNION ALL SELECT net, b, a FROM networks), dn AS (SELECT net, u AS node, count(*) AS d FROM adn GROUP BY 1, 2),
+tn AS (SELECT net, node, count(*) AS t FROM (SELECT p.net, unnest([p.a, p.b, q.b]) AS node FROM networks p JOIN networks q ON q.net = p.net AND q.a = p.b JOIN networks s ON s.net = p.net AND s.a = p.a AND s.b = q.b) GROUP BY 1, 2)
+SELECT net, {n('count(*)', 'nodes')}, {n('sum(d) / 2', 'edges')}, {r('avg(d)', 'avg_deg')}, {n('max(d)', 'max_deg')}, {r('avg(coalesce(2.0 * coalesce(t, 0) / nullif(d * (d - 1), 0), 0))', 'mean_cc')} FROM dn LEFT JOIN tn USING (net, node) GROUP BY net""")
 def _(m):
-    d = m.networks().select("net", F.explode(F.array("a", "b")).alias("node")).groupBy("net", "node").agg(F.count(F.lit(1)).alias("d"))
-    return d.groupBy("net").agg(F.count(F.lit(1)).alias("nodes"), (F.sum("d") / 2).cast("long").alias("edges"), F.avg("d").alias("avg_deg"), F.max("d").alias("max_deg"))
+    d = bundles.keyed_clustering(stored(m.networks(), "networks"))
+    return d.groupBy("net").agg(F.count(F.lit(1)).alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.avg("degree").alias("avg_deg"), F.max("degree").alias("max_deg"), F.avg("cc").alias("mean_cc"))
 
 
 @query("g02_core_context_degrees")

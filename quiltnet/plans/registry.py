@@ -43,18 +43,6 @@ def query(name: str, sql: str | None = None, ctes: bool = True, recursive: bool
     return wrap
 
 
-def whole(name: str, sql: bool = True):
-    """Register f(model) as NAME_whole: on all edges what NAME and its SQL state on pairs of two orders."""
-
-    def wrap(f):
-        QUERIES[name + "_whole"] = lambda spark, sf_dir: settled(f(Model(spark, sf_dir)))
-        if sql:
-            ORACLE[name + "_whole"] = ORACLE[name].replace("FROM sparse", "FROM edges")
-        return f
-
-    return wrap
-
-
 def r(x: str, name: str) -> str:
     """SQL of a rounded double."""
     return f"round(CAST({x} AS DOUBLE), {DIGITS}) + 0.0 AS {name}"

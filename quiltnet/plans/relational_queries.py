@@ -9,7 +9,7 @@ from ..operators import overlap
 from ..operators import relational as rel
 from ..sources import delimited, ontology_file, tables
 from .lineage import fresh_path, stored
-from .registry import n, query, r, whole
+from .registry import n, query, r
 
 # ---------------------------------------------------------------- sources: written to the shared folder, scanned back
 
@@ -200,12 +200,7 @@ def _(m):
     return rel.mapping_table([m.table("part").select(F.col("p_name").alias("k"), F.col("p_brand").alias("v"))], "k", "v")
 
 
-@query("j01_map_ids", _MAPS + " SELECT x.v AS a, y.v AS b FROM sparse JOIN map x ON x.k = CAST(a AS VARCHAR) JOIN map y ON y.k = CAST(b AS VARCHAR)")
-def _(m):
-    return rel.map_ids(m.sparse_edges(), ["a", "b"], _mapping(m), "k", "v")
-
-
-@whole("j01_map_ids")
+@query("j01_map_ids", _MAPS + " SELECT x.v AS a, y.v AS b FROM edges JOIN map x ON x.k = CAST(a AS VARCHAR) JOIN map y ON y.k = CAST(b AS VARCHAR)")
 def _(m):
     return rel.map_ids(m.edges(), ["a", "b"], _mapping(m), "k", "v")
 
@@ -236,12 +231,7 @@ def _(m):
     return rel.unmatched(m.table("lineitem").select("l_orderkey", "l_partkey"), "l_partkey", _small(m), "id").select("l_orderkey", "l_partkey")
 
 
-@query("j04_any_unmatched", _SMALL + " SELECT a, b FROM sparse WHERE a NOT IN (SELECT id FROM small) OR b NOT IN (SELECT id FROM small)")
-def _(m):
-    return rel.any_unmatched(m.sparse_edges(), ["a", "b"], _small(m), "id")
-
-
-@whole("j04_any_unmatched")
+@query("j04_any_unmatched", _SMALL + " SELECT a, b FROM edges WHERE a NOT IN (SELECT id FROM small) OR b NOT IN (SELECT id FROM small)")
 def _(m):
     return rel.any_unmatched(m.edges(), ["a", "b"], _small(m), "id")
 
@@ -338,12 +328,7 @@ def _(m):
     return rel.incomplete(m.month_members())
 
 
-@query("j07_node_universe", _CURVE + f" SELECT {n('row_number() OVER (ORDER BY node) - 1', 'id')}, node FROM (SELECT DISTINCT node FROM core WHERE node IN (SELECT a FROM sparse UNION SELECT b FROM sparse))")
-def _(m):
-    return rel.node_universe(_core(m), m.sparse_edges())
-
-
-@whole("j07_node_universe")
+@query("j07_node_universe", _CURVE + f" SELECT {n('row_number() OVER (ORDER BY node) - 1', 'id')}, node FROM (SELECT DISTINCT node FROM core WHERE node IN (SELECT a FROM edges UNION SELECT b FROM edges))")
 def _(m):
     return rel.node_universe(_core(m), m.edges())
 
@@ -366,12 +351,7 @@ def _(m):
     return e.select(F.col("a").alias("node")).union(e.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query("a18_edge_presence_share", f"SELECT a, b, {r('avg(x.present * y.present)', 'share')} FROM sparse JOIN mem x ON x.node = a JOIN mem y ON y.node = b AND y.ctx = x.ctx GROUP BY a, b")
-def _(m):
-    return _presence_share(m, m.sparse_edges())
-
-
-@whole("a18_edge_presence_share")
+@query("a18_edge_presence_share", f"SELECT a, b, {r('avg(x.present * y.present)', 'share')} FROM edges JOIN mem x ON x.node = a JOIN mem y ON y.node = b AND y.ctx = x.ctx GROUP BY a, b")
 def _(m):
     return _presence_share(m, m.edges())
 

@@ -9,7 +9,7 @@ from ..operators import community, graph
 from ..operators import relational as rel
 from .graph_queries import _ADJ, members
 from .lineage import stored
-from .registry import n, query, r, whole
+from .registry import n, query, r
 
 
 @query("w09_split_sorted", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) <= floor(count(*) OVER () * 0.3) AS low FROM part", ctes=False)
@@ -55,22 +55,12 @@ def _(m):
     return reports.reverse_map(m.table("customer").select("c_custkey", "c_name"), "c_custkey", "c_name")
 
 
-@query("x20_names", "SELECT a, b, x.p_name AS a_name FROM sparse JOIN part x ON x.p_partkey = a")
-def _(m):
-    return reports.named(m.sparse_edges(), m.parts(), "a", "p_partkey", "p_name").select("a", "b", "a_name")
-
-
-@whole("x20_names")
+@query("x20_names", "SELECT a, b, x.p_name AS a_name FROM edges JOIN part x ON x.p_partkey = a")
 def _(m):
     return reports.named(m.edges(), m.parts(), "a", "p_partkey", "p_name").select("a", "b", "a_name")
 
 
-@query("j16_edge_presence", f"SELECT a, b, {n('sum(x.present * y.present)', 'both')}, {n('count(*)', 'measured')}, {r('avg(x.present * y.present)', 'share')} FROM sparse JOIN mem x ON x.node = a JOIN mem y ON y.node = b AND y.ctx = x.ctx GROUP BY a, b")
-def _(m):
-    return reports.edge_presence(m.sparse_edges(), m.month_members())
-
-
-@whole("j16_edge_presence")
+@query("j16_edge_presence", f"SELECT a, b, {n('sum(x.present * y.present)', 'both')}, {n('count(*)', 'measured')}, {r('avg(x.present * y.present)', 'share')} FROM edges JOIN mem x ON x.node = a JOIN mem y ON y.node = b AND y.ctx = x.ctx GROUP BY a, b")
 def _(m):
     return reports.edge_presence(m.edges(), m.month_members())
 

@@ -33,10 +33,6 @@ class Model:
         """(a, b), a < b: the union network."""
         return self.pairs().select("a", "b").distinct()
 
-    def sparse_edges(self) -> DataFrame:
-        """(a, b) of at least two orders."""
-        return self.pairs().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("a", "b")
-
     def month_values(self) -> DataFrame:
         """(node, ctx, value): largest quantity of a part in a month of the year."""
         rows = self.table("lineitem").select(F.col("l_partkey").alias("node"), F.month("l_shipdate").cast("long").alias("ctx"), F.col("l_quantity").alias("value"))
@@ -56,6 +52,5 @@ lp AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
 pairs AS (SELECT x.o, x.p AS a, y.p AS b FROM lp x JOIN lp y ON x.o = y.o AND x.p < y.p),
 networks AS (SELECT DISTINCT o_orderpriority AS net, a, b FROM pairs JOIN orders ON o = o_orderkey),
 edges AS (SELECT DISTINCT a, b FROM pairs),
-sparse AS (SELECT a, b FROM pairs GROUP BY a, b HAVING count(*) >= 2),
 mv AS (SELECT l_partkey AS node, CAST(month(l_shipdate) AS BIGINT) AS ctx, max(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
 mem AS (SELECT node, ctx, CAST(CASE WHEN value >= 40 THEN 1 ELSE 0 END AS BIGINT) AS present FROM mv)"""

@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from quiltnet.operators import community, graph, ontology, traversal
-from quiltnet.plans import graph_queries, registry, relational_queries, report_queries, semantic_queries  # noqa: F401
+from quiltnet.plans import graph_queries, registry, relational_queries, report_queries, semantic_queries, source_queries  # noqa: F401
 
 from .test_graph import BRIDGE, plain_bw
 
@@ -44,8 +44,8 @@ def test_all_edges_count(spark, tables):
     assert run(spark, tables, "g24_diameter")[0]["diameter"] == 10
     stats = run(spark, tables, "g25_graph_stats")[0]
     assert (stats["m"], stats["conn_comp"]) == (len(PAIRS), 2)
-    assert {r["node"]: r["component"] for r in run(spark, tables, "g20_components_whole")} == {v: 30 if v == 30 else 0 for v in NODES}
-    assert {(r["a"], r["b"]) for r in run(spark, tables, "x20_names_whole")} == set(PAIRS)
+    assert {r["node"]: r["component"] for r in run(spark, tables, "g20_components")} == {v: 30 if v == 30 else 0 for v in NODES}
+    assert {(r["a"], r["b"]) for r in run(spark, tables, "x20_names")} == set(PAIRS)
     for name in ("g18_louvain", "g18_greedy_modularity", "x14_weighted_communities"):
         assert sum(r["size"] for r in run(spark, tables, name)) == len(NODES) - 1
 
@@ -66,7 +66,7 @@ def settled(adj, label):
 
 def test_labels_travel_until_they_settle(spark, tables):
     adj = near()
-    assert settled(adj, {r["node"]: r["label"] for r in run(spark, tables, "g17_label_propagation_whole")})
+    assert settled(adj, {r["node"]: r["label"] for r in run(spark, tables, "g17_label_propagation")})
     assert settled({v: us for v, us in adj.items() if us}, {r["node"]: r["label"] for r in run(spark, tables, "g16_context_label_propagation")})
     swing = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
     got = community.label_propagation(swing, graph.nodes_of(swing)).collect()
