@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stats import fit_degrees, permutation_samples, top_share, welch_moments, welch_p
+from ..plans.lineage import stored
+from .stats import fit_degrees, fit_power_tail, log_gamma, top_share, welch_moments, welch_p
 from .tails import normal_upper
 
 # ---------------------------------------------------------------- ordered lists
@@ -95,32 +96,43 @@ def degree_mismatch(first: DataFrame, second: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- distributions and tests
 
 
-def fitted_distribution(deg: DataFrame) -> list[tuple[int, float, float, float, float]]:
-    """(degree, binomial, Poisson, exponential, power law) densities of the fits on 1 .. the largest degree."""
-    f = fit_degrees(deg)
-    top = deg.agg(F.max("degree")).first()[0] or 0
-    n, p, lam, rate, alpha, lo = int(f["n"]) - 1, f["binom_p"], f["poisson_rate"], f["exp_rate"], f["power_alpha"], f["power_xmin"]
-    out = []
-    for x in range(1, top + 1):
-        binom = math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p)) if x <= n and 0 < p < 1 else 0.0
-        power = (alpha - 1) / lo * (x / lo) ** -alpha if x >= lo and math.isfinite(alpha) else 0.0
-        out.append((x, binom, math.exp(x * math.log(lam) - lam - math.lgamma(x + 1)), rate * math.exp(-rate * x), power))
-    return out
-
-
-def class_test(values: DataFrame, value: str, cls: DataFrame, name: str, samples: int = 1000, seed: int = 1) -> list[tuple]:
-    """(ctx, mean, mu, sd, z, p) of one class of nodes in every context, against seeded random sets of the
-    same size. values: (ctx, node, value)."""
-    out = []
-    for r in values.select("ctx").distinct().orderBy("ctx").collect():  # a row per context
-        own = values.filter(F.col("ctx") == r["ctx"]).select("node", value)
-        inside = own.join(cls.filter(F.col("class") == name).select("node"), "node", "left_semi").agg(F.avg(value).alias("m"), F.count(F.lit(1)).alias("k")).first()
-        if not inside["k"]:
-            continue
-        s = permutation_samples(own, inside["k"], value, samples, seed).agg(F.avg("mean").alias("mu"), F.stddev_samp("mean").alias("sd")).first()
-        z = (inside["m"] - s["mu"]) / s["sd"] if s["sd"] else math.nan
-        out.append((r["ctx"], inside["m"], s["mu"], s["sd"], z, 2 * normal_upper(abs(z)) if z == z else math.nan))
-    return out
+def fitted_distribution(deg: DataFrame) -> DataFrame:
+    """(degree, binomial, poisson, exponential, powerlaw, powerlaw_tail): densities of the fits on 1 .. the
+    largest degree; that of the tail is scaled to the share of degrees it was fitted to."""
+    f, t = fit_degrees(deg), fit_power_tail(deg)
+    d = deg.agg(F.max("degree").alias("top"), F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("degree") >= t["power_xmin"], 1)).alias("tail"))
+    d = d.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("top"))).alias("degree"), (F.col("tail") / F.col("all")).alias("share"))
+    x, n, p, lam, rate = F.col("degree").cast("double"), f["n"] - 1, f["binom_p"], f["poisson_rate"], f["exp_rate"]
+    ln_choose = log_gamma(F.lit(n + 1)) - log_gamma(x + 1) - log_gamma(F.greatest(F.lit(n) - x, F.lit(0.0)) + 1)
+    binom = F.when(x <= n, F.exp(ln_choose + x * math.log(p) + (F.lit(n) - x) * math.log1p(-p))).otherwise(0.0) if 0 < p < 1 else F.lit(0.0)
+
+    def power(alpha: float, lo: float):
+        return F.when(x >= lo, (alpha - 1) / lo * F.pow(x / lo, F.lit(-alpha))).otherwise(0.0) if math.isfinite(alpha) else F.lit(0.0)
+
+    return d.select(
+        "degree", binom.alias("binomial"), F.exp(x * math.log(lam) - lam - log_gamma(x + 1)).alias("poisson"), (rate * F.exp(-rate * x)).alias("exponential"),
+        power(f["power_alpha"], f["power_xmin"]).alias("powerlaw"), (power(t["power_alpha"], t["power_xmin"]) * F.col("share")).alias("powerlaw_tail"),
+    )
+
+
+def class_tests(spark, values: DataFrame, value: str, cls: DataFrame, samples: int = 1000, seed: int = 1) -> DataFrame:
+    """(ctx, class, k, mean, mu, sd, z, p) of every class of nodes in every context, against seeded random sets
+    of the same size. values: (ctx, node, value); cls: (node, class). One job for all contexts and classes."""
+    size = values.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"))
+    own = values.join(cls, "node").groupBy("ctx", "class").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("k")).join(size, "ctx")
+    k = F.col("k").cast("double")
+    own = stored(own.withColumn("cut", F.least(F.lit(1.0), (k + 10 * F.sqrt(k) + 20) / F.col("n"))), "class-sizes")
+    runs = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    h = F.pmod(F.xxhash64(F.lit(seed), "class", "sample", "node"), F.lit(1 << 52))
+    drawn = values.join(own.select("ctx", "class", "k", "cut"), "ctx").withColumn("sample", runs).withColumn("h", h).filter(F.col("h") <= F.col("cut") * (1 << 52))
+    w = Window.partitionBy("ctx", "class", "sample").orderBy("h", "node")
+    means = drawn.withColumn("r", F.row_number().over(w)).filter("r <= k").groupBy("ctx", "class", "sample").agg(F.avg(value).alias("m"))
+    out = own.join(means.groupBy("ctx", "class").agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd")), ["ctx", "class"])
+    rows = []
+    for r in out.collect():  # a row per context and class
+        z = (r["mean"] - r["mu"]) / r["sd"] if r["sd"] else math.nan
+        rows.append((r["ctx"], r["class"], r["k"], r["mean"], r["mu"], r["sd"], z, 2 * normal_upper(abs(z)) if z == z else math.nan))
+    return spark.createDataFrame(rows, "ctx long, class string, k long, mean double, mu double, sd double, z double, p double")
 
 
 def two_class_p(samples: DataFrame, observed: float) -> tuple[float, float, float]:
@@ -135,3 +147,29 @@ def compare_tops(clusters: DataFrame, group: str, first, second, share: float =
     top = top_share(big, [group], "modularity", share, "cluster")
     r = welch_moments(top, "score", group, first, second).first().asDict()
     return r | {"p": welch_p(r["t"], r["df"]) if r["t"] is not None and r["df"] else math.nan}
+
+
+def compare_types(clusters: DataFrame, base: str, share: float = 0.2, least_size: int = 4, level: float = 0.05) -> DataFrame:
+    """clusters (type, cluster, size, score, modularity) -> (comparison, type, first, second, greater, p): the best
+    clusters of a type by modularity against its others (`others`) and against the best of type `base` (`base`);
+    `share greater` and `share smaller` count the other types whose difference to base is significant."""
+    big = clusters.filter(F.col("size") >= least_size)
+    w = Window.partitionBy("type")
+    ranked = big.withColumn("k", F.ceil(F.count(F.lit(1)).over(w) * share)).withColumn("top", F.row_number().over(w.orderBy(F.desc("modularity"), "cluster")) <= F.col("k"))
+    moments = ranked.groupBy("type", "top").agg(F.avg("score").alias("m"), F.var_samp("score").alias("v"), F.count(F.lit(1)).alias("n"))
+    got = {(r["type"], r["top"]): (r["m"], r["v"], r["n"]) for r in moments.collect()}  # two rows per type
+    types = sorted({t for t, _ in got})
+
+    def line(name: str, t: str, x, y):
+        if not x or not y or x[2] < 2 or y[2] < 2 or not x[1] / x[2] + y[1] / y[2]:
+            return name, t, x[0] if x else None, y[0] if y else None, False, None
+        a, b = x[1] / x[2], y[1] / y[2]
+        df = (a + b) ** 2 / (a * a / (x[2] - 1) + b * b / (y[2] - 1))
+        return name, t, x[0], y[0], x[0] > y[0], welch_p((x[0] - y[0]) / math.sqrt(a + b), df)
+
+    rows = [line("others", t, got.get((t, True)), got.get((t, False))) for t in types]
+    against = [line("base", t, got.get((t, True)), got.get((base, True))) for t in types if t != base]
+    sure = [g for *_, g, p in against if p is not None and p < level]
+    n = max(1, len(against))
+    rows += against + [("share greater", base, sum(sure) / n, None, False, None), ("share smaller", base, (len(sure) - sum(sure)) / n, None, False, None)]
+    return clusters.sparkSession.createDataFrame(rows, "comparison string, type string, first double, second double, greater boolean, p double")

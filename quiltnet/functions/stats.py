@@ -21,14 +21,19 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     return c.select(value, (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(F.corr(x, y).alias("r"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
+    return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(correlation(x, y).alias("r"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (rho, n), with average ranks for ties."""
     d = df.select(x, y).dropna()
-    return d.join(average_ranks(d, x, "_rx"), x).join(average_ranks(d, y, "_ry"), y).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return d.join(average_ranks(d, x, "_rx"), x).join(average_ranks(d, y, "_ry"), y).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def correlation_p(r: float, n: int) -> float:
@@ -309,16 +314,27 @@ def shuffled(members: DataFrame, within_node: bool = False, seed: int = 1) -> Da
     return a.join(b, "id").select("cell.node", "cell.ctx", "v.present")
 
 
-def density(rows: list[float], points: int = 512) -> list[tuple[float, float]]:
-    """Gaussian kernel density of finished values at even points, by the usual rule-of-thumb width."""
-    n = len(rows)
-    if n < 2:
-        return []
-    xs = sorted(rows)
-    mean = math.fsum(xs) / n
-    sd = math.sqrt(math.fsum((x - mean) ** 2 for x in xs) / (n - 1))
-    iqr = xs[(3 * n) // 4] - xs[n // 4]
-    h = 0.9 * (min(sd, iqr / 1.34) or sd or 1.0) * n**-0.2
-    lo, hi = xs[0] - 3 * h, xs[-1] + 3 * h
-    at = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-    return [(x, math.fsum(math.exp(-(((x - v) / h) ** 2) / 2) for v in xs) / (n * h * math.sqrt(2 * math.pi))) for x in at]
+def density_curve(df: DataFrame, value: str, points: int = 512) -> DataFrame:
+    """(x, y): Gaussian kernel density at even points from three widths below the least value to three above
+    the largest, by the usual rule-of-thumb width. Equal values are summed as one, before any point meets them."""
+    v = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    s = df.select(F.col(value).cast("double").alias("v")).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.expr("percentile(v, 0.75) - percentile(v, 0.25)").alias("iqr"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    narrow = F.least("sd", F.nullif(F.col("iqr") / 1.34, F.lit(0.0)))
+    h = 0.9 * F.coalesce(F.nullif(narrow, F.lit(0.0)), F.lit(1.0)) * F.pow("n", F.lit(-0.2))
+    s = s.filter("n > 1").withColumn("h", h).withColumn("step", (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (points - 1))
+    at = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("k", (F.col("lo") - 3 * F.col("h") + F.col("k") * F.col("step")).alias("x"), "h", "n")
+    near = v.crossJoin(F.broadcast(at))  # `points` rows
+    z = (F.col("x") - F.col("v")) / F.col("h")
+    return near.groupBy("k", "x", "h", "n").agg(F.sum(F.col("c") * F.exp(-z * z / 2)).alias("s")).select("x", (F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("y"))
+
+
+def subset_samples(nodes: DataFrame, share: float, samples: int = 1000, seed: int = 1) -> DataFrame:
+    """(sample, node): seeded random subsets of floor(share n) nodes each, to take any property of. A sample
+    takes the nodes of the smallest hash."""
+    n = nodes.count()
+    k = math.floor(share * n)
+    most = min(1.0, (k + 10 * math.sqrt(k) + 20) / max(n, 1))
+    h = F.pmod(F.xxhash64(F.lit(seed), "sample", "node"), F.lit(1 << 52))
+    drawn = nodes.select("node").withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long")))).withColumn("_h", h).filter(F.col("_h") <= most * (1 << 52))
+    w = Window.partitionBy("sample").orderBy("_h", "node")
+    return drawn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("sample", "node")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
+
 WORD = 63
 
 
@@ -176,10 +178,10 @@ def degree_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def assortativity(edges: DataFrame) -> DataFrame:
-    """One row: Newman's r, the correlation of degrees over both directions of every edge."""
+    """One row: Newman's r, the correlation of degrees over both directions of every edge; null where all are equal."""
     d = degrees(edges)
     both = adjacency(edges).join(d.select(F.col("node").alias("u"), F.col("degree").alias("x")), "u").join(d.select(F.col("node").alias("v"), F.col("degree").alias("y")), "v")
-    return both.agg(F.corr("x", "y").alias("deg_assortativity"))
+    return both.agg(correlation("x", "y").alias("deg_assortativity"))
 
 
 def neighbour_degree(edges: DataFrame) -> DataFrame:

@@ -17,12 +17,12 @@ def roots(terms: DataFrame, is_a: DataFrame) -> DataFrame:
     return terms.select("id").join(is_a.select(F.col("child").alias("id")).distinct(), "id", "left_anti")
 
 
-def closure(is_a: DataFrame, reflexive_over: DataFrame | None = None, limit: int = 64) -> DataFrame:
+def closure(is_a: DataFrame, reflexive_over: DataFrame | None = None) -> DataFrame:
     """(term, anc, depth): every ancestor with its shortest distance; with terms given, each is its own
     ancestor at distance 0. Paths double in length each round."""
     now = stored(is_a.select(F.col("child").alias("term"), F.col("parent").alias("anc"), F.lit(1).alias("depth")).distinct(), "closure")
     n = now.count()
-    for _ in range(limit):
+    while True:
         further = now.alias("x").join(now.alias("y"), F.col("x.anc") == F.col("y.term")).select("x.term", "y.anc", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
         now = stored(now.union(further).groupBy("term", "anc").agg(F.min("depth").alias("depth")), "closure")
         m = now.count()
@@ -105,11 +105,12 @@ def term_similarity(pairs: DataFrame, closed: DataFrame, info: DataFrame) -> Dat
     return best.join(ic("i", "ici"), "i").join(ic("j", "icj"), "j").select("i", "j", sim.alias("sim"))
 
 
-def term_matrix(annotations: DataFrame, terms: DataFrame, closed: DataFrame, info: DataFrame) -> DataFrame:
+def term_matrix(annotations: DataFrame, terms: DataFrame, closed: DataFrame, info: DataFrame, zeros: bool = True) -> DataFrame:
     """(i, j, sim), i <= j, over annotated terms: terms are many fewer than nodes, and only pairs with a
-    common ancestor are formed."""
+    common ancestor are formed. Without `zeros` ancestors of no information, the root above all, form
+    none: pairs that share no other have similarity 0 and are left out."""
     used = annotations.select(F.col("term").alias("id")).distinct().join(terms.select("id"), "id", "left_semi")
-    up = closed.join(used.select(F.col("id").alias("term")), "term", "left_semi").join(info.select(F.col("id").alias("anc"), "ic", "p"), "anc")
+    up = closed.join(used.select(F.col("id").alias("term")), "term", "left_semi").join(info.filter("ic > 0" if not zeros else "true").select(F.col("id").alias("anc"), "ic", "p"), "anc")
     x = up.select(F.col("term").alias("i"), "anc", "ic", "p")
     y = up.select(F.col("term").alias("j"), "anc")
     best = x.join(y, "anc").filter("i <= j").groupBy("i", "j").agg(F.max(F.struct("ic", (-F.col("anc")).alias("m"), "p")).alias("x"))
@@ -127,6 +128,12 @@ def node_similarity(pairs: DataFrame, annotations: DataFrame, matrix: DataFrame)
     return named.join(got, ["x", "y"], "left").na.fill(0.0, ["score"])
 
 
+def term_lookup(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
+    """pairs (i, j) in any order -> (i, j, sim) from a finished matrix; 0 for terms it does not know."""
+    both = matrix.union(matrix.filter("i <> j").select("j", "i", "sim"))
+    return pairs.select("i", "j").distinct().join(both, ["i", "j"], "left").na.fill(0.0, ["sim"])
+
+
 def profiles(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, profile) and (profile, term, size): nodes with equal term sets share a profile, named by its
     smallest node, so that pairs of profiles stand for pairs of nodes."""

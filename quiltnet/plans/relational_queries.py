@@ -91,14 +91,6 @@ def _(m):
     return delimited.scan_annotations(m.spark, at, 0).select(F.col("Gene").alias("gene"), F.split("GOTerm", ":")[1].cast("long").alias("term"))
 
 
-@query("s12_directory_of_services", f"SELECT 'svc' AS kind, {n('count(*)', 'rows')} FROM lineitem", ctes=False)
-def _(m):
-    at = fresh_path(m.spark, "services")
-    m.table("lineitem").select(F.concat_ws("\t", F.concat(F.lit("uniprotkb:P"), "l_partkey"), F.concat(F.lit("uniprotkb:S"), "l_suppkey"))).write.text(at)
-    got = delimited.scan_services(m.spark, at, r"/(part)-[^/]*$")
-    return got.filter("Gene1 is not null and service = 'part'").groupBy(F.lit("svc").alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query("s15_create_and_append", f"SELECT n_regionkey AS region, {n('count(*)', 'nations')}, 'a' AS run FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, CAST(count(*) AS BIGINT), 'b' FROM nation GROUP BY 1", ctes=False)
 def _(m):
     at = fresh_path(m.spark, "results")
@@ -367,12 +359,6 @@ def _(m):
     return m.month_members().groupBy("node").agg((F.sum("present") / F.count(F.lit(1))).alias("share"))
 
 
-@query("a20_property_averages", f"SELECT p_brand, {r('avg(p_size)', 'p_size')}, {r('avg(p_retailprice)', 'p_retailprice')} FROM part GROUP BY p_brand", ctes=False)
-def _(m):
-    long = tables.long_properties(m.table("part"), ["p_brand"], ["p_size", "p_retailprice"])
-    return long.groupBy("p_brand").pivot("Property", ["p_size", "p_retailprice"]).agg(F.avg("Value"))
-
-
 @query("a24_multi_distinct", f"""SELECT l_suppkey AS s, {n('count(DISTINCT l_partkey)', 'parts')}, {n('count(DISTINCT l_orderkey)', 'orders')}, {n("count(DISTINCT l_returnflag || '|' || l_linestatus)", 'states')},
 {r('avg(l_extendedprice / nullif(l_quantity, 0))', 'unit')}, {r('avg(l_tax / nullif(l_discount, 0))', 'ratio')} FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 50""", ctes=False)
 def _(m):

@@ -22,34 +22,6 @@ def _(m):
     return reports.head(m.parts(), "p_retailprice", 10, "p_partkey").select("p_partkey")
 
 
-@query("a22_clusterer_summary", f"SELECT p_type AS clusterer, {r('sum(p_retailprice)', 'modularity')}, {n('count(*)', 'clusters')}, {n('min(p_size)', 'smallest')}, {r('avg(p_size)', 'mean_size')}, {n('max(p_size)', 'largest')} FROM part GROUP BY 1", ctes=False)
-def _(m):
-    rows = m.parts().select(F.col("p_type").alias("clusterer"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("modularity"))
-    return reports.clusterer_summary(rows, "clusterer")
-
-
-@query("a23_distinct_by_group", f"SELECT l_returnflag, {n('count(DISTINCT l_partkey)', 'n')} FROM lineitem GROUP BY 1", ctes=False)
-def _(m):
-    return reports.distinct_by(m.table("lineitem"), "l_partkey", "l_returnflag")
-
-
-@query("r22_ratio_table", f"SELECT p_type, {r('avg(p_retailprice) FILTER (p_size > 25) / avg(p_retailprice)', 'ratio')} FROM part GROUP BY 1", ctes=False)
-def _(m):
-    whole = m.parts().groupBy("p_type").agg(F.avg("p_retailprice").alias("p_retailprice"))
-    return reports.ratio_table(m.parts().filter("p_size > 25"), whole, ["p_type"], "p_retailprice")
-
-
-@query("r19_histogram_band", f"SELECT bin, {r('avg(n)', 'mean')}, {r('avg(n) - 1.96 * stddev_samp(n)', 'low')}, {r('avg(n) + 1.96 * stddev_samp(n)', 'high')} FROM (SELECT l_suppkey % 7 AS s, CAST(l_quantity AS BIGINT) // 10 AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY bin", ctes=False)
-def _(m):
-    s = m.table("lineitem").groupBy((F.col("l_suppkey") % 7).alias("sample"), F.floor(F.col("l_quantity").cast("long") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return reports.histogram_band(s)
-
-
-@query("r25_speedups", f"SELECT {r('sum(l_extendedprice)', 'naive')}, {r('sum(l_quantity)', 'fast')}, {r('sum(l_extendedprice) / sum(l_quantity)', 'fast_speedup')} FROM lineitem", ctes=False)
-def _(m):
-    return reports.speedups(m.table("lineitem").select(F.col("l_extendedprice").alias("naive"), F.col("l_quantity").alias("fast")), "naive", "fast")
-
-
 @query("x19_reverse_map", "SELECT c_name, c_custkey FROM customer", ctes=False)
 def _(m):
     return reports.reverse_map(m.table("customer").select("c_custkey", "c_name"), "c_custkey", "c_name")
@@ -65,13 +37,6 @@ def _(m):
     return reports.edge_presence(m.edges(), m.month_members())
 
 
-@query("j17_degree_self_check", "SELECT node, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM mem WHERE false")
-def _(m):
-    e = stored(m.edges(), "edges")
-    other = e.select(F.col("a").alias("node")).union(e.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return reports.degree_mismatch(graph.degrees(e), other)
-
-
 @query("j12_property_by_count", _ADJ + f" SELECT node, {n('degree', 'degree')}, {n('c', 'present')} FROM dg JOIN pc USING (node) WHERE c > 0")
 def _(m):
     counts = rel.presence_counts(m.month_members()).filter("present > 0").select("node", "present")
@@ -85,19 +50,6 @@ def _(m):
     return graph.context_degrees(m.edges(), mem).join(mem.filter("present = 1").select("node", "ctx"), ["node", "ctx"]).join(counts, "node").select("ctx", "node", "degree", "present")
 
 
-@query("r11_fitted_distribution")
-def _(m):
-    return m.spark.createDataFrame(reports.fitted_distribution(stored(graph.degrees(m.edges()), "degrees")), "degree long, binomial double, poisson double, exponential double, powerlaw double")
-
-
-@query("r15_class_tests")
-def _(m):
-    mem = stored(members(m), "members")
-    cls = stored(rel.spread_class(rel.presence_counts(mem), 0.25), "classes")
-    d = stored(graph.context_degrees(m.edges(), mem).withColumn("degree", F.col("degree").cast("double")), "degrees")
-    return m.spark.createDataFrame(reports.class_test(d, "degree", cls, "None"), "ctx long, mean double, mu double, sd double, z double, p double")
-
-
 @query("r21_compare_clusterings")
 def _(m):
     e = stored(m.edges(), "edges")

@@ -106,7 +106,7 @@ def term_matrix(m):
 SELECT e.x, e.y, {r('max(s)', 'score')} FROM e JOIN an a ON a.node = e.x JOIN an b ON b.node = e.y JOIN sim2 ON i = a.term AND j = b.term GROUP BY e.x, e.y""", ctes=False)
 def node_similarity(m):
     h = Hierarchy(m)
-    matrix = ontology.term_matrix(h.annotations, h.terms, h.closed, h.info)
+    matrix = ontology.term_matrix(h.annotations, h.terms, h.closed, h.info, zeros=False)
     return ontology.node_similarity(m.edges().select(F.col("a").alias("x"), F.col("b").alias("y")), h.annotations, matrix)
 
 
@@ -119,7 +119,7 @@ q1 AS (SELECT a.pr AS x, j, max(s) AS s FROM pq a JOIN sim2 ON i = a.term GROUP
 def _(m):
     h = Hierarchy(m)
     who, terms = ontology.profiles(h.annotations)
-    return ontology.row_sums(who, ontology.profile_similarity(terms, ontology.term_matrix(h.annotations, h.terms, h.closed, h.info)))
+    return ontology.row_sums(who, ontology.profile_similarity(terms, ontology.term_matrix(h.annotations, h.terms, h.closed, h.info, zeros=False)))
 
 
 @query("o20_cluster_scores", _PAIRS + f""", rs AS (SELECT x AS pr, sum(s * size) - max(CASE WHEN x = y THEN s ELSE 0 END) AS v FROM psim JOIN (SELECT pr AS y, size FROM pf) USING (y) GROUP BY x),
@@ -130,13 +130,13 @@ SELECT cluster, {n('k', 'k')}, {r('si.v / (k * (k - 1))', 'inside')}, {r('(sa.v
 def _(m):
     h = Hierarchy(m)
     clusters = m.parts().select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 10).alias("cluster"))
-    return ontology.cluster_scores(clusters, h.annotations, stored(ontology.term_matrix(h.annotations, h.terms, h.closed, h.info), "matrix"))
+    return ontology.cluster_scores(clusters, h.annotations, stored(ontology.term_matrix(h.annotations, h.terms, h.closed, h.info, zeros=False), "matrix"))
 
 
 @query("o15_set_score", _PAIRS + f", z AS (SELECT pr, size FROM pf) SELECT {r('sum(s * CASE WHEN x = y THEN a.size * (a.size - 1) ELSE a.size * b.size END) / ((SELECT count(*) FROM who) * ((SELECT count(*) FROM who) - 1))', 'score')} FROM psim JOIN z a ON a.pr = x JOIN z b ON b.pr = y", ctes=False)
 def _(m):
     h = Hierarchy(m)
-    return ontology.set_score(m.parts().select(F.col("p_partkey").alias("node")), h.annotations, ontology.term_matrix(h.annotations, h.terms, h.closed, h.info))
+    return ontology.set_score(m.parts().select(F.col("p_partkey").alias("node")), h.annotations, ontology.term_matrix(h.annotations, h.terms, h.closed, h.info, zeros=False))
 
 
 @query("o23_hierarchy_size", _H + f" SELECT {n('(SELECT count(*) FROM ids)', 'n')}, {n('(SELECT count(*) FROM isa)', 'm')}", ctes=False)
@@ -183,9 +183,9 @@ def _(m):
     return stats.line_fit(m.table("lineitem"), "l_quantity", "l_extendedprice")
 
 
-def _share_sql(cls: str, hit: str) -> str:
+def _share_sql(cls: str, hit: str, tail: str = "") -> str:
     return _PROP + f""", t AS (SELECT unnest(range(1, 7)) AS t), q AS (SELECT t, count(*) FILTER ({cls}) AS c, count(*) FILTER ({cls} AND {hit}) AS h FROM pr, t GROUP BY t)
-SELECT {n('t', 't')}, {n('c', 'n_class')}, {n('h', 'n_hit')}, {r('100.0 * h / nullif(c, 0)', 'percent')} FROM q"""
+SELECT {n('t', 't')}, {n('c', 'n_class')}, {n('h', 'n_hit')}, {r('100.0 * h / nullif(c, 0)', 'percent')} FROM q {tail}"""
 
 
 @query("r05_rare_to_common", _share_sql("present <= t AND present <> 0", "hi > 12 - t"))
@@ -198,7 +198,7 @@ def _(m):
     return stats.neighbour_class_share(_props(m), "present", "total", "lo", "TS")
 
 
-@query("r08_threshold_search")
+@query("r08_threshold_search", _share_sql("present <= t AND present <> 0", "hi > 12 - t", "WHERE 100.0 * h >= 50 * c AND c > 0 ORDER BY t LIMIT 1"))
 def _(m):
     return stats.threshold_for(stats.neighbour_class_share(_props(m), "present", "total", "hi", "HK"))
 
@@ -250,9 +250,21 @@ def _(m):
     return stats.permutation_z(d, m.parts().filter("p_size > 45").select(F.col("p_partkey").alias("node")), "degree")
 
 
-@query("r18_shuffled_presence", f"SELECT ctx, {n('count(*)', 'cells')}, {n('sum(present) > -1', 'all_there')} FROM mem GROUP BY ctx")
+@query("r18_shuffled_presence", f", c AS (SELECT count(*) AS k, sum(present) AS p FROM mem) SELECT {n('k', 'cells')}, {n('p', 'present')}, TRUE AS moved, TRUE AS same_cells FROM c")
+def _(m):
+    """Cells and presences stay as many, every cell is there once, and at least a tenth of them changed."""
+    mem = stored(m.month_members(), "members")
+    new = stored(stats.shuffled(mem), "shuffled")
+    both = mem.join(new.withColumnRenamed("present", "new"), ["node", "ctx"], "full")
+    moved = F.sum(F.when(F.col("present") != F.col("new"), 1).otherwise(0)) * 10 >= F.count("present")
+    return both.agg(F.count("new").alias("cells"), F.sum("new").alias("present"), moved.alias("moved"), (F.count(F.lit(1)) == F.count("present")).alias("same_cells"))
+
+
+@query("r18_shuffled_within_nodes", f"SELECT node, {n('count(*)', 'cells')}, {n('sum(present)', 'present')} FROM mem GROUP BY node")
 def _(m):
-    return stats.shuffled(stored(m.month_members(), "members")).groupBy("ctx").agg(F.count("present").alias("cells"), (F.sum("present") > -1).cast("long").alias("all_there"))
+    mem = stored(m.month_members(), "members")
+    new = stats.shuffled(mem, within_node=True).join(mem.select("node", "ctx"), ["node", "ctx"])
+    return new.groupBy("node").agg(F.count("present").alias("cells"), F.sum("present").alias("present"))
 
 
 @query("a29_binned_mean", f"SELECT {r('round(l_quantity / 10) * 10', 'bin')}, {n('count(*)', 'n')}, {r('avg(l_extendedprice)', 'mean')}, {r('stddev_samp(l_extendedprice) / sqrt(count(*))', 'se')} FROM lineitem GROUP BY 1", ctes=False)
@@ -264,3 +276,47 @@ def _(m):
 def _(m):
     d = graph.degrees(m.edges()).join(m.parts().select(F.col("p_partkey").alias("node"), "p_retailprice"), "node").groupBy("degree").agg(F.avg("p_retailprice").alias("y"))
     return stats.line_fit(d.select(F.log10("degree").alias("x"), F.log10("y").alias("y")), "x", "y").select("slope", "intercept")
+
+
+# ---------------------------------------------------------------- a deep hierarchy: a term's parent has half its number
+
+_HALF = """WITH RECURSIVE up AS (SELECT CAST(p_partkey AS BIGINT) AS term, CAST(p_partkey // 2 AS BIGINT) AS anc, 1 AS depth FROM part WHERE p_partkey >= 1 UNION ALL SELECT term, anc // 2, depth + 1 FROM up WHERE anc >= 1)"""
+
+
+def _half(m):
+    return m.parts().filter("p_partkey >= 1").select(F.col("p_partkey").cast("long").alias("child"), F.floor(F.col("p_partkey") / 2).cast("long").alias("parent"))
+
+
+@query("o03_deep_closure", _HALF + f" SELECT term, anc, {n('depth', 'depth')} FROM up", ctes=False)
+def _(m):
+    return ontology.closure(_half(m))
+
+
+@query("o05_deep_paths", _HALF + " SELECT string_agg(CAST(anc AS VARCHAR), '/' ORDER BY depth DESC) || '/' || max(term) AS path FROM up WHERE term = (SELECT max(p_partkey) FROM part)", ctes=False)
+def _(m):
+    last = m.parts().agg(F.max("p_partkey")).first()[0]
+    return ontology.paths_to_roots(_half(m), last).select(F.array_join("path", "/").alias("path"))
+
+
+@query("o06_relatives", _HALF + """ SELECT 'parent' AS kind, anc AS id FROM up WHERE term = 9 AND depth = 1 UNION ALL SELECT 'child', term FROM up WHERE anc = 9 AND depth = 1
+UNION ALL SELECT 'ancestor', anc FROM up WHERE term = 9 UNION ALL SELECT 'descendant', term FROM up WHERE anc = 9""", ctes=False)
+def _(m):
+    is_a = stored(_half(m), "half")
+    return ontology.relatives(is_a, ontology.closure(is_a), 9)
+
+
+@query("o17_unknown_nodes_score_zero", _SIM + f""", pq AS (SELECT node AS x, node + 1 AS y FROM pt WHERE node % 3 = 0 UNION ALL SELECT node, -node - 1 FROM pt)
+SELECT pq.x, pq.y, {r('coalesce(max(s), 0)', 'score')} FROM pq LEFT JOIN an a ON a.node = pq.x LEFT JOIN an b ON b.node = pq.y LEFT JOIN sim2 ON i = a.term AND j = b.term GROUP BY 1, 2""", ctes=False)
+def _(m):
+    h = Hierarchy(m)
+    node = m.parts().select(F.col("p_partkey").alias("x"))
+    pairs = node.filter("x % 3 = 0").select("x", (F.col("x") + 1).alias("y")).union(node.select("x", -F.col("x") - 1))
+    return ontology.node_similarity(pairs, h.annotations, ontology.term_matrix(h.annotations, h.terms, h.closed, h.info, zeros=False))
+
+
+@query("o19_term_lookup", _SIM + f", pq AS (SELECT term AS i, term + 1 AS j FROM (SELECT DISTINCT term FROM an)) SELECT pq.i, pq.j, {r('coalesce(max(s), 0)', 'sim')} FROM pq LEFT JOIN sim2 USING (i, j) GROUP BY 1, 2", ctes=False)
+def _(m):
+    h = Hierarchy(m)
+    matrix = ontology.term_matrix(h.annotations, h.terms, h.closed, h.info)
+    pairs = h.annotations.select(F.col("term").alias("i")).distinct().withColumn("j", F.col("i") + 1)
+    return ontology.term_lookup(pairs, matrix)

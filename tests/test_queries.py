@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quiltnet.plans import graph_queries, registry, relational_queries, report_queries, semantic_queries, source_queries  # noqa: F401
+from quiltnet.plans import graph_queries, registry, relational_queries, report_queries, semantic_queries, source_queries, summary_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

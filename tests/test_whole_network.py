@@ -1,11 +1,13 @@
 """Registered network queries against plain Python on tables in which every pair of parts shares one order only."""
 
 import datetime
+import inspect
 
 import pytest
 
-from quiltnet.operators import community, graph, ontology, traversal
-from quiltnet.plans import graph_queries, registry, relational_queries, report_queries, semantic_queries, source_queries  # noqa: F401
+from quiltnet.functions import reports
+from quiltnet.operators import bundles, community, graph, ontology, traversal
+from quiltnet.plans import graph_queries, registry, relational_queries, report_queries, semantic_queries, source_queries, summary_queries  # noqa: F401
 
 from .test_graph import BRIDGE, plain_bw
 
@@ -75,10 +77,12 @@ def test_labels_travel_until_they_settle(spark, tables):
 
 
 def test_class_tests_draw_a_thousand_samples(spark, monkeypatch):
-    drawn, real = [], report_queries.reports.permutation_samples
-    monkeypatch.setattr(report_queries.reports, "permutation_samples", lambda own, k, value, samples, seed: drawn.append(samples) or real(own, k, value, samples, seed))
+    drawn, real = [], reports.class_tests
+    monkeypatch.setattr(reports, "class_tests", lambda *a, **k: drawn.append(inspect.signature(real).bind(*a, **k)) or real(*a, **k))
     assert registry.QUERIES["r15_class_tests"](spark, "/root/testdata/sf0.001").collect()
-    assert set(drawn) == {1000}
+    for b in drawn:
+        b.apply_defaults()
+    assert [b.arguments["samples"] for b in drawn] == [1000]
 
 
 def test_long_chains_are_followed_to_the_end(spark):
@@ -88,3 +92,62 @@ def test_long_chains_are_followed_to_the_end(spark):
         ontology.paths_to_roots(spark.createDataFrame([(1, 0), (0, 1)], "child long, parent long"), 1)
     chain = spark.createDataFrame([(k, k + 1) for k in range(66)], "a long, b long")
     assert traversal.distances(chain).agg({"d": "max"}).first()[0] == 66
+
+
+def test_bundles_against_plain_python(spark):
+    """A square: without node 3 all paths between 0 and 2 lead over 1."""
+    square = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 3)], "a long, b long")
+    members = spark.createDataFrame([(v, c, int(c == 0 or v != 3)) for v in range(4) for c in (0, 1)], "node long, ctx long, present long")
+    got = [tuple(r) for r in bundles.raised_betweenness(square, members).collect()]
+    assert got == [(1, 1, 2.0, 1.0, 2, 2, 2, 2)]
+    stats = {r["ctx"]: r for r in bundles.context_stats(square, members).collect()}
+    assert [(stats[c]["n"], stats[c]["m"], stats[c]["conn_comp"], stats[c]["diameter"], stats[c]["gl_cluster_coeff"]) for c in (0, 1)] == [(4, 4, 1, 2, 0.0), (3, 2, 1, 2, 0.0)]
+    lone = spark.createDataFrame([(0, 0, 1), (2, 0, 1)], "node long, ctx long, present long")
+    row = bundles.context_stats(square, lone).first()
+    assert (row["n"], row["m"], row["conn_comp"], row["diameter"]) == (2, 0, 2, 0)
+    two = spark.createDataFrame([("x", 0, 1), ("x", 1, 2), ("x", 0, 2), ("y", 0, 1)], "net string, a long, b long")
+    assert {(r["net"], r["node"]): (r["degree"], r["cc"]) for r in bundles.keyed_clustering(two).collect()} == {("x", 0): (2, 1.0), ("x", 1): (2, 1.0), ("x", 2): (2, 1.0), ("y", 0): (1, 0.0), ("y", 1): (1, 0.0)}
+
+
+def test_paths_are_counted_alike_when_subgraphs_are_joined(spark, monkeypatch):
+    adj = near()
+    edges = spark.createDataFrame(PAIRS, "a long, b long")
+    monkeypatch.setattr(traversal, "SHARED_BYTES", 0)
+    got = {r["node"]: r["betweenness"] for r in traversal.betweenness(edges, graph.nodes_of(edges), sources_per_task=3).collect()}
+    assert got == pytest.approx({v: x for v, x in plain_bw(adj, adj).items() if v != 30}, abs=1e-6)
+    assert traversal.diameter(edges, graph.nodes_of(edges), sources_per_task=3).first()["diameter"] == 10
+
+
+def test_types_are_compared(spark):
+    rows = [("Global", k, 9, 0.1 * k, 1.0 - 0.1 * k) for k in range(6)] + [("0", k, 9, 5.0 + 0.1 * k, 1.0 - 0.1 * k) for k in range(6)] + [("1", 0, 2, 1.0, 0.5)]
+    got = reports.compare_types(spark.createDataFrame(rows, "type string, cluster long, size long, score double, modularity double"), "Global", 0.5, 4).collect()
+    line = {(r["comparison"], r["type"]): r for r in got}
+    assert line["base", "0"]["greater"] and line["base", "0"]["p"] < 0.05 and ("base", "1") not in line
+    assert line["others", "Global"]["first"] == pytest.approx(0.1) and line["others", "Global"]["second"] == pytest.approx(0.4)
+    assert line["share greater", "Global"]["first"] == 1.0 and line["share smaller", "Global"]["first"] == 0.0
+
+
+def test_class_tests_agree_with_the_closed_form(spark):
+    values = spark.createDataFrame([(c, v, float(v % 17 + c)) for c in (0, 1) for v in range(300)], "ctx long, node long, value double")
+    cls = spark.createDataFrame([(v, "HK" if v % 3 else "TS") for v in range(0, 300, 2)], "node long, class string")
+    for r in reports.class_tests(spark, values, "value", cls, 600).collect():
+        own = [(v % 17 + r["ctx"]) for v in range(0, 300, 2) if (v % 3 != 0) == (r["class"] == "HK")]
+        every = [v % 17 + r["ctx"] for v in range(300)]
+        mu = sum(every) / 300
+        sd = (sum((x - mu) ** 2 for x in every) / 300 / len(own) * (300 - len(own)) / 299) ** 0.5
+        assert r["mean"] == pytest.approx(sum(own) / len(own)) and r["k"] == len(own)
+        assert abs(r["mu"] - mu) < 5 * sd / 600**0.5 and r["sd"] == pytest.approx(sd, rel=0.15)
+
+
+def test_clusterings_of_all_types(spark):
+    edges = spark.createDataFrame(PAIRS, "a long, b long")
+    members = spark.createDataFrame([(v, c, int(v % 5 != c)) for v in range(13) for c in (0, 1)], "node long, ctx long, present long")
+    notes = spark.createDataFrame([(v, v % 3) for v in range(13)], "node long, term long")
+    matrix = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (0, 1, 0.5)], "i long, j long, sim double")
+    rows = community.all_clusterings(edges, members, notes, matrix, 1.0).collect()
+    assert {r["type"] for r in rows} == {"Global", "0", "1", "EdgeCoexprCount"}
+    size = {t: sum(r["size"] for r in rows if r["type"] == t) for t in ("Global", "0", "1")}
+    assert size == {"Global": 13, "0": sum(v % 5 != 0 for v in range(13)), "1": sum(v % 5 != 1 for v in range(13))}
+    plain = community.cluster_report(edges, community.modularity_communities(edges, graph.nodes_of(edges), "louvain", 1.0)).collect()
+    assert {r["cluster"]: r["modularity"] for r in rows if r["type"] == "Global"} == pytest.approx({r["cluster"]: r["modularity"] for r in plain})
+    assert any(r["score"] for r in rows)
