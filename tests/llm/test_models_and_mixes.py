@@ -145,3 +145,16 @@ def test_trust_reaches_hosts_far_from_the_seeds(spark):
     assert got == pytest.approx(want, abs=1e-7)
     with pytest.raises(RuntimeError, match="still move"):
         url_trust.propagate(nodes, edges, step=1, rounds=1)
+
+
+def test_many_equal_rows_are_dealt_out_and_mixed(spark):
+    rows = [(None, "the same three", "a")] * 3500 + [(k, "other words " * (k % 7), "b") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    base = mixing.sizes(docs)
+    got = mixing.numbered(base).groupBy("doc_id", "tag").agg({"nth": "max", "size": "count"}).collect()
+    assert sorted((r["max(nth)"], r["count(size)"]) for r in got if r["doc_id"] is None) == [(3499, 3500)]
+    out = mixing.cube_mix(docs).toPandas()
+    assert len(out) == 4000
+    for (t, _), part in out.groupby(["target", "source_size"]):
+        assert abs(part.taken.sum() - t) <= 3 * part["size"].max()
+    assert mixing.take_mix(docs).count() == out.copies.sum()

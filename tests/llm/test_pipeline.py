@@ -41,3 +41,17 @@ def test_each_stage_against_its_input(spark):
 def test_run_returns_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_stages_take_awkward_and_empty_tables(spark, odd, none):
+    for docs in (odd, none):
+        now = docs
+        for name, f in corpus_pipeline.STAGES:
+            now = stored(f(spark, now, SF), "test-odd")
+            assert name == corpus_pipeline.STAGES[-1][0] or now.columns == docs.columns
+        if docs is none:
+            assert now.count() == 0
+    names = spark.createDataFrame([(1, "one two three four five six " * 20, "a", 1, 2, 3, "x"), (1, "one two three four five six " * 20, "a", 1, 2, 3, "x")], "doc_id long, text string, source string, _id long, _tag long, row long, key string")
+    kept = corpus_pipeline.near_copies(spark, names, SF)
+    assert kept.columns == names.columns and kept.count() == 1
+    assert corpus_pipeline.mix(spark, names, SF).columns == names.columns

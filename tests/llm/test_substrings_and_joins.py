@@ -144,3 +144,19 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(kept, key=str) == sorted([(7, rows[4][1]), (None, rows[3][1]), (9, rows[5][1]), (9, rows[7][1])], key=str)
     nulls = rows_of(jaccard_join.keep_one(docs.filter("doc_id is null")))
     assert len(nulls) == 2 and rows[3] in nulls
+
+
+def test_a_family_beyond_long_postings(spark):
+    """150 near copies of one text, all different: postings of more than 64 entries, several cells."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        words[int(rng.integers(0, 120))] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(200 + k, " ".join(f"y{k}_{i}" for i in range(30))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(docs, cell=32).collect())
+    assert got == brute_join(rows)
+    assert len(rows_of(jaccard_join.keep_one(docs))) == 21
