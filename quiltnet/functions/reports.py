@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import stored
-from .stats import fit_degrees, fit_power_tail, log_gamma, top_share, welch_moments, welch_p
+from .stats import fit_degrees, fit_power_tail, log_gamma, running, top_share, total_of, welch_moments, welch_p
 from .tails import normal_upper
 
 # ---------------------------------------------------------------- ordered lists
@@ -19,7 +19,7 @@ def split_sorted(df: DataFrame, by: str, share: float, tie: str) -> DataFrame:
     """`low`: whether a row is among the first floor(share n) by value. Distinct values are counted first, so
     only rows of the one value at the cut are ranked."""
     c = df.groupBy(by).agg(F.count(F.lit(1)).alias("_c"))
-    w = c.withColumn("_upto", F.sum("_c").over(Window.orderBy(by))).withColumn("_k", F.floor(F.sum("_c").over(Window.partitionBy()) * share))
+    w = total_of(running(c, by, "_c", "_upto"), "_c", "_all").withColumn("_k", F.floor(F.col("_all") * share)).drop("_all")
     j = df.join(w, by)
     r = F.row_number().over(Window.partitionBy(by).orderBy(tie)) + F.col("_upto") - F.col("_c")
     return j.withColumn("low", r <= F.col("_k")).select(*df.columns, "low")

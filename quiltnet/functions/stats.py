@@ -8,17 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.lineage import stored
 from .tails import binom_cdf, chi2_upper, exp_cdf, hyper_upper, poisson_cdf, powerlaw_cdf, t_two_sided
 
 # ---------------------------------------------------------------- correlation and tests
 
 
+def running(counts: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """counts with `name`: the sum of n over all rows whose key is not larger. Keys are ranged over tasks; each
+    range adds the sums of those before it, so no task sees all keys, however many there are."""
+    parts = stored(counts.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("_p").agg(F.sum(n).alias("_s"))  # a row per range
+    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(n).over(Window.partitionBy("_p").orderBy(key))
+    return parts.join(before, "_p").withColumn(name, F.col("_before") + own).drop("_p", "_before")
+
+
+def total_of(counts: DataFrame, n: str, name: str) -> DataFrame:
+    """counts with the sum of all n beside every row."""
+    return counts.crossJoin(counts.agg(F.sum(n).alias(name)))  # one row
+
+
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """(value, name): the mean rank of each distinct value. Counts per value come first, so the ordered
-    window holds distinct values, not rows."""
+    """(value, name): the mean rank of each distinct value."""
     c = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.orderBy(value))
-    return c.select(value, (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
+    return running(c, value, "_c", "_upto").select(value, (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
 
 
 def correlation(x: str, y: str) -> Column:
@@ -65,7 +79,7 @@ def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """(value, freq): share of rows at or below each distinct value."""
     c = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    return c.select(value, (F.sum("_c").over(Window.orderBy(value)) / F.sum("_c").over(Window.partitionBy())).alias("freq"))
+    return total_of(running(c, value, "_c", "_upto"), "_c", "_all").select(value, (F.col("_upto") / F.col("_all")).alias("freq"))
 
 
 def freq_below(curve: DataFrame, value: str, x: float) -> DataFrame:
@@ -79,11 +93,10 @@ def first_at_least(df: DataFrame, value: str, x: float) -> DataFrame:
 
 
 def rank_by_ratio(counts: DataFrame, present: str = "present", total: str = "total") -> DataFrame:
-    """Rows with ratio and its rank; equal ratios by node. Ranks within a ratio are windows of that ratio,
-    the ratios' offsets a window over distinct ratios."""
+    """Rows with ratio and its rank; equal ratios by node. Ranks within a ratio are windows of that ratio."""
     r = counts.withColumn("ratio", F.try_divide(F.col(present).cast("double"), F.col(total)))
     c = r.groupBy("ratio").agg(F.count(F.lit(1)).alias("_c"))
-    before = c.select("ratio", (F.sum("_c").over(Window.orderBy("ratio")) - F.col("_c")).alias("_before"))
+    before = running(c, "ratio", "_c", "_upto").select("ratio", (F.col("_upto") - F.col("_c")).alias("_before"))
     return r.join(before, "ratio").withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy("ratio").orderBy("node"))).drop("_before")
 
 
@@ -100,12 +113,13 @@ def top_k(df: DataFrame, group: list[str], by: str, k: int, tie: str) -> DataFra
 def threshold_curve(counts: DataFrame, present: str = "present", total: str = "total") -> DataFrame:
     """(ratio, ts, hk): for each distinct ratio, the share of nodes at or below it and at or above it."""
     c = counts.withColumn("ratio", F.try_divide(F.col(present).cast("double"), F.col(total))).groupBy("ratio").agg(F.count(F.lit(1)).alias("c"))
-    n = F.sum("c").over(Window.partitionBy())
-    return c.select("ratio", (F.sum("c").over(Window.orderBy("ratio")) / n).alias("ts"), (F.sum("c").over(Window.orderBy(F.desc("ratio"))) / n).alias("hk"))
+    r = total_of(running(c, "ratio", "c", "upto"), "c", "n")
+    return r.select("ratio", (F.col("upto") / F.col("n")).alias("ts"), ((F.col("n") - F.col("upto") + F.col("c")) / F.col("n")).alias("hk"))
 
 
 def cumulative_share(df: DataFrame, key: str, n: str) -> DataFrame:
-    return df.select(key, n, (F.sum(n).over(Window.orderBy(key)) / F.sum(n).over(Window.partitionBy())).alias("share"))
+    """df (key, n), one row per key, with the share of n at or below each key."""
+    return total_of(running(df.select(key, n), key, n, "_upto"), n, "_all").select(key, n, (F.col("_upto") / F.col("_all")).alias("share"))
 
 
 def round_to(x: str | Column, step: float) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.lineage import stored
+
 # ---------------------------------------------------------------- filters and projections
 
 
@@ -161,7 +163,8 @@ def id_table(df: DataFrame, key: str, first: int = 1) -> DataFrame:
     """(id, key): keys numbered in order. A range partition is numbered from the sizes of those before
     it, so no task sees all keys."""
     ordered = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    at = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    # stored, so that the sizes and the numbers are of the same ranges
+    at = stored(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
     sizes = at.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return at.join(before, "_p").select((F.col("_before") + F.col("_i") + first).alias("id"), key)
@@ -205,7 +208,7 @@ def coverage_curve(members: DataFrame) -> DataFrame:
     nodes measured in all of those. One job for all values; the threshold table has a row per context."""
     cov = context_coverage(members)
     levels = cov.select(F.col("coverage").alias("level")).distinct()
-    reach = F.broadcast(levels).join(cov, F.col("coverage") >= F.col("level")).select("level", "ctx")
+    reach = levels.join(cov, F.col("coverage") >= F.col("level")).select("level", "ctx")
     n_ctx = reach.groupBy("level").agg(F.count(F.lit(1)).alias("n_ctx"))
     full = members.select("node", "ctx").distinct().join(reach, "ctx").groupBy("level", "node").agg(F.count(F.lit(1)).alias("k")).join(n_ctx, "level").filter("k >= n_ctx")
     n_nodes = full.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"))
@@ -240,7 +243,7 @@ def covered_contexts(members: DataFrame, least: int | None = None) -> DataFrame:
 def labels(nodes: DataFrame, members: DataFrame, complete_only: bool = False) -> DataFrame:
     """(node, label): presence in all contexts in order, joined by |, with - for not measured."""
     ctx = members.select("ctx").distinct()
-    grid = nodes.select("node").distinct().crossJoin(F.broadcast(ctx)).join(members, ["node", "ctx"], "left")
+    grid = nodes.select("node").distinct().crossJoin(ctx).join(members, ["node", "ctx"], "left")
     rows = F.sort_array(F.collect_list(F.struct("ctx", F.coalesce(F.col("present").cast("string"), F.lit("-")).alias("v"))))
     out = grid.groupBy("node").agg(F.array_join(F.transform(rows, lambda x: x["v"]), "|").alias("label"))
     return out.filter(~F.contains("label", F.lit("-"))) if complete_only else out
@@ -254,7 +257,7 @@ def node_universe(core_members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def complete_membership(nodes: DataFrame, contexts: DataFrame, members: DataFrame) -> DataFrame:
     """Every node and context with present 0 by default; of several rows any presence counts."""
-    grid = nodes.select("node").distinct().crossJoin(F.broadcast(contexts.select("ctx").distinct()))
+    grid = nodes.select("node").distinct().crossJoin(contexts.select("ctx").distinct())
     own = members.groupBy("node", "ctx").agg(F.max("present").alias("present"))
     return grid.join(own, ["node", "ctx"], "left").select("node", "ctx", F.coalesce("present", F.lit(0)).cast("long").alias("present"))
 
