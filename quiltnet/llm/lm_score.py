@@ -29,7 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,26 +62,23 @@ def split(column) -> list[list[bytes]]:
 
 
 class GroupWords:
-    """The documents of a group in a fixed order and its distinct words, ordered by bucket and word."""
+    """The documents of a group in a fixed order and its distinct words, ordered by bucket and first occurrence.
+
+    Rows that tie in that order have the same words, so every scan orders the words alike."""
 
     def __init__(self, table: pa.Table, n_buckets: int):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids, self.known, self.train, self.held = table["doc_id"], table["known"], table["train"].to_numpy(), table["held_out"]
         text = table["text"].combine_chunks()
         self.docs = split(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
-        have = set(chain.from_iterable(self.docs))
-        have.add(END)
-        words = sorted(have)
+        words = list(dict.fromkeys(chain([END], chain.from_iterable(self.docs))))
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % n_buckets
         order = np.argsort(bucket, kind="stable")
         self.words = [words[i] for i in order.tolist()]
         self.bucket = bucket[order]
 
     def counts(self) -> np.ndarray:
-        c: Counter[bytes] = Counter()
-        for ws, t in zip(self.docs, self.train.tolist()):
-            if t:
-                c.update(ws)
+        c = Counter(chain.from_iterable(compress(self.docs, self.train.tolist())))
         c[END] = int(self.train.sum())
         return np.fromiter(map(c.__getitem__, self.words), np.int64, len(self.words))
 
@@ -385,14 +382,19 @@ def train_partitions(docs: DataFrame, model: Hierarchy) -> None:
 
 def _classes(docs: list[list[bytes]], words: dict[bytes, int], n_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context before the last, last context, class, document) of every token, the end tokens included."""
-    other, end, begin = n_out - 2, n_out - 1, n_out
+    n = sum(map(len, docs))
+    return _placed(docs, np.fromiter(map(words.get, chain.from_iterable(docs), repeat(n_out - 2)), np.int64, n), n_out)
+
+
+def _placed(docs: list[list[bytes]], inner: np.ndarray, n_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As _classes, from the classes of all words in order."""
+    end, begin = n_out - 1, n_out
     n = np.fromiter((len(d) + 1 for d in docs), np.int64, len(docs))
     last = np.cumsum(n) - 1
     cls = np.full(int(n.sum()), end, np.int64)
     body = np.ones(len(cls), bool)
     body[last] = False
-    get = words.get
-    cls[body] = np.fromiter((get(w, other) for w in chain.from_iterable(docs)), np.int64, int(body.sum()))
+    cls[body] = inner
     one, two = np.full(len(cls), begin), np.full(len(cls), begin)
     one[1:], two[2:] = cls[:-1], cls[:-2]
     first = last - n + 1
@@ -442,10 +444,12 @@ def _score(n_buckets: int, shared, n_total: int, v_total: int):
         back = sorted(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist()))
         counts = np.concatenate([np.frombuffer(x, np.int64) for _, x in back])
         place = dict(zip(g.words, range(len(g.words))))
-        two, one, cls, doc = _classes(g.docs, model.words, model.n_out)
         other, end = model.n_out - 2, model.n_out - 1
+        inner = np.fromiter(map(place.__getitem__, chain.from_iterable(g.docs)), np.int64, sum(map(len, g.docs)))
+        class_of = np.fromiter(map(model.words.get, g.words, repeat(other)), np.int64, len(g.words))
+        two, one, cls, doc = _placed(g.docs, class_of[inner], model.n_out)
         at = np.full(len(cls), place[END], np.int64)
-        at[cls != end] = np.fromiter(map(place.__getitem__, chain.from_iterable(g.docs)), np.int64, int((cls != end).sum()))
+        at[cls != end] = inner
         c = counts[at]
         n = len(g.docs)
         base = np.log10((counts + 1) / (n_total + v_total + 1))[at]

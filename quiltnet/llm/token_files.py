@@ -50,11 +50,40 @@ _IS_TAIL[list(b".,;:!?*%#$&")] = True
 _IS_PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
+def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The rows data[start : start + length], end to end."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(length) else 0
+    return data[np.repeat(start - ends + length, length) + np.arange(total)]
+
+
+class Ragged:
+    """Rows of numbers end to end, with room to grow."""
+
+    def __init__(self, kind):
+        self.data, self.first, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.int64), 0
+
+    def append(self, lengths: np.ndarray, values: np.ndarray) -> None:
+        k, used = self.n, int(self.first[self.n])
+        if k + len(lengths) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(k + len(lengths), np.int64)])
+        if used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(used + len(values), self.data.dtype)])
+        self.first[k + 1 : k + len(lengths) + 1] = used + np.cumsum(lengths)
+        self.data[used : used + len(values)] = values
+        self.n = k + len(lengths)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of some rows, and how many each has."""
+        length = self.first[at + 1] - self.first[at]
+        return _gather(self.data, self.first[at], length), length
+
+
 class WordTokenizer:
     """Encodes texts word by word. The model's normaliser and pre-tokeniser never join text across
     ASCII white space and drop the space itself, so the ids of a text are those of its words; they
     fold case, and cut marks from a plain letter or digit before them. A batch looks up each of
-    its distinct words once (by 64-bit hash within the batch, by its bytes in the table)."""
+    its distinct words once: by 64-bit hash, and the bytes of what is found must be the word's."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,56 +96,66 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.n_flat = 0
-
-    def _append(self, words: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
-        k, n = len(self.place), self.n_flat
-        if k + len(words) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(k + len(words), np.int64)])
-        if n + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(n + len(ids), np.uint32)])
-        self.first[k + 1 : k + len(words) + 1] = n + np.cumsum(lengths)
-        self.flat[n : n + len(ids)] = ids
-        self.n_flat = n + len(ids)
-        self.place.update(zip(words, range(k, k + len(words))))
-
-    def _ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words at these places, and how many each has."""
-        start, length = self.first[at], self.first[at + 1] - self.first[at]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(at) else 0
-        return self.flat[np.repeat(start - ends + length, length) + np.arange(total)], length
-
-    def _learn_each(self, words: list[bytes], text: list[str]) -> None:
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and the row of each
+        self.ids, self.spelled = Ragged(np.uint32), Ragged(np.uint8)
+
+    def _enter(self, keys: np.ndarray) -> None:
+        """Hashes of the rows appended last."""
+        keys, slot = np.concatenate([self.keys, keys]), np.concatenate([self.slot, np.arange(self.ids.n - len(keys), self.ids.n)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slot = keys[order], slot[order]
+
+    def _find(self, keys: np.ndarray, low: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The row of each word, -1 where there is none. Should two words have one hash, all rows go."""
+        out = np.full(len(keys), -1)
+        if not len(self.keys):
+            return out
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        hit = np.flatnonzero(self.keys[at] == keys)
+        slot = self.slot[at[hit]]
+        spelled, n = self.spelled.take(slot)
+        if (n != length[hit]).any() or (spelled != _gather(low, start[hit], n)).any():
+            self.clear()
+            return out
+        out[hit] = slot
+        return out
+
+    def _learn_each(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.model.encode_batch_fast(text, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._append(words, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        return lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
 
-    def _learn_lines(self, words: list[bytes], text: list[str], per_line: int = 256) -> None:
+    def _learn_lines(self, text: list[str], per_line: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters are one piece each, and only a piece's last id ends a word."""
         lines = [" ".join(text[i : i + per_line]) for i in range(0, len(text), per_line)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.model.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
         ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
-            self._learn_each(words, text)
-        else:
-            self._append(words, np.diff(ends, prepend=0), ids)
+        if len(ends) != len(text) or (len(ends) and ends[-1] != len(ids)):
+            return self._learn_each(text)
+        return np.diff(ends, prepend=0), ids
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """Append rows for new words; the row of each."""
         text = [w.decode() for w in words]
-        pure = [w.isalpha() for w in text]
-        self._learn_lines([w for w, p in zip(words, pure) if p], [w for w, p in zip(text, pure) if p])
-        self._learn_each([w for w, p in zip(words, pure) if not p], [w for w, p in zip(text, pure) if not p])
+        pure = np.fromiter(map(str.isalpha, text), bool, len(text))
+        order = np.concatenate([np.flatnonzero(pure), np.flatnonzero(~pure)])
+        n, k = int(pure.sum()), order.tolist()
+        for how, part in ((self._learn_lines, k[:n]), (self._learn_each, k[n:])):
+            self.ids.append(*how([text[i] for i in part]))
+            self.spelled.append(np.fromiter((len(words[i]) for i in part), np.int64, len(part)), np.frombuffer(b"".join([words[i] for i in part]), np.uint8))
+        self._enter(keys[order])
+        out = np.empty(len(words), np.int64)
+        out[order] = np.arange(self.ids.n - len(words), self.ids.n)
+        return out
 
-    def _keep(self, words: list[bytes]) -> None:
+    def _keep(self, keys: np.ndarray, slot: np.ndarray) -> None:
         """Only these words stay in the table."""
-        words = [w for w in words if w in self.place]
-        ids, lengths = self._ids_of(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
+        (ids, n), (spelled, m) = self.ids.take(slot), self.spelled.take(slot)
         self.clear()
-        self._append(words, lengths, ids)
+        self.ids.append(n, ids)
+        self.spelled.append(m, spelled)
+        self._enter(keys)
 
     def encode(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a column, each text followed by end_id, and how many each text has."""
@@ -141,20 +180,22 @@ class WordTokenizer:
         s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
         h = word_hashes(low, s, e, fold=False)
         order = np.argsort(h)
+        ranked = h[order]
         new = np.ones(len(h), bool)
-        new[1:] = h[order[1:]] != h[order[:-1]]
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
         first = order[new]
         inverse = np.empty(len(h), np.int64)
         inverse[order] = np.cumsum(new) - 1
-        whole = low.tobytes()
-        words = [whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
-        if len(self.place) > CACHE_WORDS:
-            self._keep(words)
-        new = [w for w in words if w not in self.place]
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        body, length = self._ids_of(at[inverse])
+        keys, start, size = ranked[new], s[first], e[first] - s[first]
+        if self.ids.n > CACHE_WORDS:
+            slot = self._find(keys, low, start, size)
+            self._keep(keys[slot >= 0], slot[slot >= 0])
+        slot = self._find(keys, low, start, size)
+        unknown = np.flatnonzero(slot < 0)
+        if len(unknown):
+            whole = low.tobytes()
+            slot[unknown] = self._learn(keys[unknown], [whole[a : a + n] for a, n in zip(start[unknown].tolist(), size[unknown].tolist())])
+        body, length = self.ids.take(slot[inverse])
         total = np.concatenate([[0], np.cumsum(length)])
         ends, begins = np.searchsorted(s, offsets[1:]), np.searchsorted(s, offsets[:-1])
         per_doc = total[ends] - total[begins] + 1
