@@ -40,6 +40,13 @@ def fan_out(df: DataFrame, mb: int = 2) -> int:
     return max(least, min(size // (mb * MB), max(2000, size // (128 * MB))))
 
 
+def group_count(df: DataFrame, n_parts: int, mb: int = 1) -> int:
+    """Groups of whole texts for workers that hold one group at a time: about `mb` of file each at every size,
+    however much of the table a partition takes, and two a partition at least."""
+    size = estimated_bytes(df)
+    return max(2 * n_parts, size // (mb * MB) if size < 1 << 60 else 0)
+
+
 def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
     """docs with a number that names each row of its files, whatever its contents: rows that are equal in
     all columns, and rows without an id, can be dealt apart by it, and every scan gives a row the same

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, _bytes_to_64, blob, fan_out, id_out, mix, read, texts_of, utf8
+from .common import BASE, _bytes_to_64, blob, fan_out, group_count, id_out, mix, read, texts_of, utf8
 
 LENGTH = 50
 KMER = 28
@@ -398,7 +398,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         raise ValueError(f"length is {KMER + 1} bytes at least")
     source = texts_of(docs)
     n_parts = fan_out(docs)
-    n_groups, n_buckets = 2 * n_parts, 4 * n_parts
+    n_groups, n_buckets = group_count(docs, n_parts), 4 * n_parts
     dealt = source.select("doc_id", "text", "known", F.pmod("row", F.lit(n_groups)).alias("g")).repartition(n_parts, "g")
     keys = dealt.groupBy("g").applyInArrow(_send_anchors(n_buckets, length), "bucket long, g long, keys binary, multi binary")
     masks = keys.groupBy("bucket").applyInArrow(_mark_shared, "g long, bucket long, mask binary")

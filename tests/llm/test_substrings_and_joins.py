@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from quiltnet.llm import jaccard_join, suffix_dedup
+from quiltnet.llm import common, jaccard_join, suffix_dedup
 from quiltnet.llm.components import connected_components, local_roots
 
 from .conftest import rows_of
@@ -51,6 +51,21 @@ def test_suffix_dedup_equals_brute_force(odd, none):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in kept)
 
 
+def test_groups_hold_as_much_at_every_size(monkeypatch, odd):
+    for size in (100 << 20, 4 << 30, 30 << 30, 100 << 40):
+        monkeypatch.setattr(common, "estimated_bytes", lambda df, size=size: size)
+        assert size / common.group_count(odd, common.fan_out(odd)) <= common.MB
+    monkeypatch.setattr(common, "estimated_bytes", lambda df: 1 << 62)
+    assert common.group_count(odd, 3) == 6
+
+
+def test_many_groups_a_partition_equal_brute_force(monkeypatch, odd):
+    monkeypatch.setattr(suffix_dedup, "group_count", lambda df, n_parts: 31)
+    monkeypatch.setattr(suffix_dedup, "fan_out", lambda df: 2)
+    got = sorted((BIG if r[0] is None else r[0], *r[1:]) for r in suffix_dedup.suffix_dedup(odd).collect())
+    assert got == brute_spans(rows_of(odd))
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {b" ".join(w)} if w else set()
