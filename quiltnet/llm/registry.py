@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, lm_score, mixing, pii, quality_model, quality_rules, suffix_dedup, token_files, url_trust
+from . import centroids, decontaminate, hard_negatives, jaccard_join, lm_score, mixing, pii, quality_model, quality_rules, suffix_dedup, token_files, url_trust
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_rule_ledger": quality_rules.op9_rule_ledger,
     "op10_cube_mix": mixing.op10_cube_mix,
+    "op11_elkan": centroids.op11_elkan,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 ORACLE = {
     "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_rule_ledger": quality_rules.OP9_SQL,
+    "op11_elkan": centroids.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
