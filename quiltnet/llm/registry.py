@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontaminate, hard_negatives, jaccard_join, lm_score, mixing, pii, quality_model, quality_rules, suffix_dedup, token_files, url_trust
+from . import centroids, decontaminate, hard_negatives, jaccard_join, license_scan, lm_score, mixing, pii, quality_model, quality_rules, suffix_dedup, token_files, url_trust
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_cube_mix": mixing.op10_cube_mix,
     "op11_elkan": centroids.op11_elkan,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 ORACLE = {
     "op4_jaccard_join": jaccard_join.OP4_SQL,
@@ -24,4 +25,5 @@ ORACLE = {
     "op9_rule_ledger": quality_rules.OP9_SQL,
     "op11_elkan": centroids.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_license_scan": license_scan.OP13_SQL,
 }
