@@ -3,7 +3,7 @@
 Texts are folded and cut into words; blocks are runs of 64 words that start every 32 words, so any
 passage of up to 33 words lies whole in one of them. A template is a license sentence (longer ones are
 cut into parts of 32 words), as the set of its words. A block meets a template if it contains at least
-`least` hundredths of that set.
+`least` hundredths of that set, or all of it where it has fewer than SHORT words.
 
 Words of templates are ordered by how often they stand in the whole corpus, rare ones first; other words
 can never match and are dropped at once. With o words needed out of a template of t, a block can only meet
@@ -35,6 +35,8 @@ from .common import FOLD, MB, batches, read, utf8, word_bounds, word_hashes
 from .decontaminate import WORD
 
 BLOCK, STEP, LEAST = 64, 32, 80
+#: Templates with fewer different words than this are met by all of them only: one word tells such licenses apart.
+SHORT = 10
 #: Words that all templates have together at most.
 MAX_WORDS = 100_000
 
@@ -45,10 +47,9 @@ TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("creative-commons", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
@@ -133,7 +134,7 @@ def _spread(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Index:
-    """Templates as sets of ranks, their prefixes by rank. Needed words: all of a phrase, else `least` hundredths."""
+    """Templates as sets of ranks, their prefixes by rank, and how many words of each are needed."""
 
     def __init__(self, sets: list[list[int]], needed: list[int], n_ranks: int):
         self.needed, self.n_ranks = np.array(needed, np.int64), n_ranks
@@ -189,7 +190,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, least: int = LEA
     lists = [[rank_of[w] for w in x] for _, x in pieces]
     n_templates = len(pieces) - sum(1 for _, p in phrases if words_of(p))
     sets = [sorted(set(x)) for x in lists]
-    needed = [-(-least * len(x) // 100) if t < n_templates else len(x) for t, x in enumerate(sets)]
+    needed = [-(-least * len(x) // 100) if t < n_templates and len(x) >= SHORT else len(x) for t, x in enumerate(sets)]
     index, vocabulary = Index(sets, needed, len(words)), Vocabulary(ranked)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +290,7 @@ whole AS (SELECT label, {_WORDS_SQL.format("text")} AS ws FROM (VALUES {_VALUES(
 t AS (SELECT label, list_distinct(ws[i + 1:i + {STEP}]) AS ws FROM (SELECT label, ws, unnest(range(0, len(ws), {STEP})) AS i FROM whole)),
 p AS (SELECT label, {_WORDS_SQL.format("text")} AS ws FROM (VALUES {_VALUES(PHRASES)}) v(label, text)),
 b AS (SELECT r, ws[i * {STEP} + 1:i * {STEP} + {BLOCK}] AS ws FROM (SELECT r, ws, unnest(range(0, 1 + greatest(0, (len(ws) - {BLOCK} + {STEP - 1}) // {STEP}))) AS i FROM d WHERE len(ws) > 0)),
-m AS (SELECT r, label, len(list_intersect(t.ws, b.ws)) AS shared, len(t.ws) AS size FROM b, t WHERE 100 * len(list_intersect(t.ws, b.ws)) >= {LEAST} * len(t.ws)),
+m AS (SELECT r, label, len(list_intersect(t.ws, b.ws)) AS shared, len(t.ws) AS size FROM b, t WHERE 100 * len(list_intersect(t.ws, b.ws)) >= CASE WHEN len(t.ws) < {SHORT} THEN 100 ELSE {LEAST} END * len(t.ws)),
 o AS (SELECT r, label, i - 1 AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) x, p WHERE x.ws[i:i + len(p.ws) - 1] = p.ws),
 og AS (SELECT r, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM o GROUP BY r),
 l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM o UNION ALL SELECT r, label FROM m) GROUP BY r),

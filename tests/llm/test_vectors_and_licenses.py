@@ -146,7 +146,7 @@ def brute_licenses(text):
             part = set(t[k : k + 32])
             for i in range(0, max(1, len(w) - 64 + 32), 32):
                 share = len(part & set(w[i : i + 64])) / len(part)
-                if len(part & set(w[i : i + 64])) * 100 >= 80 * len(part):
+                if len(part & set(w[i : i + 64])) * 100 >= (80 if len(part) >= license_scan.SHORT else 100) * len(part):
                     labels.add(label)
                     best = max(best, share)
     base = {x for _, x in places}
