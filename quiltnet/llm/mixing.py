@@ -10,13 +10,17 @@ the same flight, a thousandfold fewer at each, until one chunk per source is lef
 documents of a source are landed with the joint probabilities that vary their total least.
 
 Defined cases: null text has size 0; sources sort by code point, null last; a source whose size is
-0 has target 0; repeated rows are documents of their own; an empty table gives an empty result.
+0 has target 0; a row without an id is a document like any other; repeated rows are documents of their
+own; texts of any length are counted whole; other columns, whatever their names, are kept by the mix and
+not read otherwise; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +152,7 @@ def numbered(base: DataFrame) -> DataFrame:
 
 
 def cube_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
-    """Per row of docs: doc_id, tag (its text's key), size, source_size, target, taken and copies.
+    """Per row of docs: doc_id, source, tag (its text's key), size, source_size, target, taken and copies.
 
     Only ids, sizes and probabilities go through the flight, never texts.
     """
@@ -182,24 +186,56 @@ def cube_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
     for x in settled[1:]:
         done = done.unionByName(x)
     copies = F.col("whole") + F.col("p").cast("long")
-    return done.alias("d").join(per.alias("s"), "source_rank").select("doc_id", "tag", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return done.alias("d").join(per.alias("s"), "source_rank").select("doc_id", "source", "tag", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted) and copies."""
-    return cube_rows(docs, weights, cap, seed).drop("tag")
+    return cube_rows(docs, weights, cap, seed).drop("tag", "source")
+
+
+def _share_picks(rows: DataFrame, key: list[str], cols: list[str], n: str, m: str) -> DataFrame:
+    """rows that share doc_id, text and source, and so n copies among m of them, with the copies of each.
+
+    Their copies differ by one at most. Rows with equal columns are counted as one; the others of a key
+    are put in the order of their hashes, and the first ones get one copy more. Sums over a key run in
+    256 parts, and copies are written out in runs of BLOCK, so that no task gets all rows of a key.
+    """
+    h, part, c, row, before, inside, block = unused(rows, "hash", "part", "count", "row", "before", "inside", "block")
+    plain = [f.name for f in rows.select(*cols).schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    per = rows.withColumn(h, F.xxhash64(*[F.col(f"`{x}`") for x in plain])).groupBy(*key, h).agg(F.any_value(F.struct(*[F.col(f"`{x}`") for x in cols])).alias(row), F.count(F.lit(1)).alias(c), F.first(n).alias(n), F.first(m).alias(m))
+    per = stored(per.withColumn(part, F.pmod(h, F.lit(256))), "mix-equal-rows")
+    sums = per.groupBy(*key, part).agg(F.sum(c).alias(inside))
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(before, F.coalesce(F.sum(inside).over(upto.partitionBy(*key).orderBy(part)), F.lit(0))).drop(inside)  # 256 rows a key
+    other = unused(per, *[f"{x}_of" for x in (*key, part)])
+    sums = sums.select(*[F.col(x).alias(y) for x, y in zip((*key, part), other)], before)
+    on = reduce(and_, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip((*key, part), other)])
+    per = per.join(sums, on).drop(*other)
+    ahead = F.col(before) + F.coalesce(F.sum(c).over(upto.partitionBy(*key, part).orderBy(h)), F.lit(0))
+    each = F.expr(f"`{n}` div `{m}`")
+    more = F.greatest(F.lit(0), F.least(F.col(c), F.col(n) - F.col(m) * each - ahead))
+    per = per.withColumn(n, F.col(c) * each + more).filter(F.col(n) > 0).withColumn(block, F.explode(F.expr(f"sequence(0L, (`{n}` - 1) div {BLOCK})")))
+    dealt = per.repartition(*key, h, block)
+    return dealt.select(row, F.explode(F.expr(f"sequence(`{block}` * {BLOCK}, least((`{block}` + 1) * {BLOCK}, `{n}`) - 1)"))).select(f"{row}.*")
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with all its columns."""
-    i, k, n, m, j, t = unused(docs, "id", "key", "copies", "rows", "other_id", "other_key")
-    picks = cube_rows(docs, weights, cap, seed).groupBy(F.col("doc_id").alias(j), F.col("tag").alias(t)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(m))
-    picks = stored(picks, "mix-picks")
-    tagged = docs.select("*", F.col("doc_id").cast("long").alias(i), row_key().alias(k))
-    if not picks.filter(F.col(m) > 1).isEmpty():  # rows that are equal share their picks
-        tagged = tagged.dropDuplicates([i, k])
-    both = tagged.join(picks.filter(F.col(n) > 0), tagged[i].eqNullSafe(picks[j]) & (tagged[k] == picks[t]))
-    return both.withColumn(m, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[tagged[c] for c in docs.columns])
+    """The mix itself: every row of docs as often as it is taken, with all its columns. Rows that share doc_id, text and
+    source but differ elsewhere are told apart by their other columns, so that reruns agree."""
+    i, k, o, n, m, j, t, q = unused(docs, "id", "key", "from", "copies", "rows", "other_id", "other_key", "other_from")
+    picks = cube_rows(docs, weights, cap, seed).groupBy(F.col("doc_id").alias(j), F.col("tag").alias(t), F.col("source").alias(q)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(m))
+    picks = stored(picks.filter(F.col(n) > 0), "mix-picks")
+    tagged = docs.select("*", F.col("doc_id").cast("long").alias(i), row_key().alias(k), F.col("source").cast("string").alias(o))
+
+    def joined(some: DataFrame) -> DataFrame:
+        return tagged.join(some, tagged[i].eqNullSafe(some[j]) & (tagged[k] == some[t]) & tagged[o].eqNullSafe(some[q]))
+
+    single = joined(picks.filter(F.col(m) == 1))
+    out = single.withColumn(m, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[tagged[c] for c in docs.columns])
+    if picks.filter(F.col(m) > 1).isEmpty():
+        return out
+    return out.union(_share_picks(joined(picks.filter(F.col(m) > 1)).drop(j, t, q), [i, k, o], docs.columns, n, m))
 
 
 def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -158,3 +159,26 @@ def test_many_equal_rows_are_dealt_out_and_mixed(spark):
     for (t, _), part in out.groupby(["target", "source_size"]):
         assert abs(part.taken.sum() - t) <= 3 * part["size"].max()
     assert mixing.take_mix(docs).count() == out.copies.sum()
+
+
+def test_mix_takes_each_row_as_often_as_planned(spark):
+    """Rows with equal ids and texts under two sources, and equal rows that differ elsewhere."""
+    rows = [(1, "a b c", s, "x", 0) for s in "xy"] + [(2, "d e", "x", f"l{k % 5}", k % 3) for k in range(90)] + [(None, "f", None, "l", k % 2) for k in range(40)] + [(3, None, "y", "l", 0)] * 3
+    rows += [(100 + k, " ".join(["w"] * (k % 9 + 1)), "xyz"[k % 3], "l", 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, rows int").repartition(5)
+    take = lambda: Counter(tuple(r) for r in mixing.take_mix(docs).collect())
+    got, plan = take(), mixing.cube_rows(docs).collect()
+    sizes = lambda k: tuple(k[:3])
+    text = {(r[0], len((r[1] or "").split()), r[2]): r[1] for r in rows}
+    want = Counter()
+    for r in plan:
+        want[r["doc_id"], text[r["doc_id"], r["size"], r["source"]], r["source"]] += r["copies"]
+    have = Counter()
+    for k, n in got.items():
+        have[sizes(k)] += n
+    assert have == +want
+    whole, each = Counter(rows), Counter(r[:3] for r in rows)
+    for k, n in whole.items():  # copies of rows that share id, text and source differ by one at most
+        low = want[k[:3]] // each[k[:3]]
+        assert low * n <= got[k] <= (low + 1) * n
+    assert take() == got
