@@ -8,19 +8,21 @@ doc_id. The work is cut so that suffixes which may share such a string meet in o
    anchor; equal strings have equal anchors. A group sends the hashes of its anchors, each once.
 2. Hash buckets answer which anchors occur in two documents or more, as bit masks.
 3. A group sends the strings with shared anchors, run together to segments by a second anchor of
-   12 bytes that also names the bucket: every distinct segment once, and where it occurs.
+   12 bytes that also names the bucket: every distinct segment once, with the smallest and the
+   largest doc_id that have it.
 4. A bucket sorts the suffixes of its distinct segments by the two-stage method: suffixes smaller
    than their successors are sorted directly, the rest are induced by scanning the buckets of
    first bytes in order. Adjacent common prefixes of at least `length` bytes give the classes of equal
-   strings, the class its smallest document, and every occurrence in a later one a span.
-5. A group unites its documents' spans.
+   strings, and the class its smallest document. Back go the runs of each segment by that document.
+5. A group finds its segments again and takes, for each place where one occurs, the runs whose first
+   document is smaller; it unites the spans.
 
 Hashes only decide what meets where; equality is decided by the sorted bytes. Passages that all
-documents share are sent once per group, so no bucket grows with the number of copies.
+documents share are sent once per group, whatever the number of copies in it.
 
 Defined cases: null text is empty; texts shorter than `length` lose nothing; rows with one doc_id
 never delete from each other; a null doc_id compares like the largest long; texts of any length are
-whole in one group; other columns, whatever their names, are not read; an empty table gives an empty
+whole in one group; repeated rows are documents of one doc_id; other columns, whatever their names, are not read; an empty table gives an empty
 result.
 """
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, _bytes_to_64, blob, fan_out, group_count, id_out, mix, read, texts_of, utf8
+from .common import BASE, _bytes_to_64, blob, fan_out, group_count, id_out, mix, read, stored, texts_of, utf8
 
 LENGTH = 50
 KMER = 28
@@ -173,51 +175,64 @@ def _mark_shared(table: pa.Table) -> pa.Table:
     return pa.table({"g": table["g"], "bucket": table["bucket"], "mask": pa.array(masks, pa.binary())})
 
 
-_SEGMENTS = "bucket long, g long, content binary, lengths binary, least binary, occ_content binary, occ_id binary, occ_row binary, occ_at binary"
+_SEGMENTS = "bucket long, g long, content binary, lengths binary, least binary, most binary"
 
 
-def _send_segments(n_buckets: int, length: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table, masks: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {c.split()[0]: [] for c in _SEGMENTS.split(", ")}
-        schema = pa.schema([(c, pa.int64() if c in ("bucket", "g") else pa.binary()) for c in rows])
-        if not masks.num_rows or not table.num_rows:
-            return pa.table(rows, schema)
-        g = Group(table.select(["doc_id", "text"]), n_buckets, length)
+class Shared:
+    """The strings of a group whose anchors are shared, as segments by bucket. Segments with equal bytes in a bucket are
+    one; `own` numbers these over all buckets, `first` tells where each bucket's numbers start."""
+
+    def __init__(self, g: Group, masks: list[tuple[int, bytes]]):
         u, _, inverse = g.distinct()
         b = g.bucket(u)
         shared = np.zeros(len(u), bool)
-        for k, m in sorted(zip(masks["bucket"].to_pylist(), masks["mask"].to_pylist())):
+        for k, m in sorted(masks):
             lo, hi = np.searchsorted(b, [k, k + 1])
             shared[lo:hi] = np.unpackbits(np.frombuffer(m, np.uint8), count=hi - lo)
         # shared starts, cut anew by anchors of fewer bytes: longer segments overlap less
         p = g.p[np.repeat(shared[inverse], g.n_starts)]
-        place2, hash2 = _short_anchors(g.raw, p, length)
+        place2, hash2 = _short_anchors(g.raw, p, g.length)
         new = np.ones(len(p), bool)
         new[1:] = (p[1:] != p[:-1] + 1) | (place2[1:] != place2[:-1])
         seg = np.flatnonzero(new)
         where = g.bucket(hash2[seg])
         start, count = p[seg], np.diff(np.r_[seg, len(p)])
         order = np.argsort(where, kind="stable")
-        where, start, count = where[order], start[order], count[order]
-        end = start + count + length - 1
-        doc = np.searchsorted(g.offsets, start, side="right") - 1
+        where, self.start, count = where[order], start[order], count[order]
+        end = self.start + count + g.length - 1
+        self.doc = np.searchsorted(g.offsets, self.start, side="right") - 1
         whole = g.raw.tobytes()
         cut = np.r_[0, np.flatnonzero(np.diff(where)) + 1, len(where)] if len(where) else np.zeros(1, int)
+        self.buckets, self.own = where[cut[:-1]], np.zeros(len(where), np.int64)
+        self.contents: list[list[bytes]] = []
+        first, n = [0], 0
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
             place: dict[bytes, int] = {}
-            own = np.fromiter((place.setdefault(whole[s:e], len(place)) for s, e in zip(start[x:y].tolist(), end[x:y].tolist())), np.int64, y - x)
-            ids = g.ids[doc[x:y]]
-            least = np.full(len(place), np.iinfo(np.int64).max)
-            np.minimum.at(least, own, ids)
-            rows["bucket"].append(int(where[x]))
+            self.own[x:y] = np.fromiter((place.setdefault(whole[s:e], len(place)) for s, e in zip(self.start[x:y].tolist(), end[x:y].tolist())), np.int64, y - x) + n
+            self.contents.append(list(place))
+            n += len(place)
+            first.append(n)
+        self.first = np.array(first, np.int64)
+
+
+def _send_segments(n_buckets: int, length: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, masks: pa.Table) -> pa.Table:
+        rows: dict[str, list] = {c.split()[0]: [] for c in _SEGMENTS.split(", ")}
+        schema = pa.schema([(c, pa.int64() if c in ("bucket", "g") else pa.binary()) for c in rows])
+        if not masks.num_rows or not table.num_rows:
+            return pa.table(rows, schema)
+        g = Group(table.select(["doc_id", "text"]), n_buckets, length)
+        s = Shared(g, list(zip(masks["bucket"].to_pylist(), masks["mask"].to_pylist())))
+        least, most = np.full(s.first[-1], np.iinfo(np.int64).max), np.full(s.first[-1], np.iinfo(np.int64).min)
+        np.minimum.at(least, s.own, g.ids[s.doc])
+        np.maximum.at(most, s.own, g.ids[s.doc])
+        for k, content, x, y in zip(s.buckets.tolist(), s.contents, s.first[:-1].tolist(), s.first[1:].tolist()):
+            rows["bucket"].append(k)
             rows["g"].append(key[0].as_py())
-            rows["content"].append(b"".join(place))
-            rows["lengths"].append(blob(np.fromiter(map(len, place), np.uint16, len(place))))
-            rows["least"].append(blob(least))
-            rows["occ_content"].append(blob(own.astype(np.uint32)))
-            rows["occ_id"].append(blob(ids))
-            rows["occ_row"].append(blob(doc[x:y].astype(np.uint32)))
-            rows["occ_at"].append(blob((start[x:y] - g.offsets[doc[x:y]]).astype(np.uint32)))
+            rows["content"].append(b"".join(content))
+            rows["lengths"].append(blob(np.fromiter(map(len, content), np.uint16, len(content))))
+            rows["least"].append(blob(least[x:y]))
+            rows["most"].append(blob(most[x:y]))
         return pa.table(rows, schema)
 
     return run
@@ -312,14 +327,15 @@ def adjacent_prefixes(w: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
 def _find_repeats(length: int):
     def run(table: pa.Table) -> pa.Table:
         place: dict[bytes, int] = {}
-        least, occ = [], []
+        least, most, parts = [], [], []
         for r in range(table.num_rows):
             get = lambda name, kind: np.frombuffer(table[name][r].as_py(), kind)  # noqa: E731,B023
             ends = np.cumsum(get("lengths", np.uint16).astype(np.int64))
             content = table["content"][r].as_py()
             own = np.fromiter((place.setdefault(content[a:b], len(place)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())), np.int64, len(ends))
             least.append((own, get("least", np.int64)))
-            occ.append((np.full(len(get("occ_id", np.int64)), r), own[get("occ_content", np.uint32)], get("occ_id", np.int64), get("occ_row", np.uint32), get("occ_at", np.uint32)))
+            most.append(get("most", np.int64))
+            parts.append(np.full(len(own), r))
         low = np.full(len(place), np.iinfo(np.int64).max)
         for own, ids in least:
             np.minimum.at(low, own, ids)
@@ -343,20 +359,24 @@ def _find_repeats(length: int):
         rs = np.flatnonzero(edge)
         run_at, run_n, run_doc = v[rs] - begin[owner[v[rs]]], np.diff(np.r_[rs, len(v)]), first_doc[v[rs]]
         run_first = np.searchsorted(owner[v[rs]], np.arange(len(sizes) + 1))
-        # each occurrence takes the runs of its segment whose first document is smaller
-        src, seg, ids, row, at = (np.concatenate(x) for x in zip(*occ))
+        # each group gets the runs of its segments of which one of its documents is not the first
+        src, seg, last = np.concatenate(parts), np.concatenate([own for own, _ in least]), np.concatenate(most)
+        local = np.arange(len(seg)) - np.searchsorted(src, src)
         n_runs = np.diff(run_first)[seg]
         o = np.repeat(np.arange(len(seg)), n_runs)
         k = np.arange(len(o)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs) + run_first[seg[o]]
-        hit = run_doc[k] < ids[o]
+        hit = run_doc[k] < last[o]
         o, k = o[hit], k[hit]
-        a = at[o].astype(np.int64) + run_at[k]
-        z = a + run_n[k] + length - 1
         cut = np.searchsorted(src[o], np.arange(table.num_rows + 1))
         some = np.flatnonzero(np.diff(cut))
-        g = table["g"].to_pylist()
-        pack = lambda x: pa.array([blob(x[cut[r] : cut[r + 1]].astype(np.uint32)) for r in some], pa.binary())
-        return pa.table({"g": pa.array([g[r] for r in some], pa.int64()), "rows": pack(row[o]), "starts": pack(a), "ends": pack(z)})
+        g, bucket = table["g"].to_pylist(), table["bucket"].to_pylist()
+        pack = lambda x, kind: pa.array([blob(x[cut[r] : cut[r + 1]].astype(kind)) for r in some], pa.binary())
+        return pa.table(
+            {
+                "g": pa.array([g[r] for r in some], pa.int64()), "bucket": pa.array([bucket[r] for r in some], pa.int64()),
+                "segments": pack(local[o], np.uint32), "starts": pack(run_at[k], np.uint16), "counts": pack(run_n[k], np.uint16), "docs": pack(run_doc[k], np.int64),
+            }
+        )
 
     return run
 
@@ -364,16 +384,40 @@ def _find_repeats(length: int):
 # ---------------------------------------------------------------- documents
 
 
-def _cut(with_text: bool):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table, spans: pa.Table) -> pa.Table:
+def _gone(g: Group, messages: list[dict]) -> np.ndarray:
+    """Which bytes of a group go: every occurrence of a segment takes the runs whose first document has a smaller id."""
+    edge = np.zeros(len(g.raw) + 1, np.int32)
+    runs = [m for m in messages if m["segments"] is not None]
+    if runs:
+        s = Shared(g, [(m["bucket"], m["mask"]) for m in messages if m["mask"] is not None])
+        base = s.first[np.searchsorted(s.buckets, [m["bucket"] for m in runs])]
+        get = lambda name, kind: np.concatenate([np.frombuffer(m[name], kind) for m in runs]).astype(np.int64)
+        seg = get("segments", np.uint32) + np.repeat(base, [len(m["segments"]) // 4 for m in runs])
+        at, count, doc = get("starts", np.uint16), get("counts", np.uint16), get("docs", np.int64)
+        order = np.argsort(seg, kind="stable")
+        seg, at, count, doc = (x[order] for x in (seg, at, count, doc))
+        first = np.searchsorted(seg, np.arange(s.first[-1] + 1))
+        n = np.diff(first)[s.own]
+        o = np.repeat(np.arange(len(s.own)), n)
+        k = np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n) + first[s.own[o]]
+        hit = doc[k] < g.ids[s.doc[o]]
+        o, k = o[hit], k[hit]
+        a = s.start[o] + at[k]
+        np.add.at(edge, a, 1)
+        np.add.at(edge, a + count[k] + g.length - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _cut(n_buckets: int, length: int, with_text: bool):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, messages: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        raw, offsets = utf8(table["text"])
-        edge = np.zeros(len(raw) + 1, np.int32)
-        for rows, starts, ends in zip(*(spans[c].to_pylist() for c in ("rows", "starts", "ends"))):
-            base = offsets[np.frombuffer(rows, np.uint32)]
-            np.add.at(edge, base + np.frombuffer(starts, np.uint32), 1)
-            np.add.at(edge, base + np.frombuffer(ends, np.uint32), -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        messages = messages.to_pylist()
+        if any(m["segments"] is not None for m in messages):
+            g = Group(table.select(["doc_id", "text"]), n_buckets, length)
+            raw, offsets, gone = g.raw, g.offsets, _gone(g, messages)
+        else:
+            raw, offsets = utf8(table["text"])
+            gone = np.zeros(len(raw), bool)
         lengths = np.diff(offsets)
         row = np.repeat(np.arange(len(lengths)), lengths)
         removed = np.bincount(row[gone], minlength=len(lengths))
@@ -401,11 +445,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     n_groups, n_buckets = group_count(docs, n_parts), 4 * n_parts
     dealt = source.select("doc_id", "text", "known", F.pmod("row", F.lit(n_groups)).alias("g")).repartition(n_parts, "g")
     keys = dealt.groupBy("g").applyInArrow(_send_anchors(n_buckets, length), "bucket long, g long, keys binary, multi binary")
-    masks = keys.groupBy("bucket").applyInArrow(_mark_shared, "g long, bucket long, mask binary")
+    masks = stored(keys.groupBy("bucket").applyInArrow(_mark_shared, "g long, bucket long, mask binary"), "suffix-masks", few=True)
     segments = dealt.groupBy("g").cogroup(masks.groupBy("g")).applyInArrow(_send_segments(n_buckets, length), _SEGMENTS)
-    spans = segments.groupBy("bucket").applyInArrow(_find_repeats(length), "g long, rows binary, starts binary, ends binary")
+    spans = segments.groupBy("bucket").applyInArrow(_find_repeats(length), "g long, bucket long, segments binary, starts binary, counts binary, docs binary")
+    messages = masks.unionByName(spans, allowMissingColumns=True)
     schema = "doc_id long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    out = dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut(with_text), schema)
+    out = dealt.groupBy("g").cogroup(messages.groupBy("g")).applyInArrow(_cut(n_buckets, length, with_text), schema)
     return out.select(id_out(), *[c for c in out.columns if c not in ("doc_id", "known")])
 
 

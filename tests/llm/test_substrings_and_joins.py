@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quiltnet.llm import common, jaccard_join, suffix_dedup
@@ -175,3 +177,17 @@ def test_a_family_beyond_long_postings(spark):
     got = sorted(tuple(r) for r in jaccard_join.jaccard_join(docs, cell=32).collect())
     assert got == brute_join(rows)
     assert len(rows_of(jaccard_join.keep_one(docs))) == 21
+
+
+def test_messages_to_buckets_do_not_grow_with_copies():
+    """A text of many documents is sent once, whatever the number of its copies in the group."""
+    text = " ".join(f"word{i} of a text that stands in many documents" for i in range(40))
+
+    def sent(copies):
+        table = pa.table({"doc_id": pa.array(range(copies), pa.int64()), "text": [text] * copies})
+        keys = suffix_dedup._send_anchors(16, 50)((pa.scalar(0),), table)
+        masks = [suffix_dedup._mark_shared(keys.filter(pc.equal(keys["bucket"], b))) for b in pc.unique(keys["bucket"])]
+        got = suffix_dedup._send_segments(16, 50)((pa.scalar(0),), table, pa.concat_tables(masks))
+        return {r["bucket"]: sum(len(r[c]) for c in ("content", "least", "most", "lengths")) for r in got.to_pylist()}
+
+    assert sent(1000) == sent(100)
