@@ -233,6 +233,20 @@ def _(m):
     return com.cluster_report(e, com.modularity_communities(e, graph.nodes_of(e), "louvain", 1.0))
 
 
+@query("g18_louvain_by_rounds")
+def _(m):
+    """The union network shrunk by rounds of moves over tables until it has 20,000 edges."""
+    e = m.edges()
+    return com.cluster_report(e, com.modularity_communities(e, graph.nodes_of(e), "louvain", 1.0, task_edges=20_000))
+
+
+@query("g18_greedy_by_rounds")
+def _(m):
+    """The union network merged by rounds of matchings over tables until it has 20,000 edges."""
+    e = m.edges()
+    return com.cluster_report(e, com.modularity_communities(e, graph.nodes_of(e), "greedy", task_edges=20_000))
+
+
 @query("g18_greedy_modularity")
 def _(m):
     e = stored(m.edges(), "edges")
