@@ -151,3 +151,77 @@ def test_clusterings_of_all_types(spark):
     plain = community.cluster_report(edges, community.modularity_communities(edges, graph.nodes_of(edges), "louvain", 1.0)).collect()
     assert {r["cluster"]: r["modularity"] for r in rows if r["type"] == "Global"} == pytest.approx({r["cluster"]: r["modularity"] for r in plain})
     assert any(r["score"] for r in rows)
+
+
+def full_rounds(adj, rounds):
+    label = {v: v for v in adj}
+    for _ in range(rounds):
+        label = {v: min((label[u] for u in us), key=lambda x: (-[label[w] for w in us].count(x), x)) if us else label[v] for v, us in adj.items()}
+    return label
+
+
+def test_votes_change_by_moved_nodes_only(spark):
+    """The labels of rounds over all nodes, while fewer and fewer nodes are looked at."""
+    cliques = [(12 * g + a, 12 * g + b) for g in range(30) for a in range(12) for b in range(a)] + [(12 * g, 12 * g + 13) for g in range(29)] + [(359 + k, 360 + k) for k in range(6)]
+    edges, adj = spark.createDataFrame(cliques, "a long, b long"), {v: set() for v in range(366)}
+    for a, b in cliques:
+        adj[a].add(b)
+        adj[b].add(a)
+    ids = graph.nodes_of(edges)
+    for rounds in (1, 2, 4):
+        assert {r["node"]: r["label"] for r in community.label_propagation(edges, ids, rounds=rounds).collect()} == full_rounds(adj, rounds)
+    trace = []
+    got = {r["node"]: r["label"] for r in community.label_propagation(edges, ids, trace=trace).collect()}
+    assert settled(adj, got) and trace[0] == 366 and trace[-1] < 36
+
+
+def test_labels_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(community, "MOST_ROUNDS", 1)
+    edges = spark.createDataFrame(PAIRS, "a long, b long")
+    with pytest.raises(ValueError, match="do not settle"):
+        community.label_propagation(edges, graph.nodes_of(edges))
+
+
+def planted(groups, size, seed=1):
+    import numpy as np
+
+    rng, n = np.random.default_rng(seed), groups * size
+    pairs = {(a, b) for a in range(n) for b in range(a) if rng.random() < (0.6 if a // size == b // size else 0.01)}
+    return sorted(pairs)
+
+
+def quality(pairs, part, gamma=1.0):
+    degree = {}
+    for a, b in pairs:
+        for v in (a, b):
+            degree[v] = degree.get(v, 0) + 1
+    vol = {}
+    for v, d in degree.items():
+        vol[part[v]] = vol.get(part[v], 0) + d
+    return sum(part[a] == part[b] for a, b in pairs) / len(pairs) - gamma * sum(x * x for x in vol.values()) / (2 * len(pairs)) ** 2
+
+
+def test_rounds_over_tables_reach_the_quality_of_a_task(spark):
+    pairs = planted(8, 16)
+    edges = spark.createDataFrame([("x", *p, 1.0) for p in pairs], "net string, a long, b long, w double")
+    runs = spark.createDataFrame([("one", "x", 1.0), ("three", "x", 3.0)], "run string, net string, gamma double")
+    part = lambda rows, run: {r["node"]: r["cluster"] for r in rows if r["run"] == run}
+    near, far = community.louvain(edges, runs).collect(), community.louvain(edges, runs, task_edges=0).collect()
+    for run, gamma in (("one", 1.0), ("three", 3.0)):
+        assert len(part(far, run)) == len(part(near, run)) == 128
+        assert quality(pairs, part(far, run), gamma) >= 0.99 * quality(pairs, part(near, run), gamma)
+
+
+def test_no_merge_is_left_after_matchings(spark):
+    pairs = planted(6, 12)
+    edges = spark.createDataFrame([("x", *p, 1.0) for p in pairs], "net string, a long, b long, w double")
+    runs = spark.createDataFrame([("one", "x", 1.0)], "run string, net string, gamma double")
+    near, far = ({r["node"]: r["cluster"] for r in community.greedy_modularity(edges, runs, k).collect()} for k in (10**6, 0))
+    assert quality(pairs, far) >= 0.9 * quality(pairs, near)
+    names, base = sorted(set(far.values())), quality(pairs, far)
+    for k, x in enumerate(names):
+        for y in names[:k]:
+            assert quality(pairs, {v: y if c == x else c for v, c in far.items()}) <= base + 1e-9
+    # all leaves of a star belong to its hub
+    star = spark.createDataFrame([("x", 0, k, 1.0) for k in range(1, 9)], "net string, a long, b long, w double")
+    assert {r["cluster"] for r in community.greedy_modularity(star, runs, 0).collect()} <= set(range(9))
