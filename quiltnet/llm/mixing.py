@@ -224,14 +224,14 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     """The mix itself: every row of docs as often as it is taken, with all its columns. Rows that share doc_id, text and
     source but differ elsewhere are told apart by their other columns, so that reruns agree."""
     i, k, n, m, j, t = unused(docs, "id", "key", "copies", "rows", "other_id", "other_key")
-    # one number for text and source: a table of picks that is small for its rows is broadcast up to more of them
+    # one number for text and source keeps picks narrow; they grow with docs, so both sides are shuffled at every size
     whole = lambda tag, source: F.xxhash64(tag, source)
     picks = cube_rows(docs, weights, cap, seed).groupBy(F.col("doc_id").alias(j), whole("tag", "source").alias(t)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(m))
     picks = stored(picks.filter(F.col(n) > 0), "mix-picks")
     tagged = docs.select("*", F.col("doc_id").cast("long").alias(i), whole(row_key(), F.col("source").cast("string")).alias(k))
 
     def joined(some: DataFrame) -> DataFrame:
-        return tagged.join(some, tagged[i].eqNullSafe(some[j]) & (tagged[k] == some[t]))
+        return tagged.join(some.hint("merge"), tagged[i].eqNullSafe(some[j]) & (tagged[k] == some[t]))
 
     single = joined(picks.filter(F.col(m) == 1))
     out = single.withColumn(m, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[tagged[c] for c in docs.columns])
