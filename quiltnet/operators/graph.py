@@ -52,6 +52,14 @@ def subgraph_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     return lab.select(F.explode(contexts_of()).alias("ctx"), "a", "b")
 
 
+def context_edge_counts(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(ctx, m): edges of every subgraph that has any, counted from the masks, without a row per edge and context."""
+    lab = labelled_edges(edges, masks(members)).filter("label <> 0")
+    bits = lab.groupBy("word").agg(*[F.sum(F.getbit("label", F.lit(i)).cast("long")).alias(f"b{i}") for i in range(WORD)])
+    per = bits.select("word", F.posexplode(F.array(*[f"b{i}" for i in range(WORD)])).alias("i", "m"))
+    return per.filter("m > 0").select((F.col("word") * WORD + F.col("i")).alias("ctx"), "m")
+
+
 def universe(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): members that are an endpoint of the network."""
     return members.select("node").distinct().join(nodes_of(edges), "node", "left_semi")

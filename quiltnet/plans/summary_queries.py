@@ -122,13 +122,12 @@ def _(m):
 # ---------------------------------------------------------------- random subsets and class tests
 
 
-@query("r16_random_subsets", f", k AS (SELECT CAST(floor(0.5 * count(*)) AS BIGINT) AS k FROM part) SELECT CAST(s AS BIGINT) AS sample, k AS nodes, TRUE AS some_edges FROM k, range(50) t(s)")
+@query("r16_random_subsets", f", k AS (SELECT CAST(floor(0.5 * count(*)) AS BIGINT) AS k FROM part) SELECT CAST(s AS BIGINT) AS sample, k AS nodes, TRUE AS some_edges FROM k, range(1000) t(s)")
 def _(m):
-    """Edges inside fifty random halves of the nodes: any property of a subset is taken by sample."""
-    picks = stored(stats.subset_samples(m.parts().select(F.col("p_partkey").alias("node")), 0.5, 50), "subsets")
-    side = lambda c: picks.select("sample", F.col("node").alias(c))
-    inside = m.edges().join(side("a"), "a").join(side("b"), ["b", "sample"]).groupBy("sample").agg(F.count(F.lit(1)).alias("edges"))
-    return picks.groupBy("sample").agg(F.count_distinct("node").alias("nodes")).join(inside, "sample", "left").select("sample", "nodes", (F.col("edges") > 0).alias("some_edges"))
+    """Edges inside a thousand random halves of the nodes: subsets are contexts, so masks serve 63 of them at once."""
+    picks = stored(stats.subset_samples(m.parts().select(F.col("p_partkey").alias("node")), 0.5), "subsets")
+    inside = graph.context_edge_counts(m.edges(), picks.select("node", F.col("sample").alias("ctx"), F.lit(1).alias("present"))).withColumnRenamed("ctx", "sample")
+    return picks.groupBy("sample").agg(F.count_distinct("node").alias("nodes")).join(inside, "sample", "left").select("sample", "nodes", (F.col("m") > 0).alias("some_edges"))
 
 
 @query("r17_two_class_density")
@@ -138,7 +137,7 @@ def _(m):
     rows = []
     for name, cond in (("large", "p_size > 25"), ("small", "p_size <= 25")):
         own = d.join(m.parts().filter(cond).select(F.col("p_partkey").alias("node")), "node", "left_semi").agg(F.avg("degree").alias("m"), F.count(F.lit(1)).alias("k")).first()
-        rows.append((name, own["m"], *reports.two_class_p(stats.permutation_samples(d, own["k"], "degree", 300), own["m"])))
+        rows.append((name, own["m"], *reports.two_class_p(stats.permutation_samples(d, own["k"], "degree"), own["m"])))
     return m.spark.createDataFrame(rows, "class string, mean double, mu double, sd double, p double")
 
 
@@ -158,7 +157,7 @@ def _(m):
     return community.scored_clusters(edges, typed, h.annotations, matrix)
 
 
-def _all_types(m, gamma: float = 5.0):
+def _all_types(m, gamma: float = 50.0):
     h, e, mem = Hierarchy(m), stored(m.edges(), "edges"), stored(members(m), "members")
     matrix = stored(ontology.term_matrix(h.annotations, h.terms, h.closed, h.info, zeros=False), "matrix")
     return stored(community.all_clusterings(e, mem, h.annotations, matrix, gamma), "clusterings")
@@ -173,7 +172,7 @@ def _(m):
 @query("r21_all_comparisons")
 def _(m):
     """Best clusters by modularity of each type against its others, and against those of the union network."""
-    return reports.compare_types(_all_types(m), "Global", share=0.5, least_size=2)
+    return reports.compare_types(_all_types(m, 5.0), "Global")
 
 
 @query("r15_class_tests")

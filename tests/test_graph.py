@@ -91,6 +91,7 @@ def test_contexts_against_plain_python(spark, seed):
     on = {(k, c) for k, c, p in mem if p}
     n_ctx = 1 + max(c for _, c, _ in mem)
     deg = {(r["ctx"], r["node"]): r["degree"] for r in graph.context_degrees(e, m).collect()}
+    assert {r["ctx"]: r["m"] for r in graph.context_edge_counts(e, m).collect()} == {c: k for c in range(n_ctx) for k in [sum((a, c) in on and (b, c) in on for a, b in pairs)] if k}
     cc = {(r["ctx"], r["node"]): r["cc"] for r in graph.context_clustering(e, m).collect()}
     bw = {(r["ctx"], r["node"]): r["betweenness"] for r in traversal.betweenness(e, graph.universe(m, e), m).collect()} if n_ctx < 10 else None
     for c in range(n_ctx):
