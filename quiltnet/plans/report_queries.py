@@ -59,7 +59,7 @@ def _(m):
         cl = community.modularity_communities(e, ids, "louvain", gamma)
         one = community.cluster_report(e, cl).withColumn("score", F.col("modularity") / F.col("size")).withColumn("kind", F.lit(kind))
         both = one if both is None else both.unionByName(one)
-    got = reports.compare_tops(stored(both, "clusters"), "kind", "coarse", "fine", 0.5, 2)
+    got = reports.compare_tops(stored(both, "clusters"), "kind", "coarse", "fine")
     keys = ("t", "df", "m1", "m2", "p")
     return m.spark.createDataFrame([tuple(None if got[k] is None else float(got[k]) for k in keys)], ", ".join(f"{k} double" for k in keys))
 
