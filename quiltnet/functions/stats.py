@@ -87,6 +87,34 @@ def freq_below(curve: DataFrame, value: str, x: float) -> DataFrame:
     return curve.filter(F.col(value) < x).agg(F.coalesce(F.max("freq"), F.lit(0.0)).alias("freq"))
 
 
+def look_up(probes: DataFrame, probe: str, table: DataFrame, key: str, below: dict[str, str], upward: dict[str, str]) -> DataFrame:
+    """probes with columns of a table looked up: `below` {column: name} from the last row whose key is less than the probe,
+    `upward` from the first whose key is at least the probe; null where there is none, and for a null probe.
+
+    Keys of the table are taken to be distinct. Probes and keys are ranged over tasks together and merged in order; a
+    range passes what its neighbours need over its borders, one row per range, so no probe meets all keys.
+    """
+    asked = probes.select(F.col(probe).alias("_x")).dropna().distinct().withColumn("_side", F.lit(0))
+    taken = sorted({*below, *upward})
+    told = table.filter(F.col(key).isNotNull()).select(F.col(key).alias("_x"), F.lit(1).alias("_side"), F.struct(*taken).alias("_row"))
+    both = asked.unionByName(told, allowMissingColumns=True).repartitionByRange("_x").withColumn("_p", F.spark_partition_id())
+    both = stored(both, "ranges")
+    order = Window.partitionBy("_p").orderBy("_x", "_side")  # at equal values the probe comes before the key
+    edge = both.groupBy("_p").agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_x"))).alias("_last"), F.min_by("_row", F.when(F.col("_row").isNotNull(), F.col("_x"))).alias("_first"))
+    ranges = Window.orderBy("_p")  # a row per range
+    edge = edge.select(
+        "_p",
+        F.last("_last", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    merged = both.withColumn("_lo", F.last("_row", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.withColumn("_hi", F.first("_row", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    found = merged.filter("_side = 0").join(edge, "_p")
+    lo, hi = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
+    found = found.select("_x", *[lo[c].alias(name) for c, name in below.items()], *[hi[c].alias(name) for c, name in upward.items()])
+    return probes.join(found, F.col(probe) == F.col("_x"), "left").drop("_x")
+
+
 def first_at_least(df: DataFrame, value: str, x: float) -> DataFrame:
     """One row: the smallest value that is at least x."""
     return df.filter(F.col(value) >= x).agg(F.min(value).alias("value"))

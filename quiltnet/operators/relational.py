@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.stats import running
 from ..plans.lineage import stored
 
 # ---------------------------------------------------------------- filters and projections
@@ -205,15 +206,19 @@ def context_coverage(members: DataFrame) -> DataFrame:
 
 def coverage_curve(members: DataFrame) -> DataFrame:
     """(coverage, n_ctx, n_nodes, product): for each coverage value, the contexts that reach it and the
-    nodes measured in all of those. One job for all values; the threshold table has a row per context."""
-    cov = context_coverage(members)
-    levels = cov.select(F.col("coverage").alias("level")).distinct()
-    reach = levels.join(cov, F.col("coverage") >= F.col("level")).select("level", "ctx")
-    n_ctx = reach.groupBy("level").agg(F.count(F.lit(1)).alias("n_ctx"))
-    full = members.select("node", "ctx").distinct().join(reach, "ctx").groupBy("level", "node").agg(F.count(F.lit(1)).alias("k")).join(n_ctx, "level").filter("k >= n_ctx")
-    n_nodes = full.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"))
-    out = n_ctx.join(n_nodes, "level", "left").na.fill(0, ["n_nodes"])
-    return out.select(F.col("level").alias("coverage"), "n_ctx", "n_nodes", (F.col("n_ctx") * F.col("n_nodes")).alias("product"))
+    nodes measured in all of those.
+
+    A node counts at a coverage if its contexts at or above it are as many as there are at all. Its contexts are
+    counted by coverage and added from the top, so a membership is one row, however many coverages lie below it.
+    """
+    cov = stored(context_coverage(members), "coverage")
+    per = cov.groupBy("coverage").agg(F.count(F.lit(1)).alias("k"))
+    down = running(per.withColumn("_down", -F.col("coverage")), "_down", "k", "n_ctx").select("coverage", "n_ctx")
+    own = members.select("node", "ctx").distinct().join(cov, "ctx").groupBy("node", "coverage").agg(F.count(F.lit(1)).alias("k"))
+    upto = own.withColumn("k", F.sum("k").over(Window.partitionBy("node").orderBy(F.desc("coverage"))))
+    n_nodes = upto.join(down, "coverage").filter("k = n_ctx").groupBy("coverage").agg(F.count(F.lit(1)).alias("n_nodes"))
+    out = down.join(n_nodes, "coverage", "left").na.fill(0, ["n_nodes"])
+    return out.select("coverage", "n_ctx", "n_nodes", (F.col("n_ctx") * F.col("n_nodes")).alias("product"))
 
 
 def greedy_optimum(curve: DataFrame) -> DataFrame:

@@ -197,6 +197,19 @@ def betweenness(m):
     return _flat(traversal.betweenness(m.edges(), m.parts().select(F.col("p_partkey").alias("node"))), "betweenness")
 
 
+@query("g15_betweenness_in_blocks", _BW + " SELECT p_partkey AS node, round(coalesce(bw, 0), 3) + 0.0 AS betweenness FROM part LEFT JOIN bw ON node = p_partkey")
+def _(m):
+    """As a network that no task holds."""
+    return _flat(traversal.betweenness(m.edges(), m.parts().select(F.col("p_partkey").alias("node")), task_edges=0), "betweenness")
+
+
+@query("g24_diameter_in_blocks", _FAR + f" SELECT {n(_diameter('SELECT count(*) FROM an'), 'diameter')}")
+def _(m):
+    """As a network that no task holds."""
+    e = stored(m.edges(), "edges")
+    return traversal.diameter(e, graph.nodes_of(e), task_edges=0)
+
+
 @query("g24_diameter", _FAR + f" SELECT {n(_diameter('SELECT count(*) FROM an'), 'diameter')}")
 def _(m):
     e = stored(m.edges(), "edges")

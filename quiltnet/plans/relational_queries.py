@@ -471,6 +471,17 @@ def _(m):
     return stats.freq_below(stats.ecdf(part, "p_size"), "p_size", 20).crossJoin(stats.first_at_least(part, "p_size", 20))
 
 
+@query("w06_lookup_table", f"""WITH e AS (SELECT p_retailprice AS x, count(*) AS k FROM part GROUP BY 1), c AS (SELECT CAST(x AS DOUBLE) AS x, sum(k) OVER (ORDER BY x) * 1.0 / sum(k) OVER () AS freq FROM e),
+q AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) / 20 AS x FROM lineitem), lo AS (SELECT q.*, c.freq FROM q ASOF LEFT JOIN c ON q.x > c.x)
+SELECT {n('l_orderkey', 'l_orderkey')}, {n('l_linenumber', 'l_linenumber')}, {r('coalesce(lo.freq, 0)', 'freq')}, {r('c.x', 'value')} FROM lo ASOF LEFT JOIN c ON lo.x <= c.x""", ctes=False)
+def _(m):
+    """Every line's price in the curve of the parts' prices."""
+    prices = m.table("part").select(F.col("p_retailprice").cast("double").alias("price"))
+    probes = m.table("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("double") / 20).alias("x"))
+    found = stats.look_up(probes, "x", stats.ecdf(prices, "price"), "price", {"freq": "freq"}, {"price": "value"})
+    return found.select("l_orderkey", "l_linenumber", F.coalesce("freq", F.lit(0.0)).alias("freq"), "value")
+
+
 @query("w07_threshold_curve", _RATIO + f", q AS (SELECT CAST(present AS DOUBLE) / total AS ratio FROM c) SELECT {r('a.ratio', 'ratio')}, {r('(SELECT count(*) FROM q WHERE ratio <= a.ratio) * 1.0 / (SELECT count(*) FROM q)', 'ts')}, {r('(SELECT count(*) FROM q WHERE ratio >= a.ratio) * 1.0 / (SELECT count(*) FROM q)', 'hk')} FROM (SELECT DISTINCT ratio FROM q) a")
 def _(m):
     return stats.threshold_curve(rel.presence_counts(m.month_members()))
