@@ -105,10 +105,11 @@ def look_up(probes: DataFrame, probe: str, table: DataFrame, key: str, below: di
     edge = edge.select(
         "_p",
         F.last("_last", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_first", True).over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
     merged = both.withColumn("_lo", F.last("_row", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.withColumn("_hi", F.first("_row", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy("_p").orderBy(F.desc("_x"), F.desc("_side"))  # from above, as frames that end at a row grow row by row
+    merged = merged.withColumn("_hi", F.last("_row", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     found = merged.filter("_side = 0").join(edge, "_p")
     lo, hi = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
     found = found.select("_x", *[lo[c].alias(name) for c, name in below.items()], *[hi[c].alias(name) for c, name in upward.items()])

@@ -68,7 +68,7 @@ def test_diameter_needs_few_searches(spark):
     pairs = {tuple(sorted(rng.sample(range(200), 2))) for _ in range(1500)} | {(k, k + 1) for k in range(199)}
     pairs |= {(0, 200), (7, 230)} | {(k, k + 1) for k in [*range(200, 204), *range(230, 233)]}
     per = edges(spark, sorted(pairs)).selectExpr("0L ctx", "a", "b")
-    got, searches = blocks.farthest(per, part_nodes=40)
+    got, searches = blocks.farthest(per, part_nodes=40, first=2)
     want, whole = plain_far(adjacent(pairs, {x for p in pairs for x in p}))
     row = got.first()
     assert whole and row["deep"] == want and row["reached"] == row["n"]
