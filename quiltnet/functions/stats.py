@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import stored
-from .tails import binom_cdf, chi2_upper, exp_cdf, hyper_upper, poisson_cdf, powerlaw_cdf, t_two_sided
+from .tails import PowerTails, binom_cdf, chi2_upper, exp_cdf, hyper_upper, poisson_cdf, powerlaw_cdf, t_two_sided
 
 # ---------------------------------------------------------------- correlation and tests
 
@@ -50,9 +51,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return d.join(average_ranks(d, x, "_rx"), x).join(average_ranks(d, y, "_ry"), y).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def correlation_p(r: float, n: int) -> float:
-    """Two-sided p of a correlation by the t approximation."""
-    return 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+def correlation_p(r: float | None, n: int) -> float:
+    """Two-sided p of a correlation by the t approximation; nan without one or with fewer than three rows."""
+    return math.nan if r is None or n < 3 else 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
 def welch_moments(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
@@ -170,11 +171,28 @@ def fixed_histogram(df: DataFrame, value: str, low: float, high: float, bins: in
     return df.filter((x >= low) & (x <= high)).groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float]:
+    """Exact quantiles, interpolated linearly between neighbours; empty without values.
+
+    Distinct values are counted, and counts summed over ranges (`running`), so a rank is found by the sums on either
+    side of a value: no buffer holds all values, and two rows per probability reach the driver.
+    """
+    c = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = stored(running(c, "_v", "_c", "_upto"), "quantiles")
+    n = upto.agg(F.max("_upto")).first()[0]
+    if not n:
+        return []
+    places = [p * (n - 1) for p in probs]
+    ranks = sorted({k for x in places for k in (math.floor(x), math.ceil(x))})
+    asked = df.sparkSession.createDataFrame([(k,) for k in ranks], "_k long")
+    got = upto.join(F.broadcast(asked), (F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c")))
+    at = {r["_k"]: r["_v"] for r in got.select("_k", "_v").collect()}
+    return [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in places]
+
+
 def quantile_breaks(df: DataFrame, value: str, step: float = 0.1) -> list[float]:
     """Distinct quantiles, interpolated linearly."""
-    probs = [i * step for i in range(round(1 / step))] + [1.0]
-    got = df.agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("q")).first()[0] or []
-    return sorted(set(got))
+    return sorted(set(quantiles(df, value, [i * step for i in range(round(1 / step))] + [1.0])))
 
 
 def quantile_bins(df: DataFrame, value: str, step: float = 0.1) -> DataFrame:
@@ -273,27 +291,37 @@ def fit_degrees(deg: DataFrame) -> dict[str, float]:
 
 def fit_power_tail(deg: DataFrame) -> dict[str, float]:
     """Exponent and smallest degree of the tail that a power law fits best (least largest gap between the
-    distributions). Works on the table of distinct degrees."""
-    rows = sorted((float(r["degree"]), r["n"]) for r in degree_distribution(deg).filter("degree > 0").collect())  # distinct degrees
+    distributions; the smallest lower end among equals).
+
+    Works on the table of distinct degrees, which tasks get whole: m edges have at most 2 sqrt(m) distinct degrees.
+    Lower ends are spread over tasks, which first bound every gap from below at a few points; only ends whose bound
+    does not exceed the gap of the best-bounded one are looked at in full.
+    """
+    d = degree_distribution(deg).filter("degree > 0").select("degree", "n").orderBy("degree").toPandas()
     best = {"power_alpha": math.nan, "power_xmin": math.nan, "gap": math.inf}
-    for i, (lo, _) in enumerate(rows[:-1]):
-        tail = rows[i:]
-        n = sum(c for _, c in tail)
-        logs = sum(c * math.log(x / lo) for x, c in tail)
-        if not logs:
-            continue
-        alpha, seen, gap = 1 + n / logs, 0, 0.0
-        for x, c in tail:
-            model = powerlaw_cdf(x, alpha, lo)
-            gap = max(gap, abs(seen / n - model), abs((seen + c) / n - model))
-            seen += c
-        if gap < best["gap"]:
-            best = {"power_alpha": alpha, "power_xmin": lo, "gap": gap}
-    return best
+    if len(d) < 2:
+        return best
+    tails = PowerTails(d["degree"], d["n"])
+    tasks = max(1, min(len(d) // 20_000, 1_000))
 
+    def bounds(batches):
+        for batch in batches:
+            ends = batch["id"].to_numpy()
+            for k in range(0, len(ends), 2048):
+                yield pd.DataFrame({"id": ends[k : k + 2048], "least": tails.least_gaps(ends[k : k + 2048])})
 
-def chi_square_fits(deg: DataFrame, step: float = 0.1) -> list[tuple[str, float, float]]:
-    """(model, chi2, p) of each fitted model over quantile bins, expected masses rescaled to 1."""
+    def gaps(batches):
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "gap": [tails.gap(i) for i in batch["id"]]})
+
+    bound = stored(deg.sparkSession.range(0, len(d) - 1, 1, tasks).mapInPandas(bounds, "id long, least double"), "tail-bounds")
+    most = tails.gap(bound.orderBy("least", "id").first()["id"])
+    r = bound.filter(F.col("least") <= most * (1 + 1e-12)).select("id").repartition(tasks).mapInPandas(gaps, "id long, gap double").orderBy("gap", "id").first()
+    return {"power_alpha": float(tails.alpha[r["id"]]), "power_xmin": float(tails.x[r["id"]]), "gap": r["gap"]}
+
+
+def expected_bins(deg: DataFrame, step: float = 0.1) -> list[tuple[str, float, float, int, float]]:
+    """(model, low, high, n, expected) of each fitted model and quantile bin, expected masses rescaled to 1."""
     f = fit_degrees(deg)
     bins = sorted((r["low"], r["high"], r["n"]) for r in quantile_bins(deg, "degree", step).collect())  # ten bins at most
     cdfs = {
@@ -304,8 +332,17 @@ def chi_square_fits(deg: DataFrame, step: float = 0.1) -> list[tuple[str, float,
     for name, cdf in cdfs.items():
         mass = [max(0.0, cdf(y) - cdf(x)) for x, y, _ in bins]
         scale = sum(mass)
-        chi = sum((n - total * m / scale) ** 2 / (total * m / scale) if m else (math.inf if n else 0.0) for (_, _, n), m in zip(bins, mass)) if scale else math.inf
-        out.append((name, chi, chi2_upper(chi, len(bins) - 1) if math.isfinite(chi) and len(bins) > 1 else 0.0))
+        out += [(name, x, y, n, total * m / scale if scale else 0.0) for (x, y, n), m in zip(bins, mass)]
+    return out
+
+
+def chi_square_fits(deg: DataFrame, step: float = 0.1) -> list[tuple[str, float, float]]:
+    """(model, chi2, p) of each fitted model over quantile bins; infinite where a bin with rows expects none."""
+    out, bins = [], expected_bins(deg, step)
+    for name in dict.fromkeys(b[0] for b in bins):
+        own = [(n, e) for model, _, _, n, e in bins if model == name]
+        chi = sum((n - e) ** 2 / e if e else (math.inf if n else 0.0) for n, e in own)
+        out.append((name, chi, chi2_upper(chi, len(own) - 1) if math.isfinite(chi) and len(own) > 1 else 0.0))
     return out
 
 
@@ -361,7 +398,8 @@ def density_curve(df: DataFrame, value: str, points: int = 512) -> DataFrame:
     """(x, y): Gaussian kernel density at even points from three widths below the least value to three above
     the largest, by the usual rule-of-thumb width. Equal values are summed as one, before any point meets them."""
     v = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    s = df.select(F.col(value).cast("double").alias("v")).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.expr("percentile(v, 0.75) - percentile(v, 0.25)").alias("iqr"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    low, high = quantiles(df, value, [0.25, 0.75]) or (0.0, 0.0)
+    s = df.select(F.col(value).cast("double").alias("v")).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.lit(high - low).alias("iqr"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     narrow = F.least("sd", F.nullif(F.col("iqr") / 1.34, F.lit(0.0)))
     h = 0.9 * F.coalesce(F.nullif(narrow, F.lit(0.0)), F.lit(1.0)) * F.pow("n", F.lit(-0.2))
     s = s.filter("n > 1").withColumn("h", h).withColumn("step", (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (points - 1))

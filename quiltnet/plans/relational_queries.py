@@ -495,7 +495,8 @@ def _(m):
 
 @query("w12_quantile_bins", f"""SELECT 'all' AS k, {r('quantile_cont(p_retailprice, 0.1)', 'q1')}, {r('quantile_cont(p_retailprice, 0.5)', 'q5')}, {r('quantile_cont(p_retailprice, 0.9)', 'q9')} FROM part""", ctes=False)
 def _(m):
-    return m.table("part").agg(F.percentile("p_retailprice", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("q")).select(F.lit("all").alias("k"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q5"), F.col("q")[2].alias("q9"))
+    q = stats.quantiles(m.table("part"), "p_retailprice", [0.1, 0.5, 0.9])
+    return m.spark.createDataFrame([("all", *(q or [None] * 3))], "k string, q1 double, q5 double, q9 double")
 
 
 @query("w13_fixed_histogram", f"SELECT {n('CASE WHEN l_quantity = 0 THEN 1 ELSE ceil(l_quantity / 5.0) END', 'bin')}, {n('count(*)', 'n')} FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1", ctes=False)

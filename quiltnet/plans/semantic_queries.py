@@ -173,6 +173,26 @@ def _(m):
     return stats.welch_moments(m.table("lineitem"), "l_extendedprice", "l_returnflag", "A", "R")
 
 
+#: two-sided p of t with v degrees of freedom, as one less the density's integral (Simpson's rule over g(i))
+_T_TWO_SIDED = """round(1 - 2 * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - ln(v * pi()) / 2 - (v + 1) / 2 * ln(1 + power(t * i / 20000.0, 2) / v))) * any_value(abs(t)) / 60000, 6) + 0.0"""
+
+
+@query("r01_spearman_test", _PROP + f""", rk AS (SELECT rank() OVER (ORDER BY present) + (count(*) OVER (PARTITION BY present) - 1) / 2.0 AS x, rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / 2.0 AS y FROM pr),
+z AS (SELECT corr(x, y) AS rho, count(*) AS n FROM rk), w AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2.0 AS v FROM z)
+SELECT {r('any_value(rho)', 'rho')}, {n('any_value(n)', 'n')}, {_T_TWO_SIDED} AS p FROM w, range(20001) g(i)""")
+def _(m):
+    got = stats.spearman(_props(m), "present", "degree").first()
+    return m.spark.createDataFrame([(got["rho"], got["n"], round(stats.correlation_p(got["rho"], got["n"]), 6))], "rho double, n long, p double")
+
+
+@query("r02_welch_test", f"""WITH g AS (SELECT l_linestatus, avg(l_discount) AS m, var_samp(l_discount) AS v, count(*) AS n FROM lineitem WHERE l_linestatus IN ('F', 'O') GROUP BY 1),
+w AS (SELECT (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t, power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)) AS v FROM g a, g b WHERE a.l_linestatus = 'F' AND b.l_linestatus = 'O')
+SELECT {r('any_value(t)', 't')}, {r('any_value(v)', 'df')}, {_T_TWO_SIDED} AS p FROM w, range(20001) g(i)""", ctes=False)
+def _(m):
+    got = stats.welch_moments(m.table("lineitem"), "l_discount", "l_linestatus", "F", "O").first()
+    return m.spark.createDataFrame([(got["t"], got["df"], round(stats.welch_p(got["t"], got["df"]), 6))], "t double, df double, p double")
+
+
 @query("r03_pearson", f"SELECT {r('corr(l_quantity, l_extendedprice)', 'r')}, {n('count(*)', 'n')} FROM lineitem", ctes=False)
 def _(m):
     return stats.pearson(m.table("lineitem"), "l_quantity", "l_extendedprice")
@@ -238,6 +258,22 @@ def _(m):
     return m.spark.createDataFrame(stats.chi_square_fits(stored(graph.degrees(m.edges()), "degrees")), "model string, chi2 double, p double")
 
 
+_FITS = """, od AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS k FROM dg), pl AS (SELECT p * (SELECT count(*) - 1 FROM dg) AS x FROM (SELECT CAST(i AS DOUBLE) * CAST(0.1 AS DOUBLE) AS p FROM range(10) t(i) UNION ALL SELECT CAST(1 AS DOUBLE))),
+qs AS (SELECT DISTINCT x.degree + (y.degree - x.degree) * (pl.x - floor(pl.x)) AS q FROM pl JOIN od x ON x.k = floor(pl.x) JOIN od y ON y.k = ceil(pl.x)), bs AS (SELECT lag(q) OVER (ORDER BY q) AS low, q AS high, row_number() OVER (ORDER BY q) AS b FROM qs),
+ob AS (SELECT low, high, count(degree) AS n FROM bs LEFT JOIN dg ON (degree > low OR (b = 2 AND degree = low)) AND degree <= high WHERE low IS NOT NULL GROUP BY 1, 2),
+fd AS (SELECT count(*) - 1 AS k, sum(degree) * 1.0 / (count(*) * (count(*) - 1.0)) AS p, avg(degree) AS lam, min(degree) AS lo, (SELECT 1 + count(*) / sum(ln(degree * 1.0 / (SELECT min(degree) FROM dg))) FROM dg) AS alpha, max(degree) AS top FROM dg),
+pm AS (SELECT x, CASE WHEN x <= k THEN exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + x * ln(p) + (k - x) * ln(1 - p)) ELSE 0 END AS bi, exp(x * ln(lam) - lam - lgamma(x + 1)) AS po FROM fd, (SELECT unnest(range(0, (SELECT top FROM fd) + 1)) AS x)),
+ms AS (SELECT low, high, n, coalesce(sum(bi), 0) AS bi, coalesce(sum(po), 0) AS po FROM ob LEFT JOIN pm ON x > floor(low) AND x <= floor(high) GROUP BY 1, 2, 3),
+al AS (SELECT 'binomial' AS model, low, high, n, bi AS m FROM ms UNION ALL SELECT 'poisson', low, high, n, po FROM ms UNION ALL SELECT 'exponential', low, high, n, exp(-low / lam) - exp(-high / lam) FROM ms, fd UNION ALL SELECT 'powerlaw', low, high, n, power(low / lo, 1 - alpha) - power(high / lo, 1 - alpha) FROM ms, fd)"""
+
+
+@query("r12_expected_counts", _DEG + _FITS + f" SELECT model, {r('low', 'low')}, {r('high', 'high')}, {n('n', 'n')}, round(sum(n) OVER (PARTITION BY model) * m / sum(m) OVER (PARTITION BY model), 4) + 0.0 AS expected FROM al")
+def _(m):
+    """Observed and expected degrees of each fitted model in each quantile bin."""
+    rows = stats.expected_bins(stored(graph.degrees(m.edges()), "degrees"))
+    return m.spark.createDataFrame([(*x, round(e, 4)) for *x, e in rows], "model string, low double, high double, n long, expected double")
+
+
 @query("r14_permutation_moments", _DEG + f""", s AS (SELECT degree, node IN (SELECT p_partkey FROM part WHERE p_size > 25) AS i FROM dg), q AS (SELECT avg(degree) FILTER (i) AS mean, count(*) FILTER (i) AS k, count(*) AS n, avg(degree) AS mu, var_pop(degree) AS v FROM s)
 SELECT {r('mean', 'mean')}, {r('mu', 'mu')}, {r('sqrt(v / k * (n - k) / (n - 1))', 'sd')}, {r('(mean - mu) / sqrt(v / k * (n - k) / (n - 1))', 'z')} FROM q""")
 def _(m):

@@ -1,6 +1,8 @@
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 
 from quiltnet.functions import stats, tails
@@ -115,6 +117,88 @@ def test_fits(spark):
     assert 1.8 < tail["power_alpha"] < 2.8
 
 
+def brute_tail(values):
+    """(alpha, lower end, gap) of the best tail, each one looked at in full."""
+    best = (math.nan, math.nan, math.inf)
+    for lo in sorted(set(values))[:-1]:
+        kept = sorted(v for v in values if v >= lo)
+        alpha = 1 + len(kept) / sum(math.log(v / lo) for v in kept)
+        gap = 0.0
+        for v in set(kept):
+            model = 1 - (v / lo) ** (1 - alpha)
+            gap = max(gap, abs(sum(w < v for w in kept) / len(kept) - model), abs(sum(w <= v for w in kept) / len(kept) - model))
+        if gap < best[2]:
+            best = (alpha, float(lo), gap)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_power_tail_is_the_best_of_all(spark, seed):
+    rng = random.Random(seed)
+    values = [int((2 + 3 * seed) * (1 - rng.random()) ** -0.7) for _ in range(400)] + [rng.randint(1, 6) for _ in range(100 * seed)]
+    got = stats.fit_power_tail(spark.createDataFrame(list(enumerate(values)), "node long, degree long"))
+    alpha, lo, gap = brute_tail(values)
+    assert (got["power_xmin"], got["power_alpha"], got["gap"]) == (lo, pytest.approx(alpha), pytest.approx(gap))
+
+
+def test_power_tail_of_few_degrees(spark):
+    for rows in ([], [(1, 0)], [(1, 4), (2, 4)]):  # no edge, no degree above zero, one degree
+        assert math.isnan(stats.fit_power_tail(spark.createDataFrame(rows, "node long, degree long"))["power_alpha"])
+
+
+def test_gaps_by_intervals_equal_full_ones():
+    rng = np.random.default_rng(3)
+    x, n = np.unique((5 * (1 - rng.random(20_000)) ** -0.9).astype(np.int64), return_counts=True)
+    t = tails.PowerTails(x, n)
+    least = t.least_gaps(np.arange(len(x) - 1))
+    for i in (0, 3, len(x) // 2, len(x) - 2):
+        at = np.arange(i, len(x))
+        model = 1 - (x[at] / x[i]) ** (1 - (1 + n[i:].sum() / (n[i:] * np.log(x[i:] / x[i])).sum()))
+        own = np.cumsum(n[i:]) / n[i:].sum()
+        full = max(abs(own - model).max(), abs(own - n[i:] / n[i:].sum() - model).max())
+        assert t.gap(i, 16) == pytest.approx(full) and least[i] <= full + 1e-12
+
+
+def test_power_tail_of_a_million_degrees(spark):
+    """Distinct degrees by the million: most lower ends are dropped by bounds alone."""
+    x = np.arange(1, 1_000_001)
+    n = np.maximum(1, (1e7 * x**-1.5).astype(np.int64))
+    t = tails.PowerTails(x, n)
+    began = time.time()
+    least = np.concatenate([t.least_gaps(np.arange(k, min(k + 4096, len(x) - 1))) for k in range(0, len(x) - 1, 4096)])
+    most = t.gap(int(least.argmin()))
+    left = np.flatnonzero(least <= most)
+    best = min((t.gap(int(i)), i) for i in left)
+    assert best[0] <= most and len(left) < len(x) / 100 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("k,good,bad,draws", [(0, 5, 10, 3), (2, 5, 10, 7), (-1, 5, 10, 3), (4, 5, 10, 6), (5, 5, 10, 6), (0, 8, 2, 5), (60, 300, 700, 200), (59, 300, 700, 200), (20, 300, 700, 200), (150, 300, 700, 200)])
+def test_hypergeometric_tail_equals_the_sum_of_its_terms(k, good, bad, draws):
+    terms = [math.comb(good, i) * math.comb(bad, draws - i) for i in range(max(k + 1, 0), min(good, draws) + 1) if draws - i <= bad]
+    assert tails.hyper_upper(k, good, bad, draws) == pytest.approx(sum(terms) / math.comb(good + bad, draws), rel=1e-9)
+
+
+def test_hypergeometric_tail_of_many_draws():
+    """Ten million draws: terms beyond a few deviations are never formed."""
+    began = time.time()
+    assert tails.hyper_upper(5_000_000, 10**9, 10**9, 10**7) == pytest.approx(0.5, abs=1e-3) and time.time() - began < 5
+
+
+def test_quantiles_by_counts(spark):
+    rng = random.Random(2)
+    values = [float(rng.randint(0, 50)) for _ in range(500)] + [7.0] * 300
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    assert stats.quantiles(df, "x", probs) == pytest.approx(list(np.quantile(values, probs)))
+    assert stats.quantiles(df.filter("x is null"), "x", probs) == [] and stats.quantile_bins(df.filter("x is null"), "x").count() == 0
+    assert stats.quantiles(spark.createDataFrame([(3.0,)], "x double"), "x", probs) == [3.0] * 7
+
+
+def test_p_of_correlations():
+    assert stats.correlation_p(0.5, 12) == pytest.approx(0.0978, abs=1e-4)  # from tables
+    assert stats.correlation_p(1.0, 9) == 0 and math.isnan(stats.correlation_p(None, 9)) and math.isnan(stats.correlation_p(0.3, 2))
+
+
 def test_permutations(spark):
     df = spark.createDataFrame([(k, float(k % 17)) for k in range(300)], "node long, value double")
     subset = df.filter("node % 7 = 0").select("node")
