@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import stored
-from .stats import fit_degrees, fit_power_tail, log_gamma, running, top_share, total_of, welch_moments, welch_p
+from .stats import ecdf, fit_degrees, fit_power_tail, freq_below, log_gamma, quantiles, running, top_share, total_of, welch_moments, welch_p
 from .tails import normal_upper
 
 # ---------------------------------------------------------------- ordered lists
@@ -76,6 +76,21 @@ def named(df: DataFrame, ids: DataFrame, column: str, key: str = "id", name: str
     return df.join(ids.select(F.col(key).alias(column), F.col(name).alias(f"{column}_name")), column)
 
 
+def curve_to_quantile(df: DataFrame, value: str, prob: float = 0.9) -> DataFrame:
+    """(value, freq): the cumulative curve as far as a quantile."""
+    top = quantiles(df, value, [prob])
+    return ecdf(df, value).filter(F.col(value) <= top[0] if top else F.lit(False))
+
+
+def marked_curve(df: DataFrame, value: str, threshold: float) -> DataFrame:
+    """(value, freq, below, beyond, low, high): the cumulative curve with the percentage of rows below a threshold and
+    of the others, and the ends of its axis, beside every row."""
+    curve = stored(ecdf(df, value), "curve")
+    ends = curve.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    mark = freq_below(curve, value, threshold).select((100 * F.col("freq")).alias("below"), (100 - 100 * F.col("freq")).alias("beyond"))
+    return curve.crossJoin(mark).crossJoin(ends)  # one row each
+
+
 # ---------------------------------------------------------------- edges and contexts
 
 

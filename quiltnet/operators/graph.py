@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.stats import correlation
 
@@ -225,6 +226,27 @@ def property_in_sets(edges: DataFrame, first: DataFrame, second: DataFrame, prop
     return parts[0].unionByName(parts[1])
 
 
+def simplified(edges: DataFrame) -> DataFrame:
+    """(a, b), a < b: each pair of different nodes once, whatever its direction and however often it is given."""
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def threshold_series(edges: DataFrame, scores: DataFrame, steps: int = 20) -> DataFrame:
+    """(step, t, n, m) for t = 0, 1/steps, ..., 1: nodes and edges of the subgraph of network nodes whose score is at
+    most t. scores: (node, score), a row per node; nodes without a score are in no subgraph.
+
+    An edge appears with the later of its ends, so edges are counted by that step once and summed over the steps.
+    """
+    level = F.greatest(F.ceil(F.round(F.col("score") * steps, 9)).cast("long"), F.lit(0))
+    s = scores.select("node", level.alias("level")).filter(F.col("score").isNotNull() & (F.col("level") <= steps)).join(nodes_of(edges), "node", "left_semi")
+    ends = lambda c: s.select(F.col("node").alias(c), F.col("level").alias(f"_{c}"))
+    m = edges.join(ends("a"), "a").join(ends("b"), "b").groupBy(F.greatest("_a", "_b").alias("step")).agg(F.count(F.lit(1)).alias("m"))
+    n = s.groupBy(F.col("level").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    at = edges.sparkSession.range(steps + 1).withColumnRenamed("id", "step").join(n, "step", "left").join(m, "step", "left").na.fill(0, ["n", "m"])
+    upto = Window.orderBy("step")  # a row per step
+    return at.select("step", (F.col("step") / steps).alias("t"), F.sum("n").over(upto).alias("n"), F.sum("m").over(upto).alias("m"))
+
+
 # ---------------------------------------------------------------- partitions of the nodes
 
 
@@ -261,8 +283,6 @@ def weighted_sizes(clusters: DataFrame) -> DataFrame:
     """One row: mean cluster size of a node, and the size at which half the nodes are reached."""
     sizes = cluster_sizes(clusters).groupBy("size").agg(F.count(F.lit(1)).alias("k"))
     mean = sizes.agg(F.try_divide(F.sum(F.col("size") * F.col("size") * F.col("k")).cast("double"), F.sum(F.col("size") * F.col("k"))).alias("weighted_mean"))
-    from pyspark.sql.window import Window  # one row per distinct size
-
     run = sizes.withColumn("upto", F.sum(F.col("size") * F.col("k")).over(Window.orderBy("size"))).withColumn("all", F.sum(F.col("size") * F.col("k")).over(Window.partitionBy()))
     half = run.filter(F.col("upto") >= F.col("all") / 2).agg(F.min("size").alias("weighted_median"))
     return mean.crossJoin(half)

@@ -124,6 +124,55 @@ def _(m):
     return _in_sets(m, m.edges())
 
 
+_TWO = """, one AS (SELECT p_partkey AS node FROM part WHERE p_size > 25), two AS (SELECT p_partkey AS node FROM part WHERE p_size % 3 = 0), own AS (SELECT node, 1 AS s FROM one UNION ALL SELECT node, 2 FROM two)"""
+
+
+def _two(m, method):
+    second = m.parts().filter("p_size % 3 = 0").select(F.col("p_partkey").alias("node"))
+    return graph.property_in_sets(stored(m.edges(), "edges"), _sub(m), second, graph.degrees, method).select("node", "set", "degree")
+
+
+@query("g30_property_in_sets_whole", _TWO + f", d AS (SELECT a AS node FROM edges UNION ALL SELECT b FROM edges) SELECT own.node, {n('own.s', 'set')}, {n('count(*)', 'degree')} FROM d JOIN own USING (node) GROUP BY own.node, own.s")
+def _(m):
+    """Degrees of two overlapping sets in the whole network."""
+    return _two(m, "global")
+
+
+@query("g30_property_in_sets_combined", _TWO + f""", ie AS (SELECT a, b FROM edges WHERE a IN (SELECT node FROM own) AND b IN (SELECT node FROM own)), d AS (SELECT a AS node FROM ie UNION ALL SELECT b FROM ie)
+SELECT own.node, {n('own.s', 'set')}, {n('count(*)', 'degree')} FROM d JOIN own USING (node) GROUP BY own.node, own.s""")
+def _(m):
+    """Degrees of two overlapping sets in the subgraph of both."""
+    return _two(m, "combined_subgraph")
+
+
+@query("g28_simplify", "SELECT a, b FROM edges")
+def _(m):
+    """Pairs of parts by order in both directions and loops, made simple."""
+    p, b = m.pairs(), m.baskets()
+    return graph.simplified(p.select("a", "b").union(p.select("b", "a")).union(b.select("p", "p")))
+
+
+_SERIES = ", sc AS (SELECT node, {score} AS score FROM mem WHERE node IN (SELECT a FROM edges UNION SELECT b FROM edges) GROUP BY node), lv AS (SELECT node, ceil(round(score * 20, 9)) AS l FROM sc), el AS (SELECT greatest(x.l, y.l) AS l FROM edges JOIN lv x ON x.node = a JOIN lv y ON y.node = b), st AS (SELECT unnest(range(21)) AS step)"
+_SERIES_ROWS = f" SELECT {n('step', 'step')}, {r('step / 20.0', 't')}, (SELECT count(*) FROM lv WHERE l <= step) AS n, (SELECT count(*) FROM el WHERE l <= step) AS m FROM st"
+
+
+def _series(m, score):
+    scores = m.month_members().groupBy("node").agg(F.avg("present").alias("share")).select("node", score.alias("score"))
+    return graph.threshold_series(stored(m.edges(), "edges"), scores)
+
+
+@query("g28_specific_by_threshold", _SERIES.format(score="avg(present)") + _SERIES_ROWS)
+def _(m):
+    """Subgraphs of nodes present in at most a share t of their contexts."""
+    return _series(m, F.col("share"))
+
+
+@query("g28_widespread_by_threshold", _SERIES.format(score="1 - avg(present)") + _SERIES_ROWS)
+def _(m):
+    """Subgraphs of nodes present in at least a share 1 - t of their contexts."""
+    return _series(m, 1 - F.col("share"))
+
+
 def _in_sets(m, e):
     rest = m.parts().filter("p_size <= 25").select(F.col("p_partkey").alias("node"))
     return graph.property_in_sets(stored(e, "edges"), _sub(m), rest, graph.degrees, "subgraph").select("node", "set", "degree")

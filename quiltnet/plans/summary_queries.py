@@ -119,6 +119,16 @@ def _(m):
     return m.spark.createDataFrame(rows, "x string, y string, shared long, expected double, p double")
 
 
+@query("x21_curve_to_quantile", f"WITH c AS (SELECT l_extendedprice AS x, count(*) AS k FROM lineitem GROUP BY 1), u AS (SELECT x, sum(k) OVER (ORDER BY x) * 1.0 / (SELECT count(*) FROM lineitem) AS f FROM c) SELECT {r('x', 'l_extendedprice')}, {r('f', 'freq')} FROM u WHERE x <= (SELECT quantile_cont(l_extendedprice, 0.9) FROM lineitem)", ctes=False)
+def _(m):
+    return reports.curve_to_quantile(m.table("lineitem"), "l_extendedprice")
+
+
+@query("x21_marked_curve", f"WITH c AS (SELECT l_quantity AS x, count(*) AS k FROM lineitem GROUP BY 1), u AS (SELECT x, sum(k) OVER (ORDER BY x) * 1.0 / (SELECT count(*) FROM lineitem) AS f FROM c), b AS (SELECT coalesce(max(f) FILTER (x < 20), 0) AS f, min(x) AS low, max(x) AS high FROM u) SELECT {r('x', 'l_quantity')}, {r('u.f', 'freq')}, {r('100 * b.f', 'below')}, {r('100 - 100 * b.f', 'beyond')}, {r('low', 'low')}, {r('high', 'high')} FROM u, b", ctes=False)
+def _(m):
+    return reports.marked_curve(m.table("lineitem").select(F.col("l_quantity").cast("double").alias("l_quantity")), "l_quantity", 20)
+
+
 # ---------------------------------------------------------------- random subsets and class tests
 
 

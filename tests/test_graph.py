@@ -154,3 +154,21 @@ def test_cluster_sizes(spark):
     assert {(r["size"], r["count"]) for r in graph.size_histogram(cl).collect()} == {(3, 1), (1, 1), (2, 1)}
     row = graph.weighted_sizes(cl).first()
     assert row["weighted_mean"] == pytest.approx(14 / 6) and row["weighted_median"] == 2
+
+
+def test_simplified_and_threshold_series(spark):
+    e = graph.simplified(spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (3, 2), (4, 1), (None, 2)], "a long, b long"))
+    assert sorted(map(tuple, e.collect())) == [(1, 2), (1, 4), (2, 3)]
+    scores = spark.createDataFrame([(1, 0.0), (2, 0.5), (3, 0.51), (4, None), (9, 0.1)], "node long, score double")  # 9 is in no edge
+    got = [tuple(r) for r in graph.threshold_series(e, scores, 4).orderBy("step").collect()]
+    assert got == [(0, 0.0, 1, 0), (1, 0.25, 1, 0), (2, 0.5, 2, 1), (3, 0.75, 3, 2), (4, 1.0, 3, 2)]
+    assert [tuple(r)[2:] for r in graph.threshold_series(e, scores.limit(0), 1).orderBy("step").collect()] == [(0, 0), (0, 0)]
+
+
+def test_property_in_overlapping_sets(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "a long, b long")
+    first, second = (spark.createDataFrame([(k,) for k in x], "node long") for x in ([1, 2, 3], [3, 4]))
+    of = lambda method: sorted(tuple(r) for r in graph.property_in_sets(e, first, second, graph.degrees, method).select("node", "set", "degree").collect())
+    assert of("global") == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (3, 2, 2), (4, 2, 2)]
+    assert of("subgraph") == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 2, 1), (4, 2, 1)]
+    assert of("combined_subgraph") == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (3, 2, 2), (4, 2, 1)]
