@@ -96,6 +96,27 @@ def _(m):
     return ontology.lowest_common_ancestors(pairs, h.closed, ontology.levels(h.terms, h.is_a, h.closed))
 
 
+_TERM_PAIRS = _SIM + """, tp AS (SELECT DISTINCT x.term AS i, y.term AS j FROM an x JOIN an y ON x.node = y.node AND x.term < y.term)"""
+
+
+def _term_pairs(h):
+    """Pairs of terms that some node has both of."""
+    a = h.annotations.select("node", "term").distinct()
+    return a.select("node", F.col("term").alias("i")).join(a.select("node", F.col("term").alias("j")), "node").filter("i < j").select("i", "j").distinct()
+
+
+@query("o11_most_informative", _TERM_PAIRS + f" SELECT i, j, {n('q.anc', 'anc')}, {r('q.ic', 'ic')}, {r('q.p', 'p')} FROM tp JOIN bs USING (i, j)", ctes=False)
+def _(m):
+    h = Hierarchy(m)
+    return ontology.most_informative(_term_pairs(h), h.closed, h.info)
+
+
+@query("o12_term_similarity", _TERM_PAIRS + f" SELECT i, j, {r('s', 'sim')} FROM tp JOIN sim USING (i, j)", ctes=False)
+def _(m):
+    h = Hierarchy(m)
+    return ontology.term_similarity(_term_pairs(h), h.closed, h.info)
+
+
 @query("o16_term_matrix", _SIM + f" SELECT i, j, {r('s', 'sim')} FROM sim", ctes=False)
 def term_matrix(m):
     h = Hierarchy(m)

@@ -57,6 +57,10 @@ def test_similarity_against_plain_python(spark):
     matrix = ontology.term_matrix(a, terms, closed, info)
     for r in matrix.collect():
         assert r["sim"] == pytest.approx(sim(r["i"], r["j"])) and 0 <= r["sim"] <= 1
+    asked = spark.createDataFrame([(2, 3), (3, 2), (4, 5), (5, 5)], "i long, j long")  # in any order
+    assert {(r["i"], r["j"]): r["sim"] for r in ontology.term_similarity(asked, closed, info).collect()} == pytest.approx({p: sim(*p) for p in [(2, 3), (3, 2), (4, 5), (5, 5)]})
+    best = {(r["i"], r["j"]): r["anc"] for r in ontology.most_informative(asked, closed, info).collect()}
+    assert best == {(2, 3): 1, (3, 2): 1, (4, 5): 4, (5, 5): 5}
     pairs = spark.createDataFrame([(x, y) for x in own for y in own if x < y] + [(0, 99)], "x long, y long")
     for r in ontology.node_similarity(pairs, a, matrix).collect():
         assert r["score"] == pytest.approx(0.0 if r["y"] == 99 else score(r["x"], r["y"]))
