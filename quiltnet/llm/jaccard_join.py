@@ -4,7 +4,7 @@ Documents are sets of 5-word shingles. With shingles in one global order, rare f
 Jaccard similarity t share an element of their prefixes (n - ceil(t n) + 1 elements). Documents of
 equal size and prefix form one group, which is filtered once for all members:
 
-1. A sketch of fixed size counts shingles over the corpus and gives the order.
+1. A sketch sized by the table counts shingles over the corpus and gives the order.
 2. Every document gets its size, a signature of its set and its prefix. Equal sets become one class
    with its smallest document, classes of equal size and prefix one group.
 3. Groups post their prefixes to hash buckets. Neighbours by size within a posting, as far as sizes
@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, batches, blob, fan_out, id_out, mix, read, row_key, stored, texts_of, unused, utf8, window_hashes, with_row, word_bounds, word_hashes
+from .common import SPACES, batches, blob, estimated_bytes, fan_out, id_out, mix, read, row_key, stored, texts_of, unused, utf8, window_hashes, with_row, word_bounds, word_hashes
 from .components import connected_components, local_roots
 
 WORDS = 5
 PERCENT = 80
-SKETCH_BITS = 18
+#: The fewest and most bits of a sketch's cells, and bytes of file for a cell.
+SKETCH_BITS = (18, 25)
+CELL_BYTES = 32
 CELL = 256
 #: Counters of a set by hash; their overlap bounds the overlap of two sets from above.
 CELLS = 256
@@ -71,34 +73,48 @@ def shingle_sets(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np
     return x, r, np.bincount(r, minlength=n)
 
 
-def _sketch(texts: DataFrame, words: int) -> np.ndarray:
-    """How many documents have a shingle in each of 2**SKETCH_BITS cells."""
-    cells, slices = 1 << SKETCH_BITS, 16
+def _sketch_bits(docs: DataFrame) -> int:
+    """Bits of the sketch's cells: about one cell for CELL_BYTES of file. A cell that many shingles share tells nothing of
+    how rare any of them is; prefixes then hold common shingles, and candidates grow into blocks of unrelated sets."""
+    size = estimated_bytes(docs)
+    if size >= 1 << 60:  # not a file scan: unknown
+        return 22
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], (size // CELL_BYTES).bit_length()))
+
+
+def _sketch(texts: DataFrame, words: int, bits: int = SKETCH_BITS[0]) -> np.ndarray:
+    """How many documents have a shingle in each of 2**bits cells, as levels 8 * log2(1 + count) of one byte."""
+    cells, span = 1 << bits, 1 << 16
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros(cells, np.int64)
+        c = np.zeros(cells, np.uint32)
         for b in batches(it, 4 << 20):
             x, _, _ = shingle_sets(b.column(0), words)
-            c += np.bincount((x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
-        kind = np.uint32 if c.max() < 1 << 32 else np.uint64
-        parts = c.astype(kind).reshape(slices, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int64()), pa.array([blob(p) for p in parts], pa.binary()), pa.array([kind().itemsize] * slices, pa.int64())], ["slice", "counts", "width"])
+            np.add.at(c, (x >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        for k, part in enumerate(c.reshape(-1, span)):
+            most = part.max()
+            if most:
+                kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob(part.astype(kind))], pa.binary()), pa.array([kind().itemsize], pa.int64())], ["slice", "counts", "width"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, f"u{w}").astype(np.int64) for x, w in zip(table["counts"].to_pylist(), table["width"].to_pylist()))
-        return pa.table({"slice": table["slice"][:1], "counts": pa.array([blob(total)], pa.binary())})
-
-    summed = texts.select("text").mapInArrow(run, "slice long, counts binary, width long").groupBy("slice").applyInArrow(add, "slice long, counts binary")
-    out = np.zeros((slices, cells // slices), np.int64)
-    for r in summed.collect():  # 16 rows of fixed size
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+        total = np.zeros(span, np.int64)
+        for x, w in zip(table["counts"], table["width"].to_pylist()):
+            total += np.frombuffer(x.as_buffer(), f"u{w}")
+        level = np.minimum(np.rint(8 * np.log2(1.0 + total)), 255).astype(np.uint8)
+        return pa.table({"slice": table["slice"][:1], "levels": pa.array([blob(level)], pa.binary())})
+
+    summed = texts.select("text").mapInArrow(run, "slice long, counts binary, width long").groupBy("slice").applyInArrow(add, "slice long, levels binary")
+    out = np.zeros((cells // span, span), np.uint8)
+    for r in summed.toLocalIterator():  # 2**(bits - 16) rows of 64 KB
+        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
     return out.ravel()
 
 
 _SETS = "doc_id long, known boolean, tag long, row long, n long, s1 long, s2 long, p1 long, prefix binary, cells binary"
 
 
-def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
+def _signed(texts: DataFrame, order, words: int, percent: int, bits: int) -> DataFrame:
     """Per document its set size, set signature, prefix signature and prefix."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +130,7 @@ def _signed(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
                 cells = [blob(c) for c in spread]
                 s1[some] = np.add.reduceat(mix(x), begin[some])
                 s2[some] = np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D)), begin[some])
-                rare = x[np.lexsort((x, order.value[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], r))]
+                rare = x[np.lexsort((x, order.value[(x >> np.uint64(64 - bits)).astype(np.int64)], r))]
                 k = n - (percent * n + 99) // 100 + 1
                 for i in some.tolist():
                     head = rare[begin[i] : begin[i] + k[i]]
@@ -334,8 +350,9 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
     spark = docs.sparkSession
     texts = texts_of(docs, row).select("doc_id", "text", "known", row_key().alias("tag"), "row")
     n_buckets = fan_out(docs)
-    order = spark.sparkContext.broadcast(_sketch(texts, words))  # 2 MB
-    sets = stored(_signed(texts, order, words, percent), "jaccard-sets").withColumn("void", ~F.col("known"))
+    bits = _sketch_bits(docs)
+    order = spark.sparkContext.broadcast(_sketch(texts, words, bits))  # 32 MB at most
+    sets = stored(_signed(texts, order, words, percent, bits), "jaccard-sets").withColumn("void", ~F.col("known"))
     real = sets.filter("n > 0")
     classes = real.groupBy("n", "s1", "s2", "p1").agg(F.min(F.struct(*_FIRST)).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("cells").alias("cells"))
     classes = stored(classes.withColumnRenamed("s1", "cid"), "jaccard-classes")
@@ -351,8 +368,8 @@ def jaccard_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ce
     members = classes.select("cid", "n", "first", "copies", "s2").join(linked, "cid").withColumnRenamed("root", "comp")
     fine = _blocks(members, cell, "jaccard-fine")
     # a bitmap keeps the texts of all rows but those that stand for a class out of the exchange
-    bits = min(26, max(16, 5 + fine.count().bit_length()))
-    place = lambda c: F.pmod(F.col(c), F.lit(1 << bits))
+    wide = min(26, max(16, 5 + fine.count().bit_length()))
+    place = lambda c: F.pmod(F.col(c), F.lit(1 << wide))
     marks = fine.select(place("first.row").alias("h")).groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word"))
     marked = texts.select("row", "doc_id", "text", place("row").alias("h")).withColumn("slot", F.shiftright("h", 6)).join(F.broadcast(marks), "slot")  # 2**20 rows at most
     marked = marked.filter(F.expr("(shiftright(word, cast(h & 63 as int)) & 1L) = 1")).select("row", "doc_id", "text")

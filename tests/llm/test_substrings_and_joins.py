@@ -191,3 +191,20 @@ def test_messages_to_buckets_do_not_grow_with_copies():
         return {r["bucket"]: sum(len(r[c]) for c in ("content", "least", "most", "lengths")) for r in got.to_pylist()}
 
     assert sent(1000) == sent(100)
+
+
+def test_the_sketch_grows_with_the_table(spark, odd, monkeypatch):
+    bits = []
+    for size in (1 << 20, 100 << 20, 500 << 20, 6 << 30):
+        monkeypatch.setattr(jaccard_join, "estimated_bytes", lambda df, size=size: size)
+        bits.append(jaccard_join._sketch_bits(odd))
+    assert bits == [18, 22, 24, 25]
+    # 300,000 shingles: most share a cell of a small sketch, and few one of a sketch of their table's size
+    rng = np.random.default_rng(1)
+    texts = spark.createDataFrame([(" ".join(map(str, rng.integers(0, 1 << 40, 1004))),) for _ in range(300)], "text string")
+    once = [(jaccard_join._sketch(texts, 5, b) == 8).sum() for b in (18, 22)]
+    assert once[0] < 110_000 and once[1] > 270_000
+    monkeypatch.setattr(jaccard_join, "_sketch_bits", lambda docs: 22)
+    docs = edited(spark)
+    got = sorted((BIG if r[0] is None else r[0], r[1], BIG if r[2] is None else r[2], r[3]) for r in jaccard_join.jaccard_join(docs).collect())
+    assert got == brute_join(rows_of(docs))
