@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..operators import overlap
@@ -16,14 +18,19 @@ TAB = "\t"
 FLAGS = ["flag_a", "flag_n", "flag_r"]
 
 
-def lines(m, name, body, *preamble):
-    """A folder with one text file: preamble lines, then one line per row of body (a column of one table)."""
+def lines(m, name, body, *preamble, once=False):
+    """A folder of text files, one per task: preamble lines, then one line per row of body (a column of one table).
+    once: the preamble stands in the first file only."""
     at = fresh_path(m.spark, name)
-    rows = [(k, x) for k, x in enumerate(preamble)]
-    top = m.spark.createDataFrame(rows, "k long, value string") if rows else None
-    all_ = body.toDF("value").select(F.lit(1 << 40).alias("k"), F.col("value"))
-    all_ = all_ if top is None else top.union(all_)
-    all_.coalesce(1).sortWithinPartitions("k").select("value").write.text(at)
+
+    def run(it):
+        if preamble and not (once and TaskContext.get().partitionId()):
+            yield pa.RecordBatch.from_arrays([pa.array(preamble, pa.string())], ["value"])
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+    rows = body.toDF("value")
+    (rows.mapInArrow(run, "value string") if preamble else rows).write.text(at)
     return at
 
 
@@ -46,7 +53,7 @@ def _(m):
     end = F.lit("\r")
     body = F.concat_ws("\n", F.concat(F.lit("[Term]"), end), F.concat(F.lit("id: GO:"), F.col("p_partkey") + 1, end), F.concat(F.lit("name: "), "p_name", end), F.concat(F.lit("namespace: "), F.when(F.col("p_size") % 2 == 0, "part").otherwise("other"), end), F.concat(F.lit("is_a: GO:0 ! root"), end), end)
     root = ["[Term]\r", "id: GO:0\r", "name: root\r", "namespace: part\r", "\r", "[Typedef]\r", "id: part_of\r", "\r", "[Term]\r", "id: GO:99999999\r", "name: gone\r", "namespace: part\r", "is_obsolete: true\r", "is_a: GO:0 ! root\r", "\r"]
-    at = lines(m, "crlf", m.parts().select(body), "format-version: 1.2\r", "\r", *root)
+    at = lines(m, "crlf", m.parts().select(body), "format-version: 1.2\r", "\r", *root, once=True)
     terms, is_a, _ = ontology_file.scan_obo(m.spark, at, "part")
     return terms.join(is_a, terms["id"] == is_a["child"]).select("id", "name", "namespace", "parent")
 

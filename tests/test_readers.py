@@ -55,3 +55,17 @@ def test_scripts_split_outside_of_text(spark):
     tables.run_script(spark, "CREATE OR REPLACE TEMP VIEW semi AS SELECT 'a;\nb' AS x, \"c;\n\" AS y; -- a remark;\nCREATE OR REPLACE TEMP VIEW two AS SELECT 1 AS `o;\nk` /* not;\n here */;\n")
     assert tuple(spark.table("semi").first()) == ("a;\nb", "c;\n")
     assert spark.table("two").first()[0] == 1
+
+
+def test_lines_are_written_by_every_task(spark):
+    from types import SimpleNamespace
+
+    from quiltnet.plans.source_queries import lines
+
+    m, body = SimpleNamespace(spark=spark), spark.range(1000, numPartitions=4).selectExpr("concat('\"', id, '\"')")
+    at = lines(m, "spread", body, "# a remark", '"k"')
+    sizes = [r["count"] for r in spark.read.text(at).groupBy("_metadata.file_path").count().collect()]
+    assert sizes == [252] * 4
+    got = delimited.scan_delimited(spark, at, quote='"', skip_rows=1, types={"k": "long"}).collect()
+    assert sorted(r["k"] for r in got) == list(range(1000))
+    assert spark.read.text(lines(m, "spread", body, "top", once=True)).filter("value = 'top'").count() == 1
