@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import packed_edges, shared
 from ..plans.lineage import stored
 from .stats import ecdf, fit_degrees, fit_power_tail, freq_below, log_gamma, quantiles, running, top_share, total_of, welch_moments, welch_p
 from .tails import normal_upper
@@ -96,9 +97,8 @@ def marked_curve(df: DataFrame, value: str, threshold: float) -> DataFrame:
 
 def edge_presence(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b, both, measured, share): contexts with both ends present, of those with both measured."""
-    x = members.select(F.col("node").alias("a"), "ctx", F.col("present").alias("pa"))
-    y = members.select(F.col("node").alias("b"), "ctx", F.col("present").alias("pb"))
-    per = edges.join(x, "a").join(y, ["b", "ctx"]).groupBy("a", "b").agg(F.sum(F.col("pa") * F.col("pb")).alias("both"), F.count(F.lit(1)).alias("measured"))
+    both, words = packed_edges(edges, members)
+    per = both.select("a", "b", shared(words, "p").alias("both"), shared(words, "m").alias("measured")).filter("measured > 0")
     return per.withColumn("share", F.col("both") / F.col("measured"))
 
 

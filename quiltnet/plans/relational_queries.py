@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import reports, stats
 from ..operators import overlap
 from ..operators import relational as rel
 from ..sources import delimited, ontology_file, tables
@@ -349,9 +349,7 @@ def _(m):
 
 
 def _presence_share(m, e):
-    mem = m.month_members()
-    x, y = mem.select(F.col("node").alias("a"), "ctx", F.col("present").alias("pa")), mem.select(F.col("node").alias("b"), "ctx", F.col("present").alias("pb"))
-    return e.join(x, "a").join(y, ["b", "ctx"]).groupBy("a", "b").agg(F.avg(F.col("pa") * F.col("pb")).alias("share"))
+    return reports.edge_presence(e, m.month_members()).select("a", "b", "share")
 
 
 @query("a19_node_presence_share", f"SELECT node, {r('sum(present) * 1.0 / count(*)', 'share')} FROM mem GROUP BY node")

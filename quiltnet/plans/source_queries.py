@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from ..operators import overlap
+from ..operators import graph, overlap
 from ..operators import relational as rel
 from ..sources import definitions, delimited, ontology_file, tables
 from .lineage import fresh_path, stored
@@ -267,9 +267,14 @@ def _(m):
 @query("u09_networks_by_contexts", f""", mc AS (SELECT DISTINCT node, ctx FROM mem WHERE present <> 0), e AS (SELECT net, u.ctx, a, b FROM networks JOIN mc u ON u.node = a JOIN mc v ON v.node = b AND v.ctx = u.ctx),
 d AS (SELECT net, ctx, node, count(*) AS k FROM (SELECT net, ctx, a AS node FROM e UNION ALL SELECT net, ctx, b FROM e) GROUP BY 1, 2, 3) SELECT net, ctx, {n('count(*)', 'nodes')}, {n('max(k)', 'max_degree')}, {r('avg(k)', 'mean_degree')} FROM d GROUP BY 1, 2""")
 def _(m):
-    mc = stored(m.month_members().filter("present <> 0").select("node", "ctx"), "present")
-    e = m.networks().join(mc.select(F.col("node").alias("a"), "ctx"), "a").join(mc.select(F.col("node").alias("b"), "ctx"), ["b", "ctx"])
-    d = e.select("net", "ctx", F.explode(F.array("a", "b")).alias("node")).groupBy("net", "ctx", "node").agg(F.count(F.lit(1)).alias("k"))
+    mem = stored(m.month_members(), "members")
+    e, words = graph.packed_edges(m.networks(), mem)
+    e = e.filter(graph.shared(words, "p") > 0)
+    ctx = range(mem.agg(F.max("ctx")).first()[0] + 1)
+    own = lambda c: F.getbit(F.col(f"a_p{c // graph.WORD}").bitwiseAND(F.col(f"b_p{c // graph.WORD}")), F.lit(c % graph.WORD)).cast("long")
+    bits = [own(c).alias(f"c{c}") for c in ctx]
+    d = e.select("net", F.explode(F.array("a", "b")).alias("node"), *bits).groupBy("net", "node").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in ctx])
+    d = d.select("net", F.posexplode(F.array(*[f"c{c}" for c in ctx])).alias("ctx", "k")).filter("k > 0").withColumn("ctx", F.col("ctx").cast("long"))
     return d.groupBy("net", "ctx").agg(F.count(F.lit(1)).alias("nodes"), F.max("k").alias("max_degree"), F.avg("k").alias("mean_degree"))
 
 

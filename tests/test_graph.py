@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -172,3 +173,19 @@ def test_property_in_overlapping_sets(spark):
     assert of("global") == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (3, 2, 2), (4, 2, 2)]
     assert of("subgraph") == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 2, 1), (4, 2, 1)]
     assert of("combined_subgraph") == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (3, 2, 2), (4, 2, 1)]
+
+
+def test_edges_meet_their_contexts_as_one_row(spark):
+    from quiltnet.functions import reports
+
+    rng = np.random.default_rng(5)
+    mem = [(v, c, int(rng.random() < 0.4)) for v in range(20) for c in range(130) if rng.random() < 0.8]
+    pairs = [(a, b) for a in range(21) for b in range(a, 21) if rng.random() < 0.4]
+    e, m = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(mem, "node long, ctx long, present long")
+    packed, words = graph.packed_edges(e, m)
+    assert words == 3 and packed.count() == sum(b < 20 for _, b in pairs)
+    at = {}
+    for v, c, x in mem:
+        at.setdefault(v, {})[c] = x
+    want = {(a, b): (sum(at[a][c] * at[b].get(c, 0) for c in at[a]), len(at[a].keys() & at[b].keys())) for a, b in pairs if b < 20}
+    assert {(r["a"], r["b"]): (r["both"], r["measured"]) for r in reports.edge_presence(e, m).collect()} == want
