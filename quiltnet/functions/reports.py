@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..operators.graph import packed_edges, shared
 from ..plans.lineage import stored
-from .stats import ecdf, fit_degrees, fit_power_tail, freq_below, log_gamma, quantiles, running, top_share, total_of, welch_moments, welch_p
+from .stats import ecdf, fit_degrees, fit_power_tail, freq_below, log_gamma, quantiles, running, sampled_means, top_share, total_of, welch_moments, welch_p
 from .tails import normal_upper
 
 # ---------------------------------------------------------------- ordered lists
@@ -136,12 +136,13 @@ def class_tests(spark, values: DataFrame, value: str, cls: DataFrame, samples: i
     size = values.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"))
     own = values.join(cls, "node").groupBy("ctx", "class").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("k")).join(size, "ctx")
     k = F.col("k").cast("double")
-    own = stored(own.withColumn("cut", F.least(F.lit(1.0), (k + 10 * F.sqrt(k) + 20) / F.col("n"))), "class-sizes")
+    room = 10 * F.sqrt(k) + 20
+    own = own.withColumns({"cut": F.least(F.lit(1.0), (k + room) / F.col("n")) * (1 << 52), "low": F.greatest(F.lit(0.0), (k - room) / F.col("n")) * (1 << 52)})
+    own = stored(own, "class-sizes")
     runs = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
     h = F.pmod(F.xxhash64(F.lit(seed), "class", "sample", "node"), F.lit(1 << 52))
-    drawn = values.join(own.select("ctx", "class", "k", "cut"), "ctx").withColumn("sample", runs).withColumn("h", h).filter(F.col("h") <= F.col("cut") * (1 << 52))
-    w = Window.partitionBy("ctx", "class", "sample").orderBy("h", "node")
-    means = drawn.withColumn("r", F.row_number().over(w)).filter("r <= k").groupBy("ctx", "class", "sample").agg(F.avg(value).alias("m"))
+    drawn = values.join(F.broadcast(own.select("ctx", "class", "k", "cut", "low")), "ctx").withColumn("sample", runs).withColumn("_h", h).filter(F.col("_h") <= F.col("cut"))  # a row per context and class
+    means = sampled_means(drawn, ["ctx", "class", "sample"], F.col("k"), F.col("low"), value).withColumnRenamed("mean", "m")
     out = own.join(means.groupBy("ctx", "class").agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd")), ["ctx", "class"])
     rows = []
     for r in out.collect():  # a row per context and class

@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quiltnet.functions import stats, tails
 from quiltnet.operators import ontology
@@ -222,3 +223,25 @@ def test_permutations(spark):
 def test_density_integrates_to_one(spark):
     at = sorted(tuple(r) for r in stats.density_curve(spark.createDataFrame([(random.Random(1).gauss(0, 1) + 0.01 * k,) for k in range(200)], "v double"), "v").collect())
     assert sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(at, at[1:])) == pytest.approx(1, abs=0.01)
+
+
+def test_samples_order_only_what_lies_near_their_cut(spark):
+    n, size, top = 20_000, 5_000, 1 << 52
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    drawn = nodes.crossJoin(spark.range(3).withColumnRenamed("id", "sample")).selectExpr("node", "sample", f"pmod(xxhash64(1, sample, node), {top}) AS _h", "cast(node AS double) AS v")
+    room = 10 * size**0.5 + 20
+    some = drawn.filter(drawn["_h"] <= int((size + room) / n * top))
+    sure, near = stats.sure_and_edge(some, ["sample"], F.lit(size), F.lit(int((size - room) / n * top)), "v")
+    assert near.count() + sum(r["_c"] for r in sure.collect()) == 3 * size and near.count() < 6 * room
+    want = {}
+    for r in drawn.collect():
+        want.setdefault(r["sample"], []).append((r["_h"], r["node"]))
+    want = {s: {v for _, v in sorted(x)[:size]} for s, x in want.items()}
+    got = {}
+    for r in stats.subset_samples(nodes, size / n, 3).collect():
+        got.setdefault(r["sample"], set()).add(r["node"])
+    assert got == want
+    d = nodes.selectExpr("node", "cast(node AS double) AS v")
+    h = d.crossJoin(spark.range(3).withColumnRenamed("id", "sample")).selectExpr("sample", "node", "xxhash64(1, sample, node) AS h").collect()
+    means = {r["sample"]: r["mean"] for r in stats.permutation_samples(d, size, "v", 3).collect()}
+    assert means == {s: sum(v for _, v in sorted((r["h"], r["node"]) for r in h if r["sample"] == s)[:size]) / size for s in range(3)}
