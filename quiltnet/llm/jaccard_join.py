@@ -82,6 +82,33 @@ def _sketch_bits(docs: DataFrame) -> int:
     return min(SKETCH_BITS[1], max(SKETCH_BITS[0], (size // CELL_BYTES).bit_length()))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A task's counts, most of them 0 or 1 in a sketch that grows with the table: less than a bit for a cell."""
+    planes = np.unpackbits(counts.view(np.uint8).reshape(len(counts), -1), axis=1).T
+    return pa.compress(blob(np.packbits(planes, axis=1)), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed, width: int, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=width * n, codec="zstd"), np.uint8).reshape(8 * width, -1)
+    return np.packbits(np.unpackbits(planes, axis=1).T, axis=1).reshape(-1).view(f"u{width}")
+
+
+def _narrow(spread: np.ndarray) -> bytes:
+    """Counters of one set, a byte each where all fit one, else four."""
+    return blob(spread.astype(np.uint8) if spread.max(initial=0) < 1 << 8 else spread)
+
+
+def _counters(column: list) -> np.ndarray:
+    """The rows of _narrow again, in one width."""
+    size = np.fromiter(map(len, column), np.int64, len(column))
+    out = np.zeros((len(column), CELLS), np.uint8 if (size == CELLS).all() else np.uint32)
+    for kind in (np.uint8, np.uint32):
+        k = np.flatnonzero(size == CELLS * kind().itemsize)
+        if len(k):
+            out[k] = np.frombuffer(b"".join([column[i] for i in k.tolist()]), kind).reshape(-1, CELLS)
+    return out
+
+
 def _sketch(texts: DataFrame, words: int, bits: int = SKETCH_BITS[0]) -> np.ndarray:
     """How many documents have a shingle in each of 2**bits cells, as levels 8 * log2(1 + count) of one byte."""
     cells, span = 1 << bits, 1 << 16
@@ -95,12 +122,12 @@ def _sketch(texts: DataFrame, words: int, bits: int = SKETCH_BITS[0]) -> np.ndar
             most = part.max()
             if most:
                 kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob(part.astype(kind))], pa.binary()), pa.array([kind().itemsize], pa.int64())], ["slice", "counts", "width"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_packed(part.astype(kind))], pa.binary()), pa.array([kind().itemsize], pa.int64())], ["slice", "counts", "width"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(span, np.int64)
         for x, w in zip(table["counts"], table["width"].to_pylist()):
-            total += np.frombuffer(x.as_buffer(), f"u{w}")
+            total += _unpacked(x.as_buffer(), w, span)
         level = np.minimum(np.rint(8 * np.log2(1.0 + total)), 255).astype(np.uint8)
         return pa.table({"slice": table["slice"][:1], "levels": pa.array([blob(level)], pa.binary())})
 
@@ -127,7 +154,7 @@ def _signed(texts: DataFrame, order, words: int, percent: int, bits: int) -> Dat
             prefix, cells = [b""] * len(n), [b""] * len(n)
             if len(some):
                 spread = np.bincount(r * CELLS + (x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS * len(n)).astype(np.uint32).reshape(len(n), CELLS)
-                cells = [blob(c) for c in spread]
+                cells = [_narrow(c) for c in spread]
                 s1[some] = np.add.reduceat(mix(x), begin[some])
                 s2[some] = np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D)), begin[some])
                 rare = x[np.lexsort((x, order.value[(x >> np.uint64(64 - bits)).astype(np.int64)], r))]
@@ -241,8 +268,7 @@ def _possible(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         cid, n, sub, i, j = (table[c].to_numpy() for c in ("cid", "n", "sub", "i", "j"))
-        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint32).reshape(-1, CELLS)
-        cells = cells.astype(np.uint16) if cells.max(initial=0) < 1 << 16 else cells
+        cells = _counters(table["cells"].to_pylist())
         nodes, roots = [], []
         for rows in _keys(table):
             c, m, own, across = cells[rows], n[rows], sub[rows], i[rows[0]] != j[rows[0]]
