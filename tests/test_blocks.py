@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from quiltnet.functions import stats
@@ -110,3 +112,58 @@ def test_coverage_curve_against_plain_python(spark):
     assert {tuple(r) for r in curve.collect()} == want
     plan = curve._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_search_reads_few_of_the_edges(monkeypatch):
+    # before, every source read every edge: 256 sources read 256 times all of them
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 3000, 60_000), rng.integers(0, 3000, 60_000)
+    _, offsets, near = traversal._csr(a, b)
+    read, plain = [0], traversal._neighbours
+
+    def counted(*args):
+        out = plain(*args)
+        read[0] += len(out[2])
+        return out
+
+    monkeypatch.setattr(traversal, "_neighbours", counted)
+    assert traversal.reach(offsets, near, np.arange(256)) == (3, 3000) and read[0] < 4 * len(near)
+    read[0] = 0
+    traversal.dependencies(offsets, near, np.arange(16))
+    assert read[0] < 16 * 0.7 * len(near)
+
+
+@pytest.mark.parametrize("n, m", [(30, 40), (200, 250), (300, 3000), (2000, 100), (50, 1200)])
+def test_search_kernels_equal_plain_python(n, m):
+    rng = np.random.default_rng(n)
+    names, offsets, near = traversal._csr(rng.integers(0, n, m), rng.integers(0, n, m))
+    some = range(0, len(names), 3)
+    want, deep, least = np.zeros(len(names)), 0, len(names)
+    for s in some:
+        dist, paths, order = {s: 0}, {s: 1}, [s]
+        for u in order:
+            for v in near[offsets[u] : offsets[u + 1]].tolist():
+                if v not in dist:
+                    dist[v], paths[v] = dist[u] + 1, 0
+                    order.append(v)
+                if dist[v] == dist[u] + 1:
+                    paths[v] += paths[u]
+        owed = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in near[offsets[v] : offsets[v + 1]].tolist():
+                if dist[u] == dist[v] - 1:
+                    owed[u] += paths[u] / paths[v] * (1 + owed[v])
+        for v in order[1:]:
+            want[v] += owed[v]
+        deep, least = max(deep, dist[order[-1]]), min(least, len(order))
+    assert traversal.dependencies(offsets, near, np.array(some)) == pytest.approx(want)
+    assert traversal.reach(offsets, near, np.array(some)) == (deep, least)
+
+
+def test_a_large_family_is_not_copied_by_chunk(spark, monkeypatch):
+    # before, every chunk of sources carried its whole subgraph through an exchange
+    monkeypatch.setattr(traversal, "SHARED_BYTES", 0)
+    monkeypatch.setattr(traversal, "SENT", 3)
+    per = spark.range(100).selectExpr("id % 2 as ctx", "id as a", "id + 2 as b")
+    got = traversal._over_sources(per, lambda ctx, names, offsets, near, sources: pd.DataFrame({"ctx": [ctx], "k": [len(sources)]}), "ctx long, k long", 1).toPandas()
+    assert len(got) == 6 and got.groupby("ctx").k.sum().to_dict() == {0: 51, 1: 51}
