@@ -189,3 +189,24 @@ def test_edges_meet_their_contexts_as_one_row(spark):
         at.setdefault(v, {})[c] = x
     want = {(a, b): (sum(at[a][c] * at[b].get(c, 0) for c in at[a]), len(at[a].keys() & at[b].keys())) for a, b in pairs if b < 20}
     assert {(r["a"], r["b"]): (r["both"], r["measured"]) for r in reports.edge_presence(e, m).collect()} == want
+
+
+def test_triangles_move_few_bytes_of_an_edge(spark, monkeypatch):
+    # before, every edge carried the list of its first node's neighbours: hundreds of bytes
+    rng = random.Random(5)
+    monkeypatch.setattr(graph, "TASK_EDGES", 2_000)
+    pairs = {(net, *sorted(rng.sample(range(300), 2))) for net in "pq" for _ in range(3000)}
+    far = {v: v << 40 if v % 2 else -v for v in range(300)}  # ids that no table of places holds
+    named = {(net, *sorted((far[a], far[b]))) for net, a, b in pairs}
+    for case in (pairs, named):
+        e = spark.createDataFrame(sorted(case), "net string, a long, b long")
+        got = [(r["net"], *sorted((r["x"], r["y"], r["z"]))) for r in graph.triangles(e, "net").collect()]
+        near = {}
+        for net, a, b in case:
+            near.setdefault((net, a), set()).add(b)
+        want = {(net, a, b, c) for net, a, b in case for c in near.get((net, b), set()) & near[net, a]}
+        assert len(got) == len(want) > 2000 and set(got) == want
+    assert graph.triangles(e.filter("net = 'none'"), "net").collect() == [] and graph.triangles(e.filter("net = 'none'")).collect() == []
+    a = np.sort(np.random.default_rng(1).integers(0, 7_000_000, 10_000))
+    b = np.random.default_rng(2).integers(0, 7_000_000, 10_000)
+    assert len(graph._packed(a)) + len(graph._packed(b)) < 7 * 10_000 and (graph._unpacked(graph._packed(b), 10_000) == b).all()
