@@ -225,3 +225,30 @@ def test_no_merge_is_left_after_matchings(spark):
     # all leaves of a star belong to its hub
     star = spark.createDataFrame([("x", 0, k, 1.0) for k in range(1, 9)], "net string, a long, b long, w double")
     assert {r["cluster"] for r in community.greedy_modularity(star, runs, 0).collect()} <= set(range(9))
+
+
+def test_a_round_stores_rows_of_nodes_only(spark, monkeypatch):
+    """Votes of a dense network are many times its nodes; no round writes them."""
+    import numpy as np
+
+    from quiltnet.operators import nearby
+
+    rng, n = np.random.default_rng(5), 120
+    pairs = [(a, b) for a in range(n) for b in range(a) if rng.random() < 0.3]
+    adj = {v: set() for v in range(n)}
+    for a, b in pairs:
+        adj[a].add(b)
+        adj[b].add(a)
+    rows, real = {}, community.stored
+
+    def counted(df, name, **k):
+        out = real(df, name, **k)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(community, "stored", counted)
+    monkeypatch.setattr(nearby, "LEAST_EDGES", 100)
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r["node"]: r["label"] for r in community.label_propagation(edges, graph.nodes_of(edges), rounds=2).collect()}
+    assert got == full_rounds(adj, 2)
+    assert max(k for name, k in rows.items() if name != "lpa-edges") <= n
