@@ -252,3 +252,14 @@ def test_a_round_stores_rows_of_nodes_only(spark, monkeypatch):
     got = {r["node"]: r["label"] for r in community.label_propagation(edges, graph.nodes_of(edges), rounds=2).collect()}
     assert got == full_rounds(adj, 2)
     assert max(k for name, k in rows.items() if name != "lpa-edges") <= n
+
+
+def test_components_of_a_large_network_end_in_tasks(spark):
+    """Copies side by side exceed a task, each copy does not: the result is that of one task with all of them."""
+    base = planted(3, 10)
+    pairs = [(a + 100 * i, b + 100 * i) for i in range(4) for a, b in base] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(5)]
+    edges = spark.createDataFrame([("x", *p, 1.0) for p in pairs], "net string, a long, b long, w double")
+    runs = spark.createDataFrame([("one", "x", 1.0), ("three", "x", 3.0)], "run string, net string, gamma double")
+    for method in (community.louvain, community.greedy_modularity):
+        near, far = ({(r["run"], r["node"]): r["cluster"] for r in method(edges, runs, k).collect()} for k in (10**6, len(base)))
+        assert far == near and len(far) == 2 * len({v for p in pairs for v in p})
