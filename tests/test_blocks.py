@@ -167,3 +167,30 @@ def test_a_large_family_is_not_copied_by_chunk(spark, monkeypatch):
     per = spark.range(100).selectExpr("id % 2 as ctx", "id as a", "id + 2 as b")
     got = traversal._over_sources(per, lambda ctx, names, offsets, near, sources: pd.DataFrame({"ctx": [ctx], "k": [len(sources)]}), "ctx long, k long", 1).toPandas()
     assert len(got) == 6 and got.groupby("ctx").k.sum().to_dict() == {0: 51, 1: 51}
+
+
+def test_searches_store_no_levels(spark, monkeypatch):
+    # before, every level of every search was written: a number for each pair of nodes
+    kept, real = [], blocks.stored
+
+    def counted(df, name, **k):
+        out = real(df, name, **k)
+        blobs = [c for c, t in out.dtypes if t == "binary"]
+        kept.append(sum(sum(len(r[c] or b"") for c in blobs) for r in out.select(*blobs).collect()) if blobs else 0)
+        return out
+
+    monkeypatch.setattr(blocks, "stored", counted)
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(300), 2))) for _ in range(900)} | {(k, k + 1) for k in range(40)} | {(400 + k, 401 + k) for k in range(30)})
+    ids = sorted({v for p in pairs for v in p})
+    got = values(traversal.betweenness(edges(spark, pairs), nodes(spark, ids), task_edges=0), "node", "betweenness")
+    assert got == pytest.approx(plain_bw(adjacent(pairs, ids), ids), abs=1e-6)  # the path takes more laps than the first job has
+    assert sum(kept) < 300 * 300 * 4
+
+
+def test_a_hub_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART_SPAN", 7)
+    pairs = [(0, k) for k in range(1, 30)] + [(k, k + 1) for k in range(1, 29)]
+    e = edges(spark, pairs)
+    got = values(traversal.betweenness(e, nodes(spark, range(30)), task_edges=0), "node", "betweenness")
+    assert got == pytest.approx(plain_bw(adjacent(pairs, range(30)), range(30)), abs=1e-6)
