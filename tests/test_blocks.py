@@ -194,3 +194,18 @@ def test_a_hub_in_several_blocks(spark, monkeypatch):
     e = edges(spark, pairs)
     got = values(traversal.betweenness(e, nodes(spark, range(30)), task_edges=0), "node", "betweenness")
     assert got == pytest.approx(plain_bw(adjacent(pairs, range(30)), range(30)), abs=1e-6)
+
+
+def test_a_diameter_stores_no_pairs(spark, monkeypatch):
+    # before, each round wrote a row for each of its sources and every node
+    rows, real = [], blocks.stored
+
+    def counted(df, name, **k):
+        out = real(df, name, **k)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocks, "stored", counted)
+    ring = edges(spark, [tuple(sorted((k, (k + 1) % 50))) for k in range(50)])
+    assert traversal.diameter(ring, graph.nodes_of(ring), task_edges=0).first()[0] == 25
+    assert max(rows) <= 100
