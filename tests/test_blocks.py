@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from quiltnet.functions import stats
-from quiltnet.operators import blocks, graph, relational, traversal
+from quiltnet.operators import blocks, components, graph, relational, traversal
 
 from .test_graph import BRIDGE, edges, nodes, plain_bw, random_case, values
 
@@ -209,3 +209,36 @@ def test_a_diameter_stores_no_pairs(spark, monkeypatch):
     ring = edges(spark, [tuple(sorted((k, (k + 1) % 50))) for k in range(50)])
     assert traversal.diameter(ring, graph.nodes_of(ring), task_edges=0).first()[0] == 25
     assert max(rows) <= 100
+
+
+@pytest.mark.parametrize("task_edges", [0, traversal.TASK_EDGES])
+def test_networks_that_are_not_connected_are_not_searched(spark, monkeypatch, task_edges):
+    def never(*_, **__):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(traversal, "_over_sources", never)
+    monkeypatch.setattr(traversal, "farthest", never)
+    two = edges(spark, [(0, 1), (1, 2), (10, 11), (11, 12)])
+    ids = nodes(spark, [0, 1, 2, 10, 11, 12])
+    assert traversal.diameter(two, ids, task_edges=task_edges).first()[0] == 0
+    mem = spark.createDataFrame([(v, c, 1) for v in (0, 2, 11, 12) for c in (0, 1)], "node long, ctx long, present long")
+    assert {r["ctx"]: r["diameter"] for r in traversal.diameter(two, ids, mem, task_edges=task_edges).collect()} == {0: 0, 1: 0}
+
+
+def test_components_of_several_networks(spark, monkeypatch):
+    """Trees of tasks that hold few edges and few nodes at once."""
+    monkeypatch.setattr(components, "CHUNK", 7)
+    monkeypatch.setattr(components, "HELD", 5)
+    rng = random.Random(8)
+    rows = [(c, *rng.sample(range(60), 2)) for c in (3, 4) for _ in range(45)]
+    per = spark.createDataFrame(rows, "net long, a long, b long").repartition(3)
+    got = {(r["net"], r["node"]): r["root"] for r in components.connected_components(per, "net").collect()}
+    for c in (3, 4):
+        root = {v: v for v in range(60)}
+        for _ in range(60):
+            for k, a, b in rows:
+                if k == c:
+                    root[a] = root[b] = min(root[a], root[b])
+        assert {v: r for (k, v), r in got.items() if k == c} == {v: r for v, r in root.items() if v != r}
+        own = components.connected_components(per.filter(per.net == c).select("a", "b")).collect()
+        assert {r["node"]: r["root"] for r in own} == {v: r for v, r in root.items() if v != r}
