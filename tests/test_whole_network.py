@@ -263,3 +263,22 @@ def test_components_of_a_large_network_end_in_tasks(spark):
     for method in (community.louvain, community.greedy_modularity):
         near, far = ({(r["run"], r["node"]): r["cluster"] for r in method(edges, runs, k).collect()} for k in (10**6, len(base)))
         assert far == near and len(far) == 2 * len({v for p in pairs for v in p})
+
+
+def test_louvain_in_a_task_moves_by_batches(monkeypatch):
+    """Planted clusters are found, with weights too, and by few looks at arrays instead of one for each node and pass."""
+    import numpy as np
+
+    pairs = planted(8, 16)
+    x, y = (np.array(side) for side in zip(*pairs))
+    for w in (np.ones(len(x)), np.linspace(1.0, 1.1, len(x))):
+        got = community._louvain(np.arange(128) * 7, x, y, w, 1.0, 2 * w.sum())
+        assert len({(v // 16, c) for v, c in enumerate(got.tolist())}) == len(set(got.tolist())) == 8
+    rng, n, looks, real = np.random.default_rng(2), 3_000, [], community.best_of
+    monkeypatch.setattr(community, "best_of", lambda *a: looks.append(1) or real(*a))
+    code = np.unique(rng.integers(0, n, 60_000) * n + rng.integers(0, n, 60_000))
+    x, y = np.divmod(code[code // n < code % n], n)
+    part = community._louvain(np.arange(n), x, y, np.ones(len(x)), 1.0, 2.0 * len(x))
+    vol = np.bincount(part[x], minlength=n) + np.bincount(part[y], minlength=n)
+    assert (part[x] == part[y]).mean() - ((vol / (2 * len(x))) ** 2).sum() > 0.15
+    assert 0 < len(looks) <= community.STARTS * (20 * community.BATCHES + n)
