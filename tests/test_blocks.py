@@ -242,3 +242,24 @@ def test_components_of_several_networks(spark, monkeypatch):
         assert {v: r for (k, v), r in got.items() if k == c} == {v: r for v, r in root.items() if v != r}
         own = components.connected_components(per.filter(per.net == c).select("a", "b")).collect()
         assert {r["node"]: r["root"] for r in own} == {v: r for v, r in root.items() if v != r}
+
+
+def test_sources_searched_together(monkeypatch):
+    """A dense network with hubs and another component: tables read whole, from either side, and in rows of few neighbours."""
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 300, 6000), rng.integers(0, 300, 6000)
+    a, b = np.r_[a, np.zeros(299, int), 400, 401], np.r_[b, np.arange(1, 300), 401, 402]
+    names, offsets, near = traversal._csr(a, b)
+    want = traversal._one_by_one(offsets, near, np.arange(len(names)))[0]
+    calls, real = [], traversal._one_by_one
+    monkeypatch.setattr(traversal, "_one_by_one", lambda o, x, s: calls.append(len(s)) or (*real(o, x, s)[:2], 10**9))
+    for span, whole in ((256, 7), (16, 7), (16, 10**9), (256, 0)):
+        monkeypatch.setattr(traversal, "SPAN", span)
+        monkeypatch.setattr(traversal, "WHOLE", whole)
+        assert traversal.dependencies(offsets, near, np.arange(len(names))) == pytest.approx(want, abs=1e-9)
+    assert calls == [1] * 4
+    monkeypatch.setattr(traversal, "LEAST_NODES", 1)
+    parts = list(traversal._apart(names, offsets, near))
+    assert [p[0].tolist() for p in parts] == [names[:-3].tolist(), [400, 401, 402]]
+    got = np.concatenate([traversal.dependencies(o, x, np.arange(len(p))) for p, o, x in parts])
+    assert got == pytest.approx(want, abs=1e-9)
