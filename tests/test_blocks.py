@@ -263,3 +263,18 @@ def test_sources_searched_together(monkeypatch):
     assert [p[0].tolist() for p in parts] == [names[:-3].tolist(), [400, 401, 402]]
     got = np.concatenate([traversal.dependencies(o, x, np.arange(len(p))) for p, o, x in parts])
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_triangles_of_large_networks_by_component(spark, monkeypatch):
+    """Edges of a network of many components go to few tasks; a connected one is dealt by colours as before."""
+    monkeypatch.setattr(graph, "TASK_EDGES", 12)
+    rng, dealt, real = random.Random(9), [], graph._in_bins
+    monkeypatch.setattr(graph, "_in_bins", lambda *a: dealt.append(real(*a)) or dealt[-1])
+    few = {tuple(sorted(rng.sample(range(12), 2))) for _ in range(40)}
+    for copies in (12, 1):
+        pairs = {(a + 20 * k, b + 20 * k) for a, b in few for k in range(copies)} | ({(x, x + 1) for x in range(300)} if copies == 1 else set())
+        adj = adjacent(pairs, {x for p in pairs for x in p})
+        want = sorted((a, b, c) for a, b in pairs for c in adj[a] & adj[b] if c > b)
+        got = graph.triangles(edges(spark, sorted(pairs)))
+        assert sorted(tuple(sorted(r)) for r in got.collect()) == want and got.columns == ["x", "y", "z"]
+    assert len(dealt) == 2 and dealt[0].select("bin").distinct().count() > 1 and dealt[1] is None
