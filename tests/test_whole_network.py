@@ -282,3 +282,35 @@ def test_louvain_in_a_task_moves_by_batches(monkeypatch):
     vol = np.bincount(part[x], minlength=n) + np.bincount(part[y], minlength=n)
     assert (part[x] == part[y]).mean() - ((vol / (2 * len(x))) ** 2).sum() > 0.15
     assert 0 < len(looks) <= community.STARTS * (20 * community.BATCHES + n)
+
+
+def test_greedy_merges_the_best_pair_first(monkeypatch):
+    """Step by step as plain Python does, with few entries of the heap: a merge offers one pair and not all of its row."""
+    import heapq
+
+    import numpy as np
+
+    rng, n, pushed, real = np.random.default_rng(4), 60, [], heapq.heappush
+    pairs = [(a, b) for a in range(n) for b in range(a + 1) if rng.random() < (0.7 if a % 4 == b % 4 else 0.3)]
+    x, y = (np.array(side) for side in zip(*pairs))
+    w = rng.random(len(x))
+    two_m = 2 * w.sum()
+    e = np.zeros((n, n))
+    np.add.at(e, (x, y), w / two_m)
+    np.add.at(e, (y, x), w / two_m)
+    a, want = e.sum(axis=1), np.arange(n)
+    while True:
+        gain = 2 * (e - np.outer(a, a))
+        gain[(e == 0) | np.tri(n, dtype=bool)] = 0
+        i, j = np.unravel_index(gain.argmax(), gain.shape)
+        if gain[i, j] <= 1e-15:
+            break
+        e[i] += e[j]
+        e[:, i] += e[:, j]
+        e[j] = e[:, j] = 0
+        a[i], a[j] = a[i] + a[j], 0
+        want[want == j] = i
+    monkeypatch.setattr(heapq, "heappush", lambda h, item: pushed.append(1) or real(h, item))
+    got = community._greedy(np.arange(n), x, y, w, 1.0, two_m)
+    assert len(set(zip(got.tolist(), want.tolist()))) == len(set(got.tolist())) == len(set(want.tolist())) > 1
+    assert len(pushed) < len(pairs)
